@@ -1,5 +1,970 @@
-"""The named queries of the core and their SQL."""
+"""The named queries of the core and their SQL.
+
+Users are customers and items parts: an interaction is a distinct (customer,
+part) of a line item, at its first order date. Feature vectors are the
+embeddings, their first half as image and the second as text; a vector's label
+is its category. Floating-point results are rounded alike in query and SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import arrays as A
+from quern.operators import features as FE
+from quern.operators import graph as G
+from quern.operators import harness as H
+from quern.operators import losses as L
+from quern.operators import prep as P
+from quern.operators import propagate as PR
+from quern.operators import ranking as R
+from quern.operators import similarity as S
 from quern.operators import skew
-from quern.runtime import table
-QUERIES = {"p7_found": lambda s, d: skew.heavy_items(table(s, d, "train_split"), "user_id", "train_items", 2)}
-SQL = {}
+from quern.runtime import staged, table
+from quern.sources import readers
+from quern.streaming.ema import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+HALF = 32
+TREE_K, HOPS = 10, 3
+GAMMA, TAU, ETA = 0.5, 0.7, 0.1
+KS = [10, 20]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def six(c: Column | str) -> Column:
+    """Rounded to 6 digits; adding 0 turns -0 into 0."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def big(c: str) -> Column:
+    return F.col(c).cast("bigint").alias(c)
+
+
+# ---- inputs ----
+
+
+def inter(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey")
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return P.interactions(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "o_custkey", "l_partkey", "o_orderdate")
+
+
+def split(s: SparkSession, d: str) -> DataFrame:
+    return P.chronological_split(inter(s, d))
+
+
+def part_of(s: SparkSession, d: str, name: str) -> DataFrame:
+    return split(s, d).filter(F.col("split") == name).select("u", "i")
+
+
+def items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_partkey").alias("i"))
+
+
+def counts(s: SparkSession, d: str) -> DataFrame:
+    return P.item_counts(inter(s, d), items(s, d))
+
+
+def cooc(s: SparkSession, d: str, k: int = 20, least: int = 2) -> DataFrame:
+    return G.top_per_row(G.co_counts(inter(s, d), "u", "i", least), k)
+
+
+def half(s: SparkSession, d: str, which: int) -> DataFrame:
+    v = F.slice("embedding", 1 + which * HALF, HALF)
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("i"), A.doubles(v).alias("v"))
+
+
+def cats(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").cast("bigint").alias("cat"))
+
+
+def hashed_embedding(nodes: DataFrame, dim: int = 4) -> DataFrame:
+    """(node, dim, x) of (node): numbers in -0.5..0.5 by a hash of node and dimension."""
+    x = F.pmod(F.col("node") * F.lit(P.KNUTH) + F.col("dim") * F.lit(40503), F.lit(1000)) / 1000.0 - 0.5
+    return nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("dim")).select("node", "dim", x.alias("x"))
+
+
+def vectors_of(nodes: DataFrame, dim: int = 4) -> DataFrame:
+    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.pmod(F.col("i") * F.lit(P.KNUTH) + k * F.lit(40503), F.lit(1000)) / 1000.0 - 0.5)
+    return nodes.select("i", x.alias("v"))
+
+
+INTER = "inter as (select o_custkey u, l_partkey i, min(o_orderdate) ts from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"
+SPLIT = (
+    INTER + ", ordd as (select u, i, row_number() over (partition by u order by ts, i) rn, count(*) over (partition by u) n from inter), "
+    "spl as (select u, i, case when rn <= floor(n * 0.8) then 'train' when rn <= floor(n * 0.9) then 'val' else 'test' end split from ordd)"
+)
+PARTS = SPLIT + ", tr as (select u, i from spl where split = 'train'), te as (select u, i from spl where split = 'test')"
+COUNTS = INTER + ", cnt as (select p_partkey i, count(u) n from part left join inter on i = p_partkey group by 1)"
+PAIRS = INTER + ", co as (select a.i, b.i j, count(*) w from inter a join inter b on a.u = b.u and a.i <> b.i group by 1, 2 having count(*) >= 2)"
+COOC = PAIRS + ", top as (select * from (select i, j, w, row_number() over (partition by i order by w desc, j) rk from co) where rk <= 20)"
+FEATURES = "f as (select vec_id i, list_transform(embedding, lambda x: cast(x as double)) e, label cat from embeddings), img as (select i, e[1:32] v from f), txt as (select i, e[33:64] v from f)"
+
+
+def _knn(name: str, source: str, k: int, with_self: bool = False) -> str:
+    return (
+        f"{name} as (select i, j, sim, rk from (select a.i, b.i j, round(list_cosine_similarity(a.v, b.v), 9) sim, row_number() over (partition by a.i order by round(list_cosine_similarity(a.v, b.v), 9) desc, b.i) rk "
+        f"from {source} a join {source} b on {'true' if with_self else 'a.i <> b.i'}) where rk <= {k})"
+    )
+
+
+def _sym(name: str, source: str, how: str = "sym") -> str:
+    col = "j" if how == "2sym" else "i"
+    return (
+        f"{name}_di as (select i, sum(w) d from {source} group by 1), {name}_dj as (select {col} j, sum(w) d from {source} group by 1), "
+        f"{name} as (select x.i, x.j, x.w * (case when a.d = 0 then 0 else pow(a.d, -0.5) end) * (case when b.d is null or b.d = 0 then 0 else pow(b.d, -0.5) end) w from {source} x join {name}_di a on a.i = x.i left join {name}_dj b on b.j = x.j)"
+    )
+
+
+def _tree(source: str) -> str:
+    """Levels 1 to 3 over ``source`` (i, j, w, pos)."""
+    out = f"g as (select i, j, cast(w as double) w, row_number() over (partition by i order by w desc, j) pos from {source}), l1 as (select i anchor, j nbr, w, pos from g)"
+    seen = "select anchor, nbr from l1"
+    for o in (2, 3):
+        out += (
+            f", c{o} as (select f.anchor, e.j nbr, e.w, row_number() over (partition by f.anchor, e.j order by f.pos, e.pos) rn from l{o - 1} f join g e on e.i = f.nbr left join ({seen}) s on s.anchor = f.anchor and s.nbr = e.j where s.nbr is null and e.j <> f.anchor), "
+            f"d{o} as (select anchor, nbr, w, row_number() over (partition by anchor order by w desc, nbr) pos from c{o} where rn = 1), "
+            f"k{o} as (select anchor, greatest(1, cast(floor(count(*) / {(o - 1) * 2}.0) as bigint)) keep from l{o - 1} group by 1), "
+            f"l{o} as (select d.anchor, d.nbr, d.w, d.pos from d{o} d join k{o} using (anchor) where d.pos <= keep)"
+        )
+        seen += f" union all select anchor, nbr from d{o}"
+    return out + ", tree as (select anchor, nbr, 1 ord, w from l1 union all select anchor, nbr, 2, w from l2 union all select anchor, nbr, 3, w from l3)"
+
+
+TREE = PAIRS + f", t10 as (select i, j, w from (select *, row_number() over (partition by i order by w desc, j) rk from co) where rk <= {TREE_K}), " + _tree("t10")
+COEF = f"coef as (select anchor i, nbr j, {GAMMA} * exp(-cast(ord - 1 as double)) * pow(w, {TAU}) w from tree)"
+SIMS = FEATURES + ", " + _knn("ki", "img", 10) + ", " + _knn("kt", "txt", 10)
+SCORES = (
+    PARTS + ", trp as (select a.i, b.i j, count(*) w from tr a join tr b on a.u = b.u and a.i <> b.i group by 1, 2 having count(*) >= 2), "
+    "nb as (select i, j, w from (select *, row_number() over (partition by i order by w desc, j) rk from trp) where rk <= 20), "
+    "sc as (select x.u, nb.j i, sum(nb.w) score from tr x join nb on x.i = nb.i left join tr o on o.u = x.u and o.i = nb.j where o.u is null group by 1, 2), "
+    "ranked as (select u, i, rk from (select u, i, row_number() over (partition by u order by score desc, i) rk from sc) where rk <= 20)"
+)
+TERCILES = COUNTS + ", bk as (select i, case when r < tot // 3 then 'tail' when r < 2 * tot // 3 then 'mid' else 'head' end bucket from (select i, row_number() over (order by n, i) - 1 r, count(*) over () tot from cnt))"
+
+
+# ---- sources and preparation ----
+
+
+@query(f"with {INTER} select u, i from inter")
+def interactions(s, d):
+    return inter(s, d).select("u", "i")
+
+
+_LOG = (
+    "p as (select try_cast(trim(userid) as double) a, try_cast(trim(itemid) as double) b, try_cast(trim(x_label) as double) c from inter_log), "
+    "lg as (select cast(trunc(a) as bigint) u, cast(trunc(b) as bigint) i, case cast(trunc(c) as bigint) when 0 then 'train' when 1 then 'val' else 'test' end split from p "
+    "where isfinite(a) and isfinite(b) and isfinite(c) and trunc(c) in (0, 1, 2))"
+)
+
+
+def logged(s, d):
+    return readers.labelled_log(table(s, d, "inter_log"), "userid", "itemid", "x_label")
+
+
+@query(f"with {_LOG} select u, i, split, count(*) n from lg group by 1, 2, 3")
+def log_splits(s, d):
+    return logged(s, d).groupBy("u", "i", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_LOG} select max(u) + 1 n_users_all, max(case when split = 'train' then u end) + 1 n_users, max(i) + 1 n_items from lg")
+def log_sizes(s, d):
+    rows = logged(s, d)
+    return readers.sizes(rows, "all").select(F.col("n_users").alias("n_users_all")).crossJoin(readers.sizes(rows))
+
+
+@query("select user_id u, i, count(*) n from (select user_id, unnest(train_items) i from train_split) where i is not null group by 1, 2")
+def list_pairs(s, d):
+    return P.exploded(table(s, d, "train_split"), "user_id", "train_items").groupBy("u", "i").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {INTER} select u, list_sort(list(i)) items from inter group by 1")
+def user_lists(s, d):
+    return P.item_lists(inter(s, d))
+
+
+@query(f"with {SPLIT} select u, i, split from spl")
+def split_811(s, d):
+    return split(s, d)
+
+
+@query(
+    f"with {SPLIT}, it as (select i from spl where split = 'train' group by i having count(*) >= 15), us as (select u from spl semi join it using (i) where split = 'train' group by u having count(*) >= 15) "
+    "select u, i, split from spl semi join it using (i) semi join us using (u)"
+)
+def kcore_15(s, d):
+    return P.k_core(staged(split(s, d)), 15)
+
+
+@query(f"with {SPLIT}, c as (select split, count(*) n from spl group by 1), t as (select sum(n) t from c) select split, n, round(n / t, 6) share, split = 'train' and not (n / t between 0.7 and 0.9) suspicious from c, t")
+def split_stats(s, d):
+    return P.split_stats(split(s, d)).withColumn("share", six("share"))
+
+
+@query(f"with {SPLIT} select max(u) max_u, max(i) max_i, count(*) filter (u < 0) negative_u, count(*) filter (i < 0) negative_i, count(distinct u) users, count(distinct i) items from spl")
+def id_audit(s, d):
+    return P.id_audit(split(s, d))
+
+
+@query(
+    f"with {SPLIT}, z as (select max(case when split = 'train' then u end) + 1 n_users, max(i) + 1 n_items, count(*) filter (split = 'train') n_train, count(*) filter (split = 'val') n_val, count(*) filter (split = 'test') n_test from spl) "
+    "select *, round((n_train + n_test) / (cast(n_users as double) * n_items), 9) density from z"
+)
+def dataset_stats(s, d):
+    return P.dataset_stats(split(s, d)).withColumn("density", F.round("density", 9))
+
+
+@query(f"with {COUNTS} select i, n from cnt")
+def item_counts(s, d):
+    return counts(s, d)
+
+
+@query("select p_partkey i, coalesce(greatest(least(label, 7), 0), (p_partkey * 2654435761) % 8) cat from part left join embeddings on vec_id = p_partkey")
+def item_category(s, d):
+    return P.item_categories(items(s, d), cats(s, d), 8)
+
+
+@query("with c as (select (p_partkey * 2654435761) % 10 cat, count(*) n from part group by 1) select cat, n, round(max(n) over () / min(n) over (), 6) imbalance from c")
+def hash_category(s, d):
+    c = items(s, d).select("i", P.hashed_category(F.col("i"), 10).alias("cat"))
+    return P.category_histogram(c).withColumn("imbalance", six("imbalance"))
+
+
+def _prior_sql(weight: str) -> str:
+    return f"with {COUNTS}, q as (select i, {weight} w from cnt) select i, round(ln(w / sum(w) over ()), 6) log_q from q"
+
+
+@query(_prior_sql("n + 1.0::double"))
+def log_q_laplace(s, d):
+    return P.log_prior(staged(counts(s, d)), 1.0, "laplace").select("i", six("log_q").alias("log_q"))
+
+
+@query(_prior_sql("sqrt(n + 1.0::double)"))
+def log_q_sqrt(s, d):
+    return P.log_prior(staged(counts(s, d)), 1.0, "sqrt").select("i", six("log_q").alias("log_q"))
+
+
+@query(f"with {COUNTS}, q as (select i, n::double w from cnt where n > 0) select i, round(ln(w / sum(w) over ()), 6) log_q from q")
+def log_q_raw(s, d):
+    return P.log_prior(staged(counts(s, d).filter("n > 0")), 0.0, "raw").select("i", six("log_q").alias("log_q"))
+
+
+@query(
+    f"with {COUNTS}, q as (select ln((n + 1.0::double) / sum(n + 1.0::double) over ()) q, n from cnt) select round(min(q), 6) lo, round(max(q), 6) hi, round(avg(q), 6) mean, round(stddev_samp(q), 6) std, count(q) n_finite, "
+    "min(n) count_min, max(n) count_max, cast(sum(n) as bigint) count_sum, count(*) filter (n = 0) n_zero from q"
+)
+def log_q_stats(s, d):
+    c = staged(counts(s, d))
+    r = P.prior_summary(P.log_prior(c, 1.0, "laplace"), c)
+    return r.select(*[six(x).alias(x) for x in ("lo", "hi", "mean", "std")], "n_finite", "count_min", "count_max", "count_sum", "n_zero")
+
+
+@query(f"with {TERCILES} select i, bucket from bk")
+def terciles(s, d):
+    return P.terciles(staged(counts(s, d)))
+
+
+@query(f"with {COUNTS}, r as (select n, row_number() over (order by n) k, count(*) over () m, sum(n) over () t from cnt) select round((2 * sum(k * n) / max(t)::double - (max(m) + 1)) / max(m), 6) gini from r")
+def gini(s, d):
+    return P.gini(counts(s, d)).select(six("gini").alias("gini"))
+
+
+# ---- skew ----
+
+
+@query(
+    "with u as (select user_id, any_value(list_sort(list_filter(train_items, lambda x: x is not null))) s from train_split where train_items is not null and user_id is not null group by 1), e as (select unnest(s) i from u) "
+    "select i item_id from e group by 1 having count(*) >= 0.02 * (select count(*) from e)"
+)
+def p7_found(s, d):
+    return skew.heavy_items(table(s, d, "train_split"), "user_id", "train_items", 2)
+
+
+_ONCE = "u as (select user_id, any_value(list_filter(train_items, lambda x: x is not null)) s from train_split where train_items is not null and user_id is not null group by 1)"
+
+
+@query(f"with {_ONCE}, e as (select user_id, unnest(s) i from u) select i item_id, count(*) n_elements, count(distinct user_id) n_keys, round(count(*) / (select count(*) from e)::double, 9) share from e group by 1")
+def p7_shares(s, d):
+    return skew.element_share(table(s, d, "train_split"), "user_id", "train_items").withColumn("share", F.round("share", 9))
+
+
+@query(
+    f"with {_ONCE}, e as (select unnest(s) item_id, len(s) v from u), n as (select item_id, count(*) n from e group by 1), q as (select unnest([0.1, 0.5, 0.9]::double[]) fraction), "
+    "r as (select item_id, v, row_number() over (partition by item_id order by v) rk from e) "
+    "select r.item_id, fraction, n, v quantile from r join n using (item_id) cross join q where rk = greatest(1, ceil(round(fraction * n, 6)))"
+)
+def p7_quantiles(s, d):
+    """Per item, quantiles of the lengths of the lists that it is in, once for each time it is there."""
+    lists = skew.one_row_per_key(table(s, d, "train_split"), "user_id", "train_items")
+    rows = lists.select(F.explode("train_items").alias("item_id"), F.size("train_items").alias("v"))
+    return skew.key_quantiles(rows, "item_id", "v", [0.1, 0.5, 0.9])
+
+
+# ---- graphs ----
+
+
+@query(f"with {COOC} select i, j, w, rk from top")
+def cooc_topk(s, d):
+    return cooc(s, d).select("i", "j", "w", big("rk"))
+
+
+@query(
+    f"with {INTER}, uu as (select a.u i, b.u j, count(*) w from inter a join inter b on a.i = b.i and a.u <> b.u group by 1, 2), r as (select i, j, w / (sum(w) over (partition by i))::double w, row_number() over (partition by i order by w desc, j) rk from uu) "
+    "select i, j, round(w, 6) w, rk from r where rk <= 10"
+)
+def u2u_rw(s, d):
+    shared = staged(G.co_counts(inter(s, d), "i", "u"))
+    # one degree per row: ranking by count before the division keeps ties exact
+    top = G.top_per_row(shared, 10)
+    return top.join(G.degrees(shared), "i").select("i", "j", six(F.col("w") / F.col("d")).alias("w"), big("rk"))
+
+
+@query(f"with {INTER}, b as (select u i, i + 1000000 j, 1.0::double w from inter union all select i + 1000000, u, 1.0 from inter), {_sym('nm', 'b')} select i, j, round(w, 6) w from nm")
+def ui_sym(s, d):
+    return G.normalised(G.bipartite(inter(s, d), 1_000_000), "sym").select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC} select i, j, round(w / (sum(w) over (partition by i))::double, 6) w from top")
+def cooc_rownorm(s, d):
+    return G.row_scaled(cooc(s, d), "sum").select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC} select i, j, round(w / (max(w) over (partition by i))::double, 6) w from top")
+def cooc_rowmax(s, d):
+    return G.row_scaled(cooc(s, d), "max").select("i", "j", six("w").alias("w"))
+
+
+_MAXSYM = "m as (select i, j, greatest(max(w), 0)::double w from (select i, j, w from top union all select j, i, w from top) group by 1, 2)"
+
+
+@query(f"with {COOC}, {_MAXSYM}, {_sym('nm', 'm')} select i, j, round(w, 6) w from nm")
+def sym_norm_max(s, d):
+    return G.normalised(staged(G.symmetric_max(cooc(s, d))), "sym").select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC}, t as (select i, j, w::double w from top), {_sym('nm', 't', '2sym')} select i, j, round(w, 6) w from nm")
+def norm_2sym(s, d):
+    return G.normalised(staged(cooc(s, d)), "2sym").select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC} select i, j, round(sum(w) * 0.5::double, 6) w from (select i, j, w from top union all select j, i, w from top) group by 1, 2")
+def sym_avg(s, d):
+    return G.symmetric_mean(cooc(s, d)).select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC}, p as (select i, count(*) d from top group by 1) select cast(sum(d) as bigint) nnz, count(*) \"rows\", round(sum(d) / 2000.0::double, 6) avg_degree, max(d) max_degree from p")
+def graph_stats(s, d):
+    return G.graph_stats(cooc(s, d), 2000).withColumn("avg_degree", six("avg_degree"))
+
+
+@query(f"with {FEATURES}, {_knn('kn', '(select i, e v from f)', 10)} select i, j, round(sim, 6) sim, rk from kn")
+def knn_cosine(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), A.doubles("embedding").alias("v"))
+    return S.cosine_neighbours(v, 10).select("i", "j", six("sim").alias("sim"), big("rk"))
+
+
+def _neighbours(s, d, include_self: bool) -> DataFrame:
+    both = [S.cosine_neighbours(half(s, d, m), 10, include_self).select(F.lit(m).alias("m"), "i", "j") for m in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+def _hyper_sql(with_self: bool) -> str:
+    return (
+        FEATURES + ", " + _knn("ki", "img", 10, with_self) + ", " + _knn("kt", "txt", 10, with_self)
+        + ", kn as (select 0 m, i, j from ki union all select 1, i, j from kt), h as (select a.i, b.i j, count(*)::double w from kn a join kn b on a.m = b.m and a.j = b.j group by 1, 2), " + _sym("nm", "h")
+    )
+
+
+@query(f"with {_hyper_sql(True)} select i, j, round(w, 6) w from nm")
+def hypergraph_self(s, d):
+    return G.normalised(staged(G.hypergraph(_neighbours(s, d, True))), "sym").select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {_hyper_sql(False)} select i, j, round(w, 6) w from nm")
+def hypergraph_noself(s, d):
+    return G.normalised(staged(G.hypergraph(_neighbours(s, d, False))), "sym").select("i", "j", six("w").alias("w"))
+
+
+def tree_of(s, d) -> DataFrame:
+    return staged(G.interest_tree(G.co_counts(inter(s, d), "u", "i", 2), HOPS, TREE_K))
+
+
+@query(f"with {TREE} select anchor, nbr, cast(ord as bigint) ord, w from tree")
+def interest_tree(s, d):
+    return tree_of(s, d).select("anchor", "nbr", big("ord"), "w")
+
+
+@query(f"with {TREE}, {COEF} select i, j, round(w, 6) w from coef")
+def tree_coef(s, d):
+    return G.tree_coefficients(tree_of(s, d), GAMMA, TAU).select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 * (1 + coalesce(c.w, 0)), 6) w from ki k left join coef c on c.i = k.i and c.j = k.j")
+def augmented_graph(s, d):
+    sim = S.cosine_neighbours(half(s, d, 0), 10).select("i", "j", F.col("sim").alias("w"))
+    return G.augmented(sim, G.tree_coefficients(tree_of(s, d), GAMMA, TAU)).select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 + coalesce(c.w, 0) * k.sim, 6) w from ki k left join coef c on c.i = k.i and c.j = k.j")
+def augmented_sparse(s, d):
+    sim = S.cosine_neighbours(half(s, d, 0), 10).select("i", "j", F.col("sim").alias("w"))
+    return G.augmented(sim, G.tree_coefficients(tree_of(s, d), GAMMA, TAU), "sparse").select("i", "j", six("w").alias("w"))
+
+
+_DENSE = (
+    "pairs as (select i, j from ki union select c.i, c.j from coef c join img a on a.i = c.i join img b on b.i = c.j) "
+    "select p.i, p.j, round(coalesce(k.sim, 0) + coalesce(c.w, 0) * round(list_cosine_similarity(a.v, b.v), 9), 6) w from pairs p join img a on a.i = p.i join img b on b.i = p.j left join ki k on k.i = p.i and k.j = p.j left join coef c on c.i = p.i and c.j = p.j"
+)
+
+
+@query(f"with {TREE}, {COEF}, {SIMS}, {_DENSE}")
+def augmented_dense(s, d):
+    v = half(s, d, 0)
+    sim = S.cosine_neighbours(v, 10).select("i", "j", F.col("sim").alias("w"))
+    coef = staged(G.tree_coefficients(tree_of(s, d), GAMMA, TAU))
+    full = coef.select("i", "j").join(v.toDF("i", "a"), "i").join(v.toDF("j", "b"), "j").select("i", "j", F.round(A.cosine("a", "b"), 9).alias("w"))
+    return G.augmented(sim, coef, "dense", full).select("i", "j", six("w").alias("w"))
+
+
+@query(f"with {COOC}, cnt as (select i, count(*) n from inter group by 1) select t.i, t.j, round(t.w * pow((greatest(a.n, 1) * greatest(b.n, 1))::double, -{ETA}), 6) w from top t join cnt a on a.i = t.i join cnt b on b.i = t.j")
+def pop_inverse_graph(s, d):
+    n = inter(s, d).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return G.popularity_damped(cooc(s, d), n, ETA).select("i", "j", six("w").alias("w"))
+
+
+_FUSED = (
+    f"{TREE}, {COEF}, top as (select * from (select i, j, w, row_number() over (partition by i order by w desc, j) rk from co) where rk <= 20), cnt as (select i, count(*) n from inter group by 1), {SIMS}, "
+    "parts as (select k.i, k.j, k.sim * 0.5 * (1 + coalesce(c.w, 0)) w from ki k left join coef c on c.i = k.i and c.j = k.j union all select k.i, k.j, k.sim * 0.5 * (1 + coalesce(c.w, 0)) from kt k left join coef c on c.i = k.i and c.j = k.j "
+    f"union all select t.i, t.j, 0.3::double * t.w / (sum(t.w) over (partition by t.i))::double * pow((a.n * b.n)::double, -{ETA}) from top t join cnt a on a.i = t.i join cnt b on b.i = t.j), "
+    f"sm as (select i, j, sum(w) w from parts group by 1, 2), m as (select i, j, greatest(max(w), 0) w from (select i, j, w from sm union all select j, i, w from sm) group by 1, 2), {_sym('nm', 'm')}"
+)
+
+
+@query(f"with {_FUSED} select i, j, round(w, 6) w from nm")
+def fused_item_graph(s, d):
+    sims = [(1.0, S.cosine_neighbours(half(s, d, m), 10).select("i", "j", F.col("sim").alias("w"))) for m in (0, 1)]
+    co = staged(cooc(s, d))
+    n = inter(s, d).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    coef = staged(G.tree_coefficients(tree_of(s, d), GAMMA, TAU))
+    return G.fused_item_graph(sims, coef, co, 0.3, n, ETA).select("i", "j", six("w").alias("w"))
+
+
+_PATTERNS = PAIRS + ", n as (select i, count(*) n from inter group by 1), pat as (select c.i, c.j, c.w support, c.w / least(a.n, b.n)::double rel from co c join n a on a.i = c.i join n b on b.i = c.j where c.i < c.j and c.w >= 3 and c.w / least(a.n, b.n)::double >= 0.1)"
+
+
+@query(f"with {_PATTERNS} select i, j, support, round(rel, 6) rel from pat")
+def pair_patterns(s, d):
+    return G.pair_patterns(inter(s, d), 3, 0.1).withColumn("rel", six("rel"))
+
+
+def _blend_sql(alpha: float) -> str:
+    return (
+        f"{_PATTERNS}, top as (select * from (select i, j, w, row_number() over (partition by i order by w desc, j) rk from co) where rk <= 20), "
+        "b as (select i, j, support w from pat union all select j, i, support from pat), an as (select i, j, w / (max(w) over (partition by i))::double w from top), bn as (select i, j, w / (max(w) over (partition by i))::double w from b), "
+        f"mx as (select i, j, sum(w) w from (select i, j, {1 - alpha}::double * w w from an union all select i, j, {alpha}::double * w from bn) group by 1, 2), sy as (select i, j, round(sum(w) * 0.5, 9) w from (select i, j, w from mx union all select j, i, w from mx) group by 1, 2), "
+        "bl as (select * from (select i, j, w, row_number() over (partition by i order by w desc, j) rk from sy) where rk <= 20)"
+    )
+
+
+def blend(s, d, alpha: float) -> DataFrame:
+    pat = G.pair_patterns(inter(s, d), 3, 0.1).select("i", "j", F.col("support").alias("w"))
+    mixed = G.weighted_sum([(1 - alpha, G.row_scaled(staged(cooc(s, d)), "max")), (alpha, G.row_scaled(staged(G.mirrored(pat)), "max"))])
+    return G.top_per_row(G.symmetric_mean(mixed).select("i", "j", F.round("w", 9).alias("w")), 20)
+
+
+@query(" union all ".join(f"select {a}::double alpha, * from (with {_blend_sql(a)} select i, j, round(w, 6) w, rk from bl)" for a in (0.1, 0.2, 0.4)))
+def rsfp_blend(s, d):
+    parts = [blend(s, d, a).select(F.lit(a).alias("alpha"), "i", "j", six("w").alias("w"), big("rk")) for a in (0.1, 0.2, 0.4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"with {_blend_sql(0.1)}, t10 as (select i, j, w from bl where rk <= {TREE_K}), {_tree('t10')} select anchor, nbr, cast(ord as bigint) ord, round(w, 6) w from tree")
+def rsfp_tree(s, d):
+    return G.interest_tree(blend(s, d, 0.1).drop("rk"), HOPS, TREE_K).select("anchor", "nbr", big("ord"), six("w").alias("w"))
+
+
+_DIFF = f"{_blend_sql(0.1)}, b2 as (select i, j from bl), t2 as (select i, j from top) select 'only_first' side, count(*) n from (select * from t2 except all select * from b2) union all select 'only_second', count(*) from (select * from b2 except all select * from t2)"
+
+
+@query(f"with {_DIFF}")
+def cache_diff(s, d):
+    return G.difference(cooc(s, d).select("i", "j"), blend(s, d, 0.1).select("i", "j"))
+
+
+# ---- ranking and metrics ----
+
+
+def scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, relevant, scores): neighbours by training co-occurrence."""
+    sp = staged(split(s, d))
+    train = sp.filter("split = 'train'").select("u", "i")
+    nb = G.top_per_row(G.co_counts(train, "u", "i", 2), 20)
+    return train, sp.filter("split = 'test'").select("u", "i"), staged(R.neighbour_scores(train, nb))
+
+
+@query(f"with {SCORES} select u, i, rk from ranked")
+def topk_masked(s, d):
+    return R.top_scores(scored(s, d)[2], 20).select("u", "i", big("rk"))
+
+
+def _metrics_sql(ideal: str) -> str:
+    return (
+        f"{SCORES}, np as (select u, count(*) n_pos from te group by 1), h as (select r.u, rk, (te.u is not null)::int hit from ranked r left join te on te.u = r.u and te.i = r.i), ks as (select unnest([10, 20]) k), "
+        "per as (select np.u, k, n_pos, coalesce(sum(hit) filter (rk <= k), 0) h, coalesce(sum(hit), 0) ha, coalesce(sum(hit / log2(rk + 1.0::double)) filter (rk <= k), 0) g from np cross join ks left join h on h.u = np.u group by 1, 2, 3), "
+        "idl as (select m, coalesce((select sum(1 / log2(r + 1.0::double)) from range(1, 21) t(r) where r <= m), 0) ideal from (select unnest(range(0, 21)) m)) "
+        f"select cast(k as bigint) k, count(*) users, round(avg(h / k::double), 6) as precision, round(avg(h / n_pos::double), 6) recall, round(avg(case when ideal > 0 then g / ideal else 0 end), 6) ndcg, round(avg((h > 0)::int::double), 6) hit from per join idl on m = {ideal} group by 1"
+    )
+
+
+def _metrics(s, d, ideal: str) -> DataFrame:
+    _, rel, sc = scored(s, d)
+    m = R.metrics_at(R.top_scores(sc, max(KS)), rel, KS, ideal)
+    return m.select(big("k"), "users", *[six(c).alias(c) for c in ("precision", "recall", "ndcg", "hit")])
+
+
+@query(f"with {_metrics_sql('h')}")
+def rank_metrics_prefix(s, d):
+    return _metrics(s, d, "prefix")
+
+
+@query(f"with {_metrics_sql('least(k, ha)')}")
+def rank_metrics_kmax(s, d):
+    return _metrics(s, d, "kmax")
+
+
+_AUC = (
+    f"{SCORES}, y as (select sc.u, score, (te.u is not null)::int y from sc left join te on te.u = sc.u and te.i = sc.i), r as (select u, y, rank() over (partition by u order by score) + (count(*) over (partition by u, score) - 1) / 2.0::double r from y), "
+    "z as (select u, sum(r) filter (y = 1) s, sum(y)::double p, count(*)::double n from r group by 1) select u, round(case when p > 0 and n > p then (s - p * (p + 1) / 2) / (p * (n - p)) else 0 end, 6) auc from z"
+)
+
+
+@query(f"with {_AUC}")
+def auc_user(s, d):
+    _, rel, sc = scored(s, d)
+    return R.auc_per_user(sc, rel).withColumn("auc", six("auc"))
+
+
+_BUCKETS = (
+    SCORES + ", cnt as (select p_partkey i, count(u) n from part left join tr on i = p_partkey group by 1), bk as (select i, case when r < tot // 3 then 'tail' when r < 2 * tot // 3 then 'mid' else 'head' end bucket from (select i, row_number() over (order by n, i) - 1 r, count(*) over () tot from cnt)), "
+    "pu as (select bucket, te.u, count(r.u) / count(*)::double recall from te join bk using (i) left join ranked r on r.u = te.u and r.i = te.i group by 1, 2), br as (select bucket, count(*) users, avg(recall) recall from pu group by 1)"
+)
+
+
+def _buckets(s, d) -> DataFrame:
+    train, rel, sc = scored(s, d)
+    return R.bucket_recall(R.top_scores(sc, 20), rel, P.terciles(staged(P.item_counts(train, items(s, d)))), 20)
+
+
+@query(f"with {_BUCKETS} select bucket, users, round(recall, 6) recall from br")
+def tercile_recall(s, d):
+    return _buckets(s, d).withColumn("recall", six("recall"))
+
+
+@query(f"with {_BUCKETS}, p as (select max(recall) filter (bucket = 'head') h, max(recall) filter (bucket = 'mid') m, max(recall) filter (bucket = 'tail') t from br) select round(case when h > 0 and m > 0 and t > 0 then pow(h * m * t, 1 / 3.0::double) else 0 end, 6) bucket_geo from p")
+def bucket_geo(s, d):
+    at = [F.max(F.when(F.col("bucket") == b, F.col("recall"))).alias(b) for b in ("head", "mid", "tail")]
+    return _buckets(s, d).agg(*at).select(six(R.geometric_mean(F.col("head"), F.col("mid"), F.col("tail"))).alias("bucket_geo"))
+
+
+@query(f"with {SCORES} select round(count(distinct i) / (select max(i) + 1 from inter)::double, 6) coverage from ranked")
+def coverage(s, d):
+    n = inter(s, d).agg(F.max("i") + 1).first()[0]
+    return P.coverage(R.top_scores(scored(s, d)[2], 20), n).select(six("coverage").alias("coverage"))
+
+
+_DOTS = (
+    f"{PARTS}, uv as (select distinct u, [((u * 2654435761 + k * 40503) % 1000) / 1000.0::double - 0.5 for k in range(4)] v from tr), iv as (select p_partkey i, [((p_partkey * 2654435761 + k * 40503) % 1000) / 1000.0::double - 0.5 for k in range(4)] v from part), "
+    "sc as (select u, iv.i, round(list_dot_product(uv.v, iv.v), 9) score from uv cross join iv anti join tr on tr.u = uv.u and tr.i = iv.i), rk as (select u, i, row_number() over (partition by u order by score desc, i) rk from sc)"
+)
+
+
+@query(f"with {_DOTS} select u, i, rk from rk where rk <= 10")
+def factor_topk(s, d):
+    train = staged(part_of(s, d, "train"))
+    users = vectors_of(train.select(F.col("u").alias("i")).distinct()).toDF("u", "v")
+    return R.factor_top(users, vectors_of(items(s, d)), train, 10).select("u", "i", big("rk"))
+
+
+# ---- features ----
+
+_DFT = "{0} as (select i, k, sum(x * cos(2 * pi() * k * t / 32)) / sqrt(32) re, -sum(x * sin(2 * pi() * k * t / 32)) / sqrt(32) im from (select i, unnest(v) x, unnest(range(32)) t from {1}) cross join (select unnest(range(17)) k) group by 1, 2)"
+SPECTRA = f"{FEATURES}, {_DFT.format('zi', 'img')}, {_DFT.format('zt', 'txt')}"
+
+
+def z_of(s, d, m: int) -> DataFrame:
+    return staged(FE.spectra(half(s, d, m), HALF))
+
+
+@query(f"with {SPECTRA} select i, k, round(sqrt(re * re + im * im), 6) amp from zi")
+def rfft_amp(s, d):
+    return z_of(s, d, 0).select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
+
+
+@query(f"with {FEATURES} select i, round(x, 6) x, d from (select i, unnest(v) x, unnest(range(32)) d from img)")
+def rfft_roundtrip(s, d):
+    return FE.inverse_spectra(z_of(s, d, 0), HALF).select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
+
+
+_PHASE = (
+    "cs as (select a.i, a.k, a.re * b.re + a.im * b.im x, a.im * b.re - a.re * b.im y from zi a join zt b using (i, k)), un as (select cat, k, x / nullif(sqrt(x * x + y * y), 0) x, y / nullif(sqrt(x * x + y * y), 0) y from cs join f using (i)), "
+    "th as (select cat, k, atan2(sum(y), sum(x)) t from un group by 1, 2)"
+)
+
+
+@query(f"with {SPECTRA}, {_PHASE} select cast(cat as bigint) cat, k, round(cos(t), 6) + 0.0 c, round(sin(t), 6) + 0.0::double s from th")
+def apc_theta(s, d):
+    t = FE.category_phase(z_of(s, d, 0), z_of(s, d, 1), cats(s, d))
+    return t.select("cat", big("k"), six(F.cos("theta")).alias("c"), six(F.sin("theta")).alias("s"))
+
+
+@query(f"with {SPECTRA}, {_PHASE} select a.i, a.k, round(sqrt(a.re * a.re + a.im * a.im), 6) amp from zi a")
+def apc_rotated_amp(s, d):
+    zi, zt = z_of(s, d, 0), z_of(s, d, 1)
+    theta = staged(FE.category_phase(zi, zt, cats(s, d)))
+    r = FE.rotated(zi, cats(s, d), theta, -1.0, 0.1)
+    return r.select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
+
+
+_PRIOR = "am as (select i, k, sqrt(re * re + im * im) a from zi), wi as (select avg(v) intra from (select var_pop(a) v from am group by i)), pr as (select k, var_pop(a) / (var_pop(a) + any_value(intra) + 1e-8) p from am cross join wi group by 1)"
+
+
+@query(f"with {SPECTRA}, {_PRIOR} select k, round(p, 6) prior, round(least(greatest(ln((p + 1e-8) / (1 - p + 1e-8)), -2), 2), 6) logit from pr")
+def avrf_logit(s, d):
+    p = FE.bin_prior(z_of(s, d, 0))
+    return p.select(big("k"), six("prior").alias("prior"), six(FE.clipped_logit(F.col("prior"))).alias("logit"))
+
+
+@query(f"with {SPECTRA}, {_PRIOR} select i, k, round(sqrt(re * re + im * im) * abs(1 + tanh(least(greatest(ln((p + 1e-8) / (1 - p + 1e-8)), -2), 2))), 6) amp from zi join pr using (k)")
+def avrf_gated(s, d):
+    z = z_of(s, d, 0)
+    g = FE.gated(z, FE.bin_prior(z).select("k", FE.clipped_logit(F.col("prior")).alias("logit")))
+    return g.select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
+
+
+@query(f"with {SPECTRA} select i, round(avg(least(greatest(((a.re * b.re + a.im * b.im) ** 2 + (a.im * b.re - a.re * b.im) ** 2) / ((a.re ** 2 + a.im ** 2) * (b.re ** 2 + b.im ** 2) + 1e-8), 0), 1)), 6) coherence from zi a join zt b using (i, k) group by 1")
+def imcf(s, d):
+    return FE.coherence(z_of(s, d, 0), z_of(s, d, 1)).withColumn("coherence", six("coherence"))
+
+
+@query(
+    f"with {SPECTRA}, am as (select k, round(sqrt(re * re + im * im), 9) a from zi), md as (select k, percentile_disc(0.5) within group (order by a) med from am group by 1), dv as (select k, med, abs(a - med) d from am join md using (k)) "
+    "select k, round(any_value(med), 6) med, round(percentile_disc(0.5) within group (order by d), 6) mad from dv group by 1"
+)
+def mad(s, d):
+    return FE.deviation(z_of(s, d, 0)).select(big("k"), six("med").alias("med"), six("mad").alias("mad"))
+
+
+@query(
+    f"with {FEATURES}, x as (select i, unnest(v) x, unnest(range(32)) d from img), m as (select d, avg(x) m from x group by 1), c as (select i, x.d, x.x - m.m x from x join m using (d)) "
+    "select a.d a, b.d b, round(sum(a.x * b.x) / (count(*) - 1), 6) + 0.0::double cov from c a join c b using (i) group by 1, 2"
+)
+def feature_covariance(s, d):
+    _, _, cov = FE.moments(half(s, d, 0))
+    rows = [(a, b, float(cov[a, b])) for a in range(HALF) for b in range(HALF)]
+    return s.createDataFrame(rows, "a bigint, b bigint, cov double").withColumn("cov", six("cov"))
+
+
+@query()
+def zca(s, d):
+    return FE.zca(half(s, d, 0)).select("i", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+
+
+@query("with n as (select count(*) n from embeddings) select n, true white from n")
+def zca_white(s, d):
+    r = FE.whitening_report(FE.zca(half(s, d, 0)))
+    return r.select("n", ((F.col("max_offdiag") < 0.01) & (F.col("var_min") > 0.9) & (F.col("var_max") < 1.01)).alias("white"))
+
+
+@query()
+def pca_ica(s, d):
+    return FE.pca_ica(half(s, d, 0), floor=0.9, steps=30).select("i", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
+@query(
+    f"with {FEATURES}, nr as (select avg(sqrt(list_dot_product(img.v, img.v))) / avg(sqrt(list_dot_product(txt.v, txt.v))) s from img join txt using (i)), "
+    "o as (select img.i, img.v a, txt.v b from img join txt using (i)) select i, d, round(a + 0.2::double * s * b, 6) x from (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d from o) cross join nr"
+)
+def macp_residual(s, d):
+    f = FE.fused_streams(half(s, d, 0), half(s, d, 1), None, "residual", 0.2)
+    return f.select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
+
+
+@query(
+    f"with {FEATURES}, m as (select i, list_avg(v) m, list_var_pop(v) s from txt) select i, d, round(a + 0.1::double * (b - m) / sqrt(s + 1e-5), 6) x from (select img.i, unnest(img.v) a, unnest(txt.v) b, unnest(range(32)) d from img join txt using (i)) join m using (i)"
+)
+def layernorm_route(s, d):
+    both = half(s, d, 0).join(half(s, d, 1).toDF("i", "c"), "i")
+    r = both.select("i", A.soft_route("v", "c", 0.1).alias("v"))
+    return r.select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
+
+
+@query(f"with {FEATURES} select round(avg((abs(tanh(x)) > 0.95)::int::double), 6) saturation from (select unnest(v) x from img)")
+def tanh_saturation(s, d):
+    return half(s, d, 0).select(F.explode("v").alias("x")).agg(six(FE.saturation(F.col("x"))).alias("saturation"))
+
+
+@query("select label::bigint cat, count(*) n from embeddings group by 1")
+def category_sizes(s, d):
+    return cats(s, d).groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def kmeans_categories(s, d):
+    return FE.item_clusters(half(s, d, 0), 10)
+
+
+# ---- propagation ----
+
+_E0 = "e0 as (select node, d dim, ((node * 2654435761 + d * 40503) % 1000) / 1000.0::double - 0.5 x from (select distinct i node from {0}) cross join (select unnest(range(4)) d))"
+_STEP = "e{1} as (select b.i node, dim, sum(b.w * e.x) x from {2} b join e{0} e on e.node = b.j group by 1, 2)"
+_BIP = f"{PARTS}, bp as (select u i, i + 1000000 j, 1.0::double w from tr union all select i + 1000000, u, 1.0 from tr), {_sym('nm', 'bp')}, {_E0.format('nm')}, {_STEP.format(0, 1, 'nm')}, {_STEP.format(1, 2, 'nm')}"
+
+
+def train_graph(s, d) -> DataFrame:
+    return staged(G.normalised(staged(G.bipartite(part_of(s, d, "train"), 1_000_000)), "sym"))
+
+
+def _start(g: DataFrame) -> DataFrame:
+    return hashed_embedding(g.select(F.col("i").alias("node")).distinct())
+
+
+def _emb(e: DataFrame) -> DataFrame:
+    return e.select("node", big("dim"), six("x").alias("x"))
+
+
+@query(f"with {_BIP} select node, dim, round(x, 6) + 0.0::double x from e1")
+def lightgcn_l1(s, d):
+    g = train_graph(s, d)
+    return _emb(PR.last_layer(g, _start(g), 1))
+
+
+@query(f"with {_BIP}, al as (select * from e0 union all select * from e1 union all select * from e2) select node, dim, round(sum(x) / 3, 6) + 0.0::double x from al group by 1, 2")
+def lightgcn_mean(s, d):
+    g = train_graph(s, d)
+    return _emb(PR.layer_mean(g, _start(g), 2))
+
+
+@query(f"with {_hyper_sql(True)}, {_E0.format('nm')}, {_STEP.format(0, 1, 'nm')}, {_STEP.format(1, 2, 'nm')} select node, dim, round(x, 6) + 0.0::double x from e2")
+def hyper_conv(s, d):
+    g = staged(G.normalised(staged(G.hypergraph(_neighbours(s, d, True))), "sym"))
+    return _emb(PR.last_layer(g, _start(g), 2))
+
+
+@query()
+def ngcf_layer(s, d):
+    g = train_graph(s, d)
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    w1, w2, b = rng.standard_normal((4, 4)), rng.standard_normal((4, 4)), np.zeros(4)
+    emb = vectors_of(g.select("i").distinct())
+    return PR.gated_layer(g, emb, w1, b, w2, b).select("i", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+
+
+_GATE = [1.0, 0.5, 2.0, 1.5]
+_PROTO = [[0.5, -0.5, 0.2, 0.1], [-0.3, 0.4, 0.1, -0.2], [0.1, 0.1, -0.6, 0.3]]
+
+
+def _soft(v: str) -> str:
+    dots = ", ".join(f"list_dot_product({v}, {p}::double[])" for p in _PROTO)
+    return f"[{dots}]"
+
+
+_EDGE = (
+    f"{PARTS}, ev as (select u, i, [((u * 2654435761 + k * 40503) % 1000) / 1000.0::double - 0.5 for k in range(4)] a, [((i * 2654435761 + k * 40503) % 1000) / 1000.0::double - 0.5 for k in range(4)] b from tr), "
+    f"pe as (select u, i, a, b, {_soft('a')} pa, {_soft('b')} pb from ev), "
+    "sf as (select u, i, a, b, list_transform(pa, lambda x: exp(x / 0.5)) ea, list_transform(pb, lambda x: exp(x / 0.5)) eb from pe), "
+    f"q as (select u, i, 1 / (1 + exp(-list_dot_product(a, b))) sav, 1 / (1 + exp(-(a[1] * b[1] * {_GATE[0] ** 2} + a[2] * b[2] * {_GATE[1] ** 2} + a[3] * b[3] * {_GATE[2] ** 2} + a[4] * b[4] * {_GATE[3] ** 2}))) q, list_dot_product(ea, eb) / (list_sum(ea) * list_sum(eb)) ptv from sf), "
+    "ew as (select u, i, sav, exp(q) / sum(exp(q)) over (partition by u) iav, ptv from q)"
+)
+
+
+def _edges(s, d, prototypes) -> DataFrame:
+    train = staged(part_of(s, d, "train"))
+    users, its = vectors_of(train.select(F.col("u").alias("i")).distinct()), vectors_of(items(s, d))
+    return PR.edge_weights(train, users, its, _GATE, prototypes, 0.3, 0.5)
+
+
+@query(f"with {_EDGE} select u, i, round(sav, 6) sav, round(iav, 6) iav, round(sav + iav - sav * iav, 6) w from ew")
+def edge_weights(s, d):
+    return _edges(s, d, None).select("u", "i", *[six(c).alias(c) for c in ("sav", "iav", "w")])
+
+
+@query(f"with {_EDGE} select u, i, round(ptv, 6) ptv, round(sav + iav + 0.3::double * ptv - 1.3::double * sav * iav, 6) w from ew")
+def ptv(s, d):
+    return _edges(s, d, _PROTO).select("u", "i", *[six(c).alias(c) for c in ("ptv", "w")])
+
+
+# ---- sampling and losses ----
+
+_TRIP = (
+    f"{PARTS}, ni as (select max(p_partkey) + 1 n from part), ps as (select u, arg_min(i, h * 1000000000 + i) pos from (select u, i, ((i + 1) * 2654435761 + u * 40503) % 1000003 h from tr) group by 1), "
+    "cd as (select u, pos, t, (u * 2654435761 + (t + 1) * 7919) % n neg from ps cross join ni cross join (select unnest(range(8)) t)), trip as (select u, any_value(pos) pos, arg_min(neg, t) neg from (select * from cd anti join tr on tr.u = cd.u and tr.i = cd.neg) group by 1)"
+)
+
+
+def _triplets(s, d) -> DataFrame:
+    n = table(s, d, "part").agg(F.max("p_partkey") + 1).first()[0]
+    return L.triplets(staged(part_of(s, d, "train")), n)
+
+
+@query(f"with {_TRIP} select u, pos, neg from trip")
+def bpr_triplets(s, d):
+    return _triplets(s, d)
+
+
+def _vec(c: str) -> str:
+    return f"[(({c} * 2654435761 + k * 40503) % 1000) / 1000.0::double - 0.5 for k in range(4)]"
+
+
+@query(
+    f"with {_TRIP}, v as (select {_vec('u')} a, {_vec('pos')} b, {_vec('neg')} c from trip join part on p_partkey = neg) "
+    "select count(*) n, round(avg(ln(1 + exp(-(list_dot_product(a, b) - list_dot_product(a, c))))), 6) bpr, round(0.001::double * sum(list_dot_product(a, a) + list_dot_product(b, b) + list_dot_product(c, c)) / 2 / count(*), 6) reg from v"
+)
+def bpr_loss(s, d):
+    t = staged(_triplets(s, d))
+    users = vectors_of(t.select(F.col("u").alias("i")))
+    r = L.bpr(t, users, vectors_of(items(s, d)), 0.001)
+    return r.select("n", six("bpr").alias("bpr"), six("reg").alias("reg"))
+
+
+def _nce(a: str, b: str, on: str, shift: str = "0", tau: float = 0.2) -> str:
+    return (
+        f"select a.i, a.i = b.i same, list_cosine_similarity(a.v, b.v) / {tau}::double - {shift} s from {a} a join {b} b on {on}"
+    )
+
+
+def _loss(rows: str) -> str:
+    return f"(select count(*) n, avg(lse - diag) loss from (select i, max(s) filter (same) diag, ln(sum(exp(s - 5)) ) + 5 lse from ({rows}) group by 1))"
+
+
+@query(f"with {FEATURES} select n, round(loss, 6) loss from {_loss(_nce('img', 'txt', 'a.i // 128 = b.i // 128'))}")
+def infonce_batchn(s, d):
+    return L.infonce(half(s, d, 0), half(s, d, 1), 0.2, 128).select("n", six("loss").alias("loss"))
+
+
+@query(
+    f"with {FEATURES}, {COUNTS}, lq as (select i, least(greatest(0.5 * ln((n + 1.0::double) / sum(n + 1.0::double) over ()), -5), 5) q from cnt), b as (select t.i, v, q from txt t join lq using (i)), ia as (select i, v from img semi join lq using (i)) "
+    f"select n, round(loss, 6) loss from {_loss(_nce('ia', 'b', 'a.i // 128 = b.i // 128', 'b.q'))}"
+)
+def infonce_logq(s, d):
+    q = P.log_prior(staged(counts(s, d)), 1.0, "laplace")
+    ids = q.select("i")
+    return L.infonce(half(s, d, 0).join(ids, "i", "left_semi"), half(s, d, 1), 0.2, 128, q, 0.5, 5.0).select("n", six("loss").alias("loss"))
+
+
+@query(f"with {FEATURES} select n, round(loss, 6) loss from {_loss(_nce('img', 'txt', 'true'))}")
+def infonce_allrank(s, d):
+    return L.infonce_all(half(s, d, 0), half(s, d, 1), 0.2).select("n", six("loss").alias("loss"))
+
+
+@query(f"with {FEATURES}, x as (select a.n, (a.loss + b.loss) / 2 loss from {_loss(_nce('img', 'txt', 'a.i // 256 = b.i // 256'))} a cross join {_loss(_nce('txt', 'img', 'a.i // 256 = b.i // 256'))} b) select n, round(loss, 6) loss from x")
+def align_loss(s, d):
+    a, b = half(s, d, 0), half(s, d, 1)
+    return L.both_ways(L.infonce(a, b, 0.2, 256), L.infonce(b, a, 0.2, 256)).select("n", six("loss").alias("loss"))
+
+
+@query("with r as (select user_id key, dense_rank() over (partition by user_id order by event_id) - 1 epoch, value x from events where user_id is not null and value is not null) select key, epoch, first_value(x) over (partition by key order by epoch) ema from r")
+def ema_frozen(s, d):
+    return L.running_state(_updates(s, d), 5, frozen=True).select("key", big("epoch"), "ema")
+
+
+def _updates(s, d) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(s, d, "events").filter("user_id is not null and value is not null")
+    return e.select(F.col("user_id").alias("key"), (F.dense_rank().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("epoch"), F.col("value").alias("x"))
+
+
+@query(
+    "with recursive r as (select user_id key, row_number() over (partition by user_id order by event_id) - 1 epoch, value x from events where user_id is not null and value is not null), "
+    "e as (select key, epoch, x ema from r where epoch = 0 union all select r.key, r.epoch, (case when r.epoch < 5 then 1 - 1 / (r.epoch + 1.0::double) else 0.99::double end) * e.ema + (1 - (case when r.epoch < 5 then 1 - 1 / (r.epoch + 1.0::double) else 0.99::double end)) * r.x from e join r on r.key = e.key and r.epoch = e.epoch + 1) "
+    "select key, epoch, round(ema, 6) ema from e"
+)
+def ema(s, d):
+    return L.running_state(_updates(s, d), 5).select("key", big("epoch"), six("ema").alias("ema"))
+
+
+@query("select time_bucket(interval '1 hour', ts) start, event_type, count(*) n from events where ts is not null group by 1, 2")
+def windowed_events(s, d):
+    return windowed_counts(table(s, d, "events"), "ts", "event_type")
+
+
+# ---- experiments ----
+
+_RUNS = "runs as (select o_orderpriority tag, o_orderkey % 5 seed, avg(o_totalprice) / 1000000 recall, avg(o_totalprice) filter (o_orderstatus = 'F') / 1000000 ndcg from orders group by 1, 2)"
+
+
+def runs(s, d) -> DataFrame:
+    """Run records made of order prices: one per priority and key residue."""
+    o = table(s, d, "orders")
+    m = F.avg("o_totalprice") / 1000000
+    f = F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 1000000
+    return o.groupBy(F.col("o_orderpriority").alias("tag"), (F.col("o_orderkey") % 5).alias("seed")).agg(m.alias("recall"), f.alias("ndcg"))
+
+
+@query(f"with {_RUNS} select tag, round(avg(recall), 6) recall_mean, round(coalesce(stddev_samp(recall), 0), 6) recall_std, count(recall) recall_n, round(avg(ndcg), 6) ndcg_mean, round(coalesce(stddev_samp(ndcg), 0), 6) ndcg_std, count(ndcg) ndcg_n from runs group by 1")
+def seed_summary(s, d):
+    r = H.seed_summary(runs(s, d), ["tag"], ["recall", "ndcg"])
+    return r.select("tag", *[(six(c) if not c.endswith("_n") else F.col(c)).alias(c) for c in r.columns if c != "tag"])
+
+
+@query(f"with {_RUNS}, m as (select tag, avg(recall) r from runs group by 1), b as (select r b from m where tag = '1-URGENT') select tag, round(r, 6) mean, round((r - b) * 100, 6) delta_points, case when r - b >= 0.0005 then 'better' when r - b <= -0.0005 then 'worse' else 'equal' end verdict from m, b")
+def ablation_delta(s, d):
+    r = H.baseline_delta(H.seed_summary(runs(s, d), ["tag"], ["recall"]), "tag", "1-URGENT", "recall_mean")
+    return r.select("tag", six("mean").alias("mean"), six("delta_points").alias("delta_points"), "verdict")
+
+
+@query(f"with {_RUNS}, p as (select a.recall - b.recall d from runs a join runs b using (seed) where a.tag = '1-URGENT' and b.tag = '5-LOW') select count(*) n, round(avg(d), 6) mean_diff, round(stddev_samp(d) / sqrt(count(*)), 6) sem, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) t from p")
+def paired_ttest(s, d):
+    r = staged(runs(s, d))
+    pair = r.filter("tag = '1-URGENT'").select("seed", F.col("recall").alias("a")).join(r.filter("tag = '5-LOW'").select("seed", F.col("recall").alias("b")), "seed")
+    t = H.paired_statistics(pair, "a", "b")
+    return t.select("n", six("mean_diff").alias("mean_diff"), six("sem").alias("sem"), F.round("t", 5).alias("t"))
+
+
+@query(
+    r"with l as (select user_id run, event_id n, props line from events), x as (select run, n, try_cast(nullif(regexp_extract(line, '\"k\"\s*:\s*([0-9.]+)', 1), '') as double) k from l) select run, round(arg_min(k, n) filter (k is not null), 6) k from x group by 1"
+)
+def log_metrics(s, d):
+    lines = table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("n"), F.col("props").alias("line"))
+    return H.log_metrics(lines, {"k": r'"k"\s*:\s*([0-9.]+)'}).select("run", six("k").alias("k"))
+
+
+@query("with r as (select user_id run, event_id epoch, value from events where value is not null), b as (select *, max(value) over (partition by run order by epoch) best from r) select run, epoch, best from b")
+def best_so_far(s, d):
+    log = table(s, d, "events").filter("value is not null").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value")
+    return PR.running_best(log, "value").select("run", "epoch", "best")
+
+
+@query("with r as (select user_id run, event_id epoch, value, event_type from events where value is not null), b as (select *, row_number() over (partition by run order by value desc, epoch) k from r) select run, epoch, value, event_type from b where k = 1")
+def best_epochs(s, d):
+    log = table(s, d, "events").filter("value is not null").select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), "value", "event_type")
+    return H.best_epochs(log, "value", "event_type")
+
+
+@query()
+def train_small(s, d):
+    """Loss per epoch of a small matrix factorisation on the training split."""
+    from quern.operators.training import train_bpr
+
+    train = staged(part_of(s, d, "train"))
+    top = train.agg(F.max("u") + 1, F.max("i") + 1).first()
+    _, _, losses = train_bpr(train, top[0], top[1], dim=8, epochs=3)
+    return s.createDataFrame([(e + 1, round(x, 6)) for e, x in enumerate(losses)], "epoch bigint, loss double")
