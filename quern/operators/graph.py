@@ -5,12 +5,10 @@ All rankings are total orders: weight descending, then the smaller id.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import staged
+from quern.runtime import staged, union_all
 
 
 def top_per_row(edges: DataFrame, k: int, row: str = "i", col: str = "j", weight: str = "w") -> DataFrame:
@@ -33,7 +31,7 @@ def co_counts(inter: DataFrame, by: str, of: str, least: int = 1, self_pairs: bo
     counted = a.join(b, "by").filter("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= least)
     both = counted.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), "w").select("e.i", "e.j", "w")
     if self_pairs:
-        both = both.unionByName(pairs.groupBy("of").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= least).select(F.col("of").alias("i"), F.col("of").alias("j"), "w"))
+        both = union_all(both, pairs.groupBy("of").agg(F.count(F.lit(1)).alias("w")).filter(F.col("w") >= least).select(F.col("of").alias("i"), F.col("of").alias("j"), "w"))
     return both
 
 
@@ -76,7 +74,7 @@ def row_scaled(edges: DataFrame, by: str) -> DataFrame:
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, not yet unique."""
-    return edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    return union_all(edges.select("i", "j", "w"), edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
 def symmetric_max(edges: DataFrame) -> DataFrame:
@@ -92,7 +90,7 @@ def symmetric_mean(edges: DataFrame) -> DataFrame:
 def weighted_sum(parts: list[tuple[float, DataFrame]]) -> DataFrame:
     """Sum of graphs, each times its factor; parts of factor 0 are left out of the plan."""
     scaled = [g.select("i", "j", (F.col("w") * F.lit(float(a))).alias("w")) for a, g in parts if a != 0]
-    return reduce(DataFrame.unionByName, scaled).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return union_all(*scaled).groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
 def graph_stats(edges: DataFrame, n: int) -> DataFrame:
@@ -106,10 +104,10 @@ def hypergraph(knn: DataFrame) -> DataFrame:
 
     A neighbour of h lists makes h*h pairs: they are counted as (i <= j) once and mirrored.
     """
-    e = knn.select("m", "i", "j")
+    e = staged(knn.select("m", "i", "j"))
     pairs = e.alias("a").join(e.alias("b"), (F.col("a.m") == F.col("b.m")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.i") <= F.col("b.i")))
     counted = pairs.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    return counted.unionByName(counted.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    return union_all(counted, counted.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
 def interest_tree(edges: DataFrame, hops: int = 3, k: int | None = None) -> DataFrame:
@@ -129,7 +127,7 @@ def interest_tree(edges: DataFrame, hops: int = 3, k: int | None = None) -> Data
     for o in range(2, hops + 1):
         step = level.select("anchor", "nbr", F.col("pos").alias("parent")).join(g.select(F.col("i").alias("nbr"), F.col("j").alias("next"), "w", "pos"), "nbr")
         step = step.filter("next <> anchor").groupBy("anchor", F.col("next").alias("nbr")).agg(F.min_by("w", F.struct("parent", "pos")).alias("w"))
-        new = step.join(reduce(DataFrame.unionByName, found), ["anchor", "nbr"], "left_anti")
+        new = step.join(union_all(*found), ["anchor", "nbr"], "left_anti")
         keep = level.groupBy("anchor").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / F.lit((o - 1) * 2.0)).cast("int")).alias("keep"))
         ranked = staged(new.withColumn("pos", F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("w").desc(), "nbr"))))
         found.append(ranked.select("anchor", "nbr"))
@@ -137,7 +135,7 @@ def interest_tree(edges: DataFrame, hops: int = 3, k: int | None = None) -> Data
         if o < hops:
             level = staged(level)
         kept.append(level.withColumn("ord", F.lit(o)))
-    return reduce(DataFrame.unionByName, [x.select("anchor", "nbr", "ord", "w") for x in kept])
+    return union_all(*[x.select("anchor", "nbr", "ord", "w") for x in kept])
 
 
 def tree_coefficients(tree: DataFrame, gamma: float, tau: float) -> DataFrame:
@@ -213,4 +211,4 @@ def blended(a: DataFrame, b: DataFrame, alpha: float, k: int) -> DataFrame:
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """(side, n): rows found in only one of two tables."""
     only_a = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only_first").alias("side"), "n")
-    return only_a.unionByName(b.exceptAll(a).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only_second").alias("side"), "n"))
+    return union_all(only_a, b.exceptAll(a).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only_second").alias("side"), "n"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import arrays as A
 from quern.operators.prep import KNUTH
+from quern.runtime import union_all
 
 
 def triplets(inter: DataFrame, n_items: int, draws: int = 8, seed: int = 1, reject: bool = True) -> DataFrame:
@@ -55,7 +56,7 @@ def infonce(z1: DataFrame, z2: DataFrame, tau: float, chunk: int, log_q: DataFra
     s = a.join(b, "c").select("i", "j", (A.dot("x", "y") / F.lit(float(tau)) - shift).alias("s"))
     if reflexive:
         r = a.select(F.col("i").alias("j"), "c", F.col("x").alias("y"))
-        s = s.withColumn("own", F.lit(False)).unionByName(a.join(r, "c").filter("i <> j").select("i", "j", (A.dot("x", "y") / F.lit(float(tau))).alias("s"), F.lit(True).alias("own")))
+        s = union_all(s.withColumn("own", F.lit(False)), a.join(r, "c").filter("i <> j").select("i", "j", (A.dot("x", "y") / F.lit(float(tau))).alias("s"), F.lit(True).alias("own")))
     else:
         s = s.withColumn("own", F.lit(False))
     # cosines are at most 1, so exp(s - 1/tau) can't overflow without the row maximum
@@ -82,7 +83,7 @@ def infonce_all(z1: DataFrame, z2: DataFrame, tau: float, block: int = 4096) ->
         diag = np.where(same, s, 0).sum(1)
         return pa.table({"i": ids[a], "diag": diag, "z": np.exp(s - 1 / tau).sum(1)})
 
-    both = side(z1, "p", "q", 0).unionByName(side(z2, "q", "p", 1))
+    both = union_all(side(z1, "p", "q", 0), side(z2, "q", "p", 1))
     rows = both.groupBy("p", "q").applyInArrow(sums, "i bigint, diag double, z double").groupBy("i").agg(F.sum("diag").alias("diag"), F.sum("z").alias("z"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.ln("z") + F.lit(1 / tau) - F.col("diag")).alias("loss"))
 

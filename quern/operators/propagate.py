@@ -6,15 +6,13 @@ shuffle, so a hub node is never gathered as one group of vectors.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import arrays as A
 from quern.operators.features import mapped
-from quern.runtime import staged
+from quern.runtime import staged, union_all
 
 
 def long_form(vectors: DataFrame) -> DataFrame:
@@ -38,7 +36,7 @@ def layer_mean(edges: DataFrame, emb: DataFrame, layers: int) -> DataFrame:
     for _ in range(layers):
         current = staged(propagated(edges, current))
         parts.append(current)
-    return reduce(DataFrame.unionByName, parts).groupBy("node", "dim").agg((F.sum("x") / F.lit(float(layers + 1))).alias("x"))
+    return union_all(*parts).groupBy("node", "dim").agg((F.sum("x") / F.lit(float(layers + 1))).alias("x"))
 
 
 def last_layer(edges: DataFrame, emb: DataFrame, layers: int) -> DataFrame:
@@ -101,7 +99,7 @@ def _ptv(prototypes: list[list[float]], tau: float):
 def weighted_view(weights: DataFrame, n_users: int) -> DataFrame:
     """The symmetric bipartite graph of (u, i, w), each weight over the square roots of both degrees (at least 1e-12)."""
     both = weights.select(F.col("u").alias("i"), (F.col("i") + F.lit(n_users)).alias("j"), "w")
-    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both = union_all(both, both.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     d = both.groupBy("i").agg(F.greatest(F.sum("w"), F.lit(1e-12)).alias("d"))
     return both.join(d.toDF("i", "di"), "i").join(d.toDF("j", "dj"), "j").select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
 

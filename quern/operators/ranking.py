@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import union_all
+
 
 def neighbour_scores(history: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(u, i, score): sums of weights over the neighbours (i, j, w) of a user's items, the user's own items excluded by an anti-join."""
@@ -53,7 +55,7 @@ def factor_top(users: DataFrame, items: DataFrame, history: DataFrame, k: int, b
         u, i, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"u": u, "i": i, "score": score})
 
-    scored = a.unionByName(b.select(*a.columns)).groupBy("bu", "bi").applyInArrow(best, "u bigint, i bigint, score double")
+    scored = union_all(a, b.select(*a.columns)).groupBy("bu", "bi").applyInArrow(best, "u bigint, i bigint, score double")
     return top_scores(scored.join(history.select("u", "i").distinct(), ["u", "i"], "left_anti"), k)
 
 

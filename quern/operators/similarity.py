@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import union_all
+
 BLOCK = 4096
 
 
@@ -48,6 +50,6 @@ def cosine_neighbours(vectors: DataFrame, k: int, include_self: bool = False, bl
         i, j, s = (np.concatenate(c) for c in zip(*out))
         return pa.table({"i": i, "j": j, "sim": s})
 
-    found = left.unionByName(right).groupBy("p", "q").applyInArrow(best, "i bigint, j bigint, sim double")
+    found = union_all(left, right).groupBy("p", "q").applyInArrow(best, "i bigint, j bigint, sim double")
     order = Window.partitionBy("i").orderBy(F.col("sim").desc(), "j")
     return found.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)

@@ -23,7 +23,7 @@ from quern.operators import propagate as PR
 from quern.operators import ranking as R
 from quern.operators import similarity as S
 from quern.operators import skew
-from quern.runtime import staged, table
+from quern.runtime import staged, table, union_all
 from quern.sources import readers
 from quern.streaming.ema import windowed_counts
 
@@ -381,7 +381,7 @@ def knn_cosine(s, d):
 
 def _neighbours(s, d, include_self: bool) -> DataFrame:
     both = [S.cosine_neighbours(half(s, d, m), 10, include_self).select(F.lit(m).alias("m"), "i", "j") for m in (0, 1)]
-    return both[0].unionByName(both[1])
+    return union_all(both[0], both[1])
 
 
 def _hyper_sql(with_self: bool) -> str:
@@ -491,7 +491,7 @@ def blend(s, d, alpha: float) -> DataFrame:
 @query(" union all ".join(f"select {a}::double alpha, * from (with {_blend_sql(a)} select i, j, round(w, 6) w, rk from bl)" for a in (0.1, 0.2, 0.4)))
 def rsfp_blend(s, d):
     parts = [blend(s, d, a).select(F.lit(a).alias("alpha"), "i", "j", six("w").alias("w"), big("rk")) for a in (0.1, 0.2, 0.4)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return union_all(*parts)
 
 
 @query(f"with {_blend_sql(0.1)}, t10 as (select i, j, w from bl where rk <= {TREE_K}), {_tree('t10')} select anchor, nbr, cast(ord as bigint) ord, round(w, 6) w from tree")

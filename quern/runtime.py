@@ -15,8 +15,28 @@ BROADCAST_BYTES = 32 << 20
 _own_dir: dict[str, str] = {}
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """Turns off a planner rule that gives wrong results.
+
+    With spark.sql.unionOutputPartitioning a union of equally partitioned
+    children counts as partitioned like them even after adaptive execution has coalesced
+    the children differently; a later aggregation then skips its shuffle and returns a key several times.
+    """
+    if spark.conf.get("spark.sql.unionOutputPartitioning", "false") != "false":
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
+def union_all(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """All rows of all tables, columns by name."""
+    settled(first.sparkSession)
+    for df in more:
+        first = first.unionByName(df)
+    return first
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +58,7 @@ def staged(df: DataFrame) -> DataFrame:
     This cuts the lineage like checkpoint() does, survives the loss of any
     executor, computes the plan once, and keeps column pruning.
     """
-    spark = df.sparkSession
+    spark = settled(df.sparkSession)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
