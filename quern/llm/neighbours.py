@@ -13,8 +13,9 @@ Copies: vectors that are equal bit by bit are one entry. An item's neighbours ar
 its copies and those of its entry's neighbours; of each only the k + 1 smallest
 ids can matter and are looked at.
 
-Components are kept as 16-bit fixed-point numbers on the way, which puts an
-error below 3e-5 on similarities.
+Components are kept as 16-bit fixed-point numbers on the way. Where their error
+could change what is among the k best, or what reaches the least similarity, the
+original vectors of the pairs in question are compared.
 """
 
 from __future__ import annotations
@@ -26,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import cosine
 from quern.llm.vectors import MODALITIES, packed, row_keys, unpacked, unit_vectors
 from quern.runtime import staged
 
-TREES = 7
-RUN, STRETCH, ORDERS = 16_384, 1_024, 3
+TREES = 6
+RUN, STRETCH, ORDERS = 16_384, 1_024, 4
 SCALE = 32_000.0
+#: Twice the error of a similarity of fixed-point vectors, and how many candidates beyond k are kept for exact comparison.
+BAND, SPARE = 1e-4, 6
 
 
 def hyperplanes(dim: int, trees: int) -> np.ndarray:
@@ -67,7 +71,7 @@ def best_in_run(x: np.ndarray, strings: np.ndarray, k: int, least: float) -> tup
     parts = []
     bits = strings.view(np.uint64) ^ np.uint64(1 << 63)
     for o in range(ORDERS):
-        turn = np.uint64(20 * o)
+        turn = np.uint64(15 * o)
         order = np.argsort((bits << turn) | (bits >> (np.uint64(64) - turn)) if o else bits, kind="stable")
         cuts = np.linspace(0, n, max(1, round(n / STRETCH)) + 1).astype(int)
         parts += [best_in_block(x, order[a:b], k, least) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -81,7 +85,10 @@ def best_in_run(x: np.ndarray, strings: np.ndarray, k: int, least: float) -> tup
 
 
 def similar_entries(entries: DataFrame, dims: list[int], k: int, least: float, trees: int) -> DataFrame:
-    """(m, a, b, similarity): the forest's k best partners b of every entry a; entries are (m, key, q, h)."""
+    """(m, a, b, similarity, doubtful): the forest's best partners b of every entry a; entries are (m, key, q, h).
+
+    At least the k best are among them; doubtful pairs are so near to the k-th or to ``least`` that their order needs the original vectors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -94,7 +101,7 @@ def similar_entries(entries: DataFrame, dims: list[int], k: int, least: float, t
             if len(keys) > 1:
                 x = q.astype(np.float32)
                 x /= np.sqrt((x * x).sum(1))[:, None]
-                i, j, s = best_in_run(x, strings, k, least)
+                i, j, s = best_in_run(x, strings, k + 1, least - BAND)
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tree[0], np.int32)), pa.array(keys[i]), pa.array(keys[j]), pa.array(s)], names=["m", "a", "b", "similarity"])
 
@@ -124,7 +131,12 @@ def similar_entries(entries: DataFrame, dims: list[int], k: int, least: float, t
     found = arrays.mapInArrow(run, "m int, a bigint, b bigint, similarity float")
     each = found.groupBy("m", "a", "b").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("m", "a").orderBy(F.col("similarity").desc(), "b")
-    return each.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).drop("rk")
+    kept = each.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k + SPARE)
+    whole = Window.partitionBy("m", "a")
+    kept = kept.withColumn("last", F.min(F.when(F.col("rk") <= k, F.col("similarity"))).over(whole)).withColumn("next", F.max(F.when(F.col("rk") > k, F.col("similarity"))).over(whole))
+    near = (F.abs(F.col("similarity") - F.col("last")) <= BAND) & (F.col("last") - F.coalesce("next", F.lit(-9.0)) <= BAND)
+    kept = kept.withColumn("doubtful", near | (F.abs(F.col("similarity") - F.lit(least)) <= BAND))
+    return kept.filter((F.col("rk") <= k) | F.col("doubtful")).select("m", "a", "b", "similarity", "doubtful")
 
 
 def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, k: int = 5, least: float = 0.8, trees: int = TREES) -> DataFrame:
@@ -153,17 +165,31 @@ def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODAL
 
     entries = staged(unit_vectors(df, item, modalities).mapInArrow(each_modality, "m int, item_id bigint, key bigint, q binary, h array<bigint>"))
     near = staged(similar_entries(entries.select("m", "key", "q", "h"), dims, k, least, trees))
-    items = entries.groupBy("m", "item_id").agg(F.min("key").alias("key"))
-    items = staged(items)
+    items = staged(entries.groupBy("m", "item_id").agg(F.min("key").alias("key")))
+    near = _settled(near, items, df, item, modalities, least)
     smallest = items.withColumn("rk", F.row_number().over(Window.partitionBy("m", "key").orderBy("item_id"))).filter(F.col("rk") <= k + 1)
     smallest = smallest.select("m", F.col("key").alias("b"), F.col("item_id").alias("neighbour"))
-    copies = items.select("m", "item_id", F.col("key").alias("b"), F.lit(1.0).cast("float").alias("similarity"))
+    copies = items.select("m", "item_id", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     others = items.withColumnRenamed("key", "a").join(near, ["m", "a"]).select("m", "item_id", "b", "similarity")
     pairs = copies.unionByName(others).join(smallest, ["m", "b"]).filter("item_id <> neighbour")
     order = Window.partitionBy("m", "item_id").orderBy(F.col("similarity").desc(), "neighbour")
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     names = F.element_at(F.array(*[F.lit(name) for name, _, _ in modalities]), F.col("m") + 1)
-    return best.select(names.alias("modality"), "item_id", "neighbour", F.col("similarity").cast("double").alias("similarity"), "rank")
+    return best.select(names.alias("modality"), "item_id", "neighbour", "similarity", "rank")
+
+
+def _settled(near: DataFrame, items: DataFrame, df: DataFrame, item: str, modalities: tuple, least: float) -> DataFrame:
+    """(m, a, b, similarity) with the doubtful pairs' similarities taken from the original vectors, rounded to 9 digits, and pairs under ``least`` left out."""
+    doubtful = near.filter("doubtful").select("m", "a", "b")
+    keys = doubtful.select("m", F.explode(F.array("a", "b")).alias("key")).distinct()
+    names = items.join(keys, ["m", "key"]).groupBy("m", "key").agg(F.min("item_id").alias("item_id"))
+    rows = df.select(F.col(item).cast("bigint").alias("item_id"), F.posexplode(F.array(*[F.col(c).cast("array<double>") for _, c, _ in modalities])).alias("m", "v")).filter("v is not null")
+    # of an item that is present several times, the row whose length fits
+    sizes = F.element_at(F.array(*[F.lit(d) for _, _, d in modalities]), F.col("m") + 1)
+    vectors = staged(rows.filter(F.size("v") == sizes).join(names, ["m", "item_id"]).groupBy("m", "key").agg(F.min("v").alias("v")))
+    exact = doubtful.join(vectors.toDF("m", "a", "va"), ["m", "a"]).join(vectors.toDF("m", "b", "vb"), ["m", "b"]).select("m", "a", "b", F.round(cosine("va", "vb"), 9).alias("exact"))
+    both = near.join(exact, ["m", "a", "b"], "left").select("m", "a", "b", F.coalesce("exact", F.col("similarity").cast("double")).alias("similarity"))
+    return both.filter(F.col("similarity") >= F.lit(least))
 
 
 def similar_pairs(df: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
