@@ -14,11 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import arrays as A
 from quern.runtime import union_all
 
 BLOCK = 4096
 
 
+def approximate_neighbours(vectors: DataFrame, k: int, tables: int = 8, width: float = 0.5, reach: float = 0.9, seed: int = 5) -> DataFrame:
+    """(i, j, sim, rk): as cosine_neighbours(), over candidates of Spark ML's bucketed random projections on unit vectors within distance ``reach``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.select("i", A.unit("v").alias("v")).withColumn("x", array_to_vector("v"))
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", numHashTables=tables, bucketLength=width, seed=seed).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, reach).select(F.col("datasetA.i").alias("i"), F.col("datasetB.i").alias("j"), F.round(A.dot("datasetA.v", "datasetB.v"), 9).alias("sim")).filter("i <> j")
+    order = Window.partitionBy("i").orderBy(F.col("sim").desc(), "j")
+    return pairs.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k)
+
+
 def cosine_neighbours(vectors: DataFrame, k: int, include_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(i, j, sim, rk) of vectors (i, v): the k rows of largest cosine, rounded to 9 digits, ties to the smaller id.
 

@@ -32,64 +32,78 @@ def one_row_per_key(df: DataFrame, key: str, items: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.min(ordered).alias(items))
 
 
-def element_share(df: DataFrame, key: str, items: str) -> DataFrame:
-    """(item_id, n_elements, n_keys, share): how much of all non-null elements each item makes up.
+def value_histogram(df: DataFrame, key: str, items: str) -> DataFrame:
+    """(k, v, c): per item k, how many keys hold it v times; each key is taken once.
 
-    Repeated elements count; each key is taken once. Null and empty lists add
-    nothing; an empty table gives no rows.
+    The histograms are mergeable: partial ones are summed map-side, so an item
+    in a third of all lists sends one row per task and distinct value.
     """
-    lists = one_row_per_key(df, key, items).select(F.col(items).alias("v"))
-    # within a sorted list, an item's first occurrence marks one key
-    marked = lists.select(F.posexplode("v").alias("p", "item_id"), "v").select(
-        "item_id", F.when((F.col("p") == 0) | (F.col("item_id") != F.get("v", F.col("p") - 1)), 1).otherwise(0).alias("first")
-    )
-    per_item = marked.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_elements"), F.sum("first").alias("n_keys"))
-    per_item = staged(per_item)
-    total = per_item.agg(F.sum("n_elements").alias("total"))
-    return per_item.crossJoin(F.broadcast(total)).select("item_id", "n_elements", "n_keys", (F.col("n_elements") / F.col("total")).alias("share"))
+    elements = one_row_per_key(df, key, items).select(F.col(key).alias("u"), F.explode(items).alias("k"))
+    per_key = elements.groupBy("u", "k").agg(F.count(F.lit(1)).alias("v"))
+    return per_key.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
-def heavy_items(df: DataFrame, key: str, items: str, least_percent: int) -> DataFrame:
-    """(item_id): items that make up at least ``least_percent`` per cent of all non-null elements."""
-    shares = element_share(df, key, items)
-    total = F.col("n_elements") / F.col("share")
-    return shares.filter(F.col("n_elements") * 100 >= F.lit(least_percent) * F.round(total)).select("item_id")
-
-
-def key_quantiles(df: DataFrame, key: str, value: str, fractions: list[float], bits: int = BITS) -> DataFrame:
-    """(key, fraction, n, quantile): exact lower quantiles of an integer column per key.
+def histogram_quantiles(hist: DataFrame, fractions: list[float], bits: int = BITS) -> DataFrame:
+    """(k, fraction, n, quantile): exact lower quantiles per key from value counts (k, v, c), as percentile_disc has them.
 
-    The quantile of fraction q over n values is the value of rank max(1, ceil(q*n)),
-    as percentile_disc has it. Null values and null keys are ignored; a key
-    without values has no row. Each round filters the rows to the one bin per (key, fraction) that holds the
-    wanted rank and counts its finer bins; the state is one row per (key,
-    fraction) and is broadcast only while its counted size allows it.
+    The quantile of fraction q over n values is the value of rank max(1, ceil(q*n)).
+    Values are offsets from the smallest one. Each round counts the bins of ``bits`` further
+    bits within the one bin per (key, fraction) that holds the wanted rank. The state is one row
+    per (key, fraction); it is broadcast only while its counted size allows it.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(value).cast("bigint").alias("v")).filter("k is not null and v is not null")
-    # most data repeat values within a key: the first histogram is of (key, value) pairs, combined map-side
-    rows = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    rows = staged(rows)
-    span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    span = hist.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     wanted = F.array(*[F.lit(float(q)) for q in fractions])
-    state = rows.groupBy("k").agg(F.sum("c").alias("n")).select("k", "n", F.explode(wanted).alias("fraction"))
+    state = hist.groupBy("k").agg(F.sum("c").alias("n")).select("k", "n", F.explode(wanted).alias("fraction"))
     state = state.select("k", "n", "fraction", F.greatest(F.lit(1), F.ceil(F.round(F.col("fraction") * F.col("n"), 6))).cast("bigint").alias("rank"))
     if span is None or span.lo is None:
-        return state.select(F.col("k").alias(key), "fraction", "n", F.col("n").alias("quantile"))
+        return state.select("k", "fraction", "n", F.col("n").alias("quantile"))
     base, width = span.lo, max(1, (span.hi - span.lo).bit_length())
     shift = -(-width // bits) * bits
     state = state.withColumn("prefix", F.lit(0).cast("bigint"))
+    # above 63 bits nothing is left to shift in, and a difference beyond a bigint can't be coded
+    if width > 62:
+        raise ValueError("values span more than 62 bits")
     code = F.col("v") - F.lit(base)
     while shift > 0:
-        upper, shift = shift, shift - bits
+        upper, shift = min(shift, 63), shift - bits
         state = staged(state)
-        n_state = state.count()
-        opened = rows.select("k", F.shiftright(code, upper).alias("prefix") if upper < 63 else F.lit(0).cast("bigint").alias("prefix"), F.shiftright(code, shift).alias("bin"), "c")
-        hist = opened.groupBy("k", "prefix", "bin").agg(F.sum("c").alias("c"))
-        here = small(state, n_state, 48)
-        found = hist.join(here, ["k", "prefix"]).withColumn("upto", F.sum("c").over(Window.partitionBy("k", "fraction").orderBy("bin")))
+        opened = hist.select("k", F.shiftright(code, upper).alias("prefix"), F.shiftright(code, shift).alias("bin"), "c")
+        counted = opened.groupBy("k", "prefix", "bin").agg(F.sum("c").alias("c"))
+        found = counted.join(small(state, state.count(), 48), ["k", "prefix"]).withColumn("upto", F.sum("c").over(Window.partitionBy("k", "fraction").orderBy("bin")))
         found = found.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
         state = found.select("k", "n", "fraction", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("bin").alias("prefix"))
-    return state.select(F.col("k").alias(key), "fraction", "n", (F.col("prefix") + F.lit(base)).alias("quantile"))
+    return state.select("k", "fraction", "n", (F.col("prefix") + F.lit(base)).alias("quantile"))
+
+
+def key_quantiles(df: DataFrame, key: str, value: str, fractions: list[float], bits: int = BITS) -> DataFrame:
+    """(key, fraction, n, quantile): exact lower quantiles of an integer column per key.
+
+    Null values and null keys are ignored; a key without values has no row.
+    Rows are first reduced to counts of (key, value), combined map-side.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.col(value).cast("bigint").alias("v")).filter("k is not null and v is not null")
+    hist = staged(rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    return histogram_quantiles(hist, fractions, bits).withColumnRenamed("k", key)
+
+
+def item_profiles(df: DataFrame, key: str, items: str, fractions: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
+    """(item_id, n_elements, n_keys, share, quantiles array): per item, elements, keys that hold it, share of all elements, and quantiles of how often a key holds it.
+
+    Repeated elements count; each key is taken once. All figures come from the
+    items' mergeable histograms, so hot items cost no more than others. Null
+    keys, lists and elements count nothing; an empty table gives no rows.
+    """
+    hist = staged(value_histogram(df, key, items))
+    totals = hist.groupBy(F.col("k").alias("item_id")).agg(F.sum(F.col("c") * F.col("v")).alias("n_elements"), F.sum("c").alias("n_keys"))
+    q = histogram_quantiles(hist, list(fractions)).groupBy(F.col("k").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("fraction", "quantile"))).alias("q"))
+    total = hist.agg(F.sum(F.col("c") * F.col("v")).alias("total"))
+    out = totals.join(q, "item_id").crossJoin(F.broadcast(total))
+    return out.select("item_id", "n_elements", "n_keys", (F.col("n_elements") / F.col("total")).alias("share"), F.transform("q", lambda x: x["quantile"]).alias("quantiles"), "total")
+
+
+def heavy_items(df: DataFrame, key: str, items: str, least_percent: int) -> DataFrame:
+    """(item_id): items that make up at least ``least_percent`` per cent of all non-null elements."""
+    return item_profiles(df, key, items).filter(F.col("n_elements") * 100 >= F.lit(least_percent) * F.col("total")).select("item_id")
 
 
 def salted_join(big: DataFrame, other: DataFrame, key: str, hot: list, salts: int = 16) -> DataFrame:

@@ -299,9 +299,13 @@ def p7_found(s, d):
 _ONCE = "u as (select user_id, any_value(list_filter(train_items, lambda x: x is not null)) s from train_split where train_items is not null and user_id is not null group by 1)"
 
 
-@query(f"with {_ONCE}, e as (select user_id, unnest(s) i from u) select i item_id, count(*) n_elements, count(distinct user_id) n_keys, round(count(*) / (select count(*) from e)::double, 9) share from e group by 1")
-def p7_shares(s, d):
-    return skew.element_share(table(s, d, "train_split"), "user_id", "train_items").withColumn("share", F.round("share", 9))
+_TIMES = f"{_ONCE}, e as (select user_id, i item_id, count(*) v from (select user_id, unnest(s) i from u) group by 1, 2)"
+
+
+@query(f"with {_TIMES} select item_id, cast(sum(v) as bigint) n_elements, count(*) n_keys, round(sum(v) / (select sum(v) from e)::double, 9) share, cast(percentile_disc(0.5) within group (order by v) as bigint) median_times from e group by 1")
+def p7_profiles(s, d):
+    r = skew.item_profiles(table(s, d, "train_split"), "user_id", "train_items")
+    return r.select("item_id", "n_elements", "n_keys", F.round("share", 9).alias("share"), F.col("quantiles")[0].alias("median_times"))
 
 
 @query(
@@ -401,8 +405,8 @@ def hypergraph_noself(s, d):
     return G.normalised(staged(G.hypergraph(_neighbours(s, d, False))), "sym").select("i", "j", six("w").alias("w"))
 
 
-def tree_of(s, d) -> DataFrame:
-    return staged(G.interest_tree(G.co_counts(inter(s, d), "u", "i", 2), HOPS, TREE_K))
+def tree_of(s, d, pairs: DataFrame | None = None) -> DataFrame:
+    return staged(G.interest_tree(pairs or G.co_counts(inter(s, d), "u", "i", 2), HOPS, TREE_K))
 
 
 @query(f"with {TREE} select anchor, nbr, cast(ord as bigint) ord, w from tree")
@@ -459,9 +463,10 @@ _FUSED = (
 @query(f"with {_FUSED} select i, j, round(w, 6) w from nm")
 def fused_item_graph(s, d):
     sims = [(1.0, S.cosine_neighbours(half(s, d, m), 10).select("i", "j", F.col("sim").alias("w"))) for m in (0, 1)]
-    co = staged(cooc(s, d))
+    n_pairs = staged(G.co_counts(inter(s, d), "u", "i", 2))
+    co = staged(G.top_per_row(n_pairs, 20))
     n = inter(s, d).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    coef = staged(G.tree_coefficients(tree_of(s, d), GAMMA, TAU))
+    coef = staged(G.tree_coefficients(tree_of(s, d, n_pairs), GAMMA, TAU))
     return G.fused_item_graph(sims, coef, co, 0.3, n, ETA).select("i", "j", six("w").alias("w"))
 
 
@@ -482,21 +487,25 @@ def _blend_sql(alpha: float) -> str:
     )
 
 
-def blend(s, d, alpha: float) -> DataFrame:
+def blends(s, d, alphas: list[float]) -> list[DataFrame]:
+    """Blended graphs; co-occurrence and patterns are counted once for all factors."""
     pat = G.pair_patterns(inter(s, d), 3, 0.1).select("i", "j", F.col("support").alias("w"))
-    mixed = G.weighted_sum([(1 - alpha, G.row_scaled(staged(cooc(s, d)), "max")), (alpha, G.row_scaled(staged(G.mirrored(pat)), "max"))])
-    return G.top_per_row(G.symmetric_mean(mixed).select("i", "j", F.round("w", 9).alias("w")), 20)
+    a, b = staged(cooc(s, d)), staged(G.mirrored(pat))
+    a, b = staged(G.row_scaled(a, "max")), staged(G.row_scaled(b, "max"))
+    mixed = [G.symmetric_mean(G.weighted_sum([(1 - x, a), (x, b)])).select("i", "j", F.round("w", 9).alias("w")) for x in alphas]
+    return [G.top_per_row(m, 20) for m in mixed]
 
 
 @query(" union all ".join(f"select {a}::double alpha, * from (with {_blend_sql(a)} select i, j, round(w, 6) w, rk from bl)" for a in (0.1, 0.2, 0.4)))
 def rsfp_blend(s, d):
-    parts = [blend(s, d, a).select(F.lit(a).alias("alpha"), "i", "j", six("w").alias("w"), big("rk")) for a in (0.1, 0.2, 0.4)]
+    alphas = [0.1, 0.2, 0.4]
+    parts = [g.select(F.lit(a).alias("alpha"), "i", "j", six("w").alias("w"), big("rk")) for a, g in zip(alphas, blends(s, d, alphas))]
     return union_all(*parts)
 
 
 @query(f"with {_blend_sql(0.1)}, t10 as (select i, j, w from bl where rk <= {TREE_K}), {_tree('t10')} select anchor, nbr, cast(ord as bigint) ord, round(w, 6) w from tree")
 def rsfp_tree(s, d):
-    return G.interest_tree(blend(s, d, 0.1).drop("rk"), HOPS, TREE_K).select("anchor", "nbr", big("ord"), six("w").alias("w"))
+    return G.interest_tree(blends(s, d, [0.1])[0].drop("rk"), HOPS, TREE_K).select("anchor", "nbr", big("ord"), six("w").alias("w"))
 
 
 _DIFF = f"{_blend_sql(0.1)}, b2 as (select i, j from bl), t2 as (select i, j from top) select 'only_first' side, count(*) n from (select * from t2 except all select * from b2) union all select 'only_second', count(*) from (select * from b2 except all select * from t2)"
@@ -504,7 +513,7 @@ _DIFF = f"{_blend_sql(0.1)}, b2 as (select i, j from bl), t2 as (select i, j fro
 
 @query(f"with {_DIFF}")
 def cache_diff(s, d):
-    return G.difference(cooc(s, d).select("i", "j"), blend(s, d, 0.1).select("i", "j"))
+    return G.difference(cooc(s, d).select("i", "j"), blends(s, d, [0.1])[0].select("i", "j"))
 
 
 # ---- ranking and metrics ----
@@ -906,6 +915,59 @@ def windowed_events(s, d):
     return windowed_counts(table(s, d, "events"), "ts", "event_type")
 
 
+@query(f"with {_TRIP.replace(' anti join tr on tr.u = cd.u and tr.i = cd.neg', '')} select u, pos, neg from trip")
+def bpr_triplets_unchecked(s, d):
+    """Negatives that aren't checked against the user's items."""
+    n = table(s, d, "part").agg(F.max("p_partkey") + 1).first()[0]
+    return L.triplets(staged(part_of(s, d, "train")), n, reject=False)
+
+
+_OWN = "select a.i, false same, list_cosine_similarity(a.v, b.v) / 0.2::double s from img a join img b on a.i // 128 = b.i // 128 and a.i <> b.i"
+
+
+@query(f"with {FEATURES} select n, round(loss, 6) loss from {_loss(_nce('img', 'txt', 'a.i // 128 = b.i // 128') + ' union all ' + _OWN)}")
+def infonce_reflexive(s, d):
+    return L.infonce(half(s, d, 0), half(s, d, 1), 0.2, 128, reflexive=True).select("n", six("loss").alias("loss"))
+
+
+@query(
+    f"with {_EDGE}, w as (select u, i, sav + iav - sav * iav w from ew), b as (select u i, i + 1000000 j, w from w union all select i + 1000000, u, w from w), dg as (select i, greatest(sum(w), 1e-12) d from b group by 1), "
+    f"nm as (select b.i, b.j, b.w / sqrt(x.d * y.d) w from b join dg x on x.i = b.i join dg y on y.i = b.j), {_E0.format('nm')}, {_STEP.format(0, 1, 'nm')} select node, dim, round(x, 6) + 0.0::double x from e1"
+)
+def learned_view(s, d):
+    """One propagation step over the learned edge weights."""
+    g = staged(PR.weighted_view(_edges(s, d, None).select("u", "i", "w"), 1_000_000))
+    return _emb(PR.last_layer(g, _start(g), 1))
+
+
+@query(f"with {FEATURES}, n as (select img.i, img.v a, txt.v b, sqrt(list_dot_product(txt.v, txt.v)) r from img join txt using (i)), o as (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d, r from n) select i, d, round(a + b / (case when r = 0 then 1 else r end), 6) x from o")
+def fused_views(s, d):
+    return PR.fused_views(half(s, d, 0), half(s, d, 1)).select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
+
+
+@query(f"with {INTER}, uu as (select a.u i, b.u j, count(*)::double w from inter a join inter b on a.i = b.i and a.u <> b.u group by 1, 2), nm as (select i, j, w / sum(w) over (partition by i) w from uu), {_E0.format('nm')}, {_STEP.format(0, 1, 'nm')} select node, dim, round(x, 9) + 0.0::double x from e1")
+def user_conv(s, d):
+    g = staged(G.normalised(staged(G.co_counts(inter(s, d), "i", "u")), "rw"))
+    # shares of one degree and embeddings in thousandths make exact ties at six digits
+    return PR.last_layer(g, _start(g), 1).select("node", big("dim"), (F.round("x", 9) + F.lit(0.0)).alias("x"))
+
+
+@query("with r as (select user_id run, row_number() over (partition by user_id order by event_id) - 1 epoch, value from events where user_id is not null and value is not null), n as (select max(epoch) + 1 n from r) select run, epoch, value from r, n where epoch % 10 = 0 or epoch >= n.n - 3")
+def evaluated_epochs(s, d):
+    log = _updates(s, d).select(F.col("key").alias("run"), big("epoch"), F.col("x").alias("value"))
+    return H.evaluated_epochs(log, 10, 3, log.agg(F.max("epoch") + 1).first()[0])
+
+
+@query(
+    "with r as (select user_id run, row_number() over (partition by user_id order by event_id) - 1 epoch, value from events where user_id is not null and value is not null), "
+    "b as (select *, coalesce(value > max(value) over (partition by run order by epoch rows between unbounded preceding and 1 preceding), true) up from r), "
+    "l as (select *, max(case when up then epoch end) over (partition by run order by epoch) last from b) select run, min(epoch) stop from l where epoch - last >= 5 group by 1"
+)
+def stopping_epoch(s, d):
+    log = _updates(s, d).select(F.col("key").alias("run"), big("epoch"), F.col("x").alias("value"))
+    return H.stopping_epoch(log, "value", 5)
+
+
 # ---- experiments ----
 
 _RUNS = "runs as (select o_orderpriority tag, o_orderkey % 5 seed, avg(o_totalprice) / 1000000 recall, avg(o_totalprice) filter (o_orderstatus = 'F') / 1000000 ndcg from orders group by 1, 2)"

@@ -195,8 +195,8 @@ def test_key_quantiles_of_a_hot_key(spark):
 def test_shares_take_a_key_once(spark):
     rows = [(1, [5, 5, 6, None]), (1, [6, 5, None, 5]), (2, [5]), (3, []), (4, None), (None, [9])]
     df = frame(spark, rows, "user_id bigint, train_items array<bigint>").withColumn("item_id", F.lit(1)).withColumn("n", F.lit(1))
-    r = {x.item_id: (x.n_elements, x.n_keys, x.share) for x in skew.element_share(df, "user_id", "train_items").collect()}
-    assert r == {5: (3, 2, 0.75), 6: (1, 1, 0.25)}
+    r = {x.item_id: (x.n_elements, x.n_keys, x.share, x.quantiles) for x in skew.item_profiles(df, "user_id", "train_items").collect()}
+    assert r == {5: (3, 2, 0.75, [1, 2]), 6: (1, 1, 0.25, [1, 1])}
     assert got(skew.heavy_items(df, "user_id", "train_items", 25)) == [(5,), (6,)]
     assert got(skew.heavy_items(df, "user_id", "train_items", 26)) == [(5,)]
     assert skew.heavy_items(df.filter("false"), "user_id", "train_items", 2).count() == 0
