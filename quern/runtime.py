@@ -52,8 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[app]
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder, in one folder per value of ``by`` if given, and reads it back.
 
     This cuts the lineage like checkpoint() does, survives the loss of any
     executor, computes the plan once, and keeps column pruning.
@@ -61,7 +61,8 @@ def staged(df: DataFrame) -> DataFrame:
     spark = settled(df.sparkSession)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
