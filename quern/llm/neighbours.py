@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.arrays import cosine
 from quern.llm.vectors import MODALITIES, packed, row_keys, unpacked, unit_vectors
-from quern.runtime import staged
+from quern.runtime import staged, union_all
 
 TREES = 6
 RUN, STRETCH, ORDERS = 16_384, 1_024, 4
@@ -171,7 +171,7 @@ def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODAL
     smallest = smallest.select("m", F.col("key").alias("b"), F.col("item_id").alias("neighbour"))
     copies = items.select("m", "item_id", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
     others = items.withColumnRenamed("key", "a").join(near, ["m", "a"]).select("m", "item_id", "b", "similarity")
-    pairs = copies.unionByName(others).join(smallest, ["m", "b"]).filter("item_id <> neighbour")
+    pairs = union_all(copies, others).join(smallest, ["m", "b"]).filter("item_id <> neighbour")
     order = Window.partitionBy("m", "item_id").orderBy(F.col("similarity").desc(), "neighbour")
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     names = F.element_at(F.array(*[F.lit(name) for name, _, _ in modalities]), F.col("m") + 1)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import staged
+from quern.runtime import staged, union_all
 
 BITS = 256
 #: Frequency beyond which a segment takes two items.
@@ -178,7 +178,7 @@ def similar_classes(left: DataFrame, right: DataFrame | None, num: int, den: int
     """
     sides = with_codes(left.select("cid", "s"), kind).withColumn("side", F.lit(0))
     if right is not None:
-        sides = sides.unionByName(with_codes(right.select("cid", "s"), kind).withColumn("side", F.lit(1)))
+        sides = union_all(sides, with_codes(right.select("cid", "s"), kind).withColumn("side", F.lit(1)))
     # one frequency order for both sides; the side is kept in the class id's companion column
     keyed = sides.withColumn("cid", F.struct("side", "cid")).drop("side")
     base = staged(_ordered(keyed))
@@ -214,7 +214,7 @@ def similar_users(train: DataFrame, num: int = 7, den: int = 10, least: int = 5)
     members, classes = user_classes(train, least)
     across = similar_classes(classes, None, num, den, "minhash", minhash_difference(num, den)).select("a", "b")
     within = classes.filter("size > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    pairs = across.unionByName(within)
+    pairs = union_all(across, within)
     out = pairs.join(members.toDF("u", "a"), "a").join(members.toDF("v", "b"), "b").filter("a <> b or u < v")
     return out.select(F.least("u", "v").alias("user_a"), F.greatest("u", "v").alias("user_b"))
 
@@ -227,7 +227,7 @@ def user_links(train: DataFrame, num: int = 7, den: int = 10, least: int = 5) ->
     members, classes = user_classes(train, least)
     pairs = staged(similar_classes(classes, None, num, den, "minhash", minhash_difference(num, den)).select("a", "b"))
     sizes = classes.select("cid", "size")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = union_all(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(sizes.toDF("b", "size"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("n"))
     total = sizes.join(links, "cid", "left").select("cid", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     return members.join(total, "cid").select("user_id", F.col("cid").alias("class_id"), "n_links")
@@ -237,7 +237,7 @@ def _evaluation_sets(val: DataFrame, test: DataFrame, least: int) -> DataFrame:
     def one(df: DataFrame, name: str, items: str) -> DataFrame:
         return item_sets(df, ["eval_id"], items, least).select(F.lit(name).alias("split_name"), "eval_id", "s")
 
-    return one(val, "val", "val_set").unionByName(one(test, "test", "test_set"))
+    return union_all(one(val, "val", "val_set"), one(test, "test", "test_set"))
 
 
 def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, num: int = 3, den: int = 4, least: int = 5) -> DataFrame:
@@ -264,6 +264,6 @@ def split_overlap_report(train: DataFrame, val: DataFrame, test: DataFrame, num:
     def sources(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("eval_id").agg(F.coalesce(F.min("source"), F.lit("unknown")).alias("source")).withColumn("split_name", F.lit(name))
 
-    source = sources(val, "val").unionByName(sources(test, "test"))
+    source = union_all(sources(val, "val"), sources(test, "test"))
     records = _evaluation_sets(val, test, least).select("split_name", "eval_id").join(source, ["split_name", "eval_id"])
     return records.join(hits, ["split_name", "eval_id"], "left").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("n_records"), F.count("hit").alias("n_overlapping"))

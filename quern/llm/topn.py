@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import staged
+from quern.runtime import staged, union_all
 
 #: Shares of all edges above the lower ends of the bands; the last band takes the rest.
 BANDS = (0.05, 0.25)
@@ -28,19 +28,19 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, bands:
     by a window whose limit is applied before the shuffle. Whatever the cuts,
     the result is the same. Groups without a valid edge have no rows.
     """
-    edges = staged(clean_edges(df, group, item, score))
-    cuts = edges.agg(F.percentile_approx("v", [1 - b for b in bands], 1000)).first()[0] or []
-    cuts = sorted({float(c) for c in cuts}, reverse=True)
+    valid = df.filter(F.col(score).isNotNull() & ~F.isnan(score) & (F.col(group) != F.col(item)))
+    cuts = valid.agg(F.percentile_approx(score, F.array(*[F.lit(1 - b) for b in bands]), F.lit(1000)).alias("cuts")).first().cuts if bands else []
+    cuts = sorted({float(c) for c in cuts or []}, reverse=True)
+    # every band is a folder of its own, so a pass over a band reads nothing else
+    band_of = F.lit(len(cuts))
+    for k, low in reversed(list(enumerate(cuts))):
+        band_of = F.when(F.col("v") >= F.lit(low), k).otherwise(band_of)
+    edges = staged(clean_edges(df, group, item, score).withColumn("band", band_of), by="band")
     filled = None  # groups with n rows
     short = None  # (g, have): groups with some rows, fewer than n
     parts: list[DataFrame] = []
-    for k, low in enumerate([*cuts, None]):
-        high = cuts[k - 1] if k else None
-        band = edges
-        if low is not None:
-            band = band.filter(F.col("v") >= F.lit(low))
-        if high is not None:
-            band = band.filter(F.col("v") < F.lit(high))
+    for k in range(len(cuts) + 1):
+        band = edges.filter(F.col("band") == k).drop("band")
         if filled is not None:
             band = band.join(filled, "g", "left_anti")
         counts = band.groupBy("g").agg(F.count(F.lit(1)).alias("more"))
@@ -54,13 +54,11 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 10, bands:
         # rank <= n first, so that the limit runs before the shuffle; then what the group still lacks
         cut = rows.filter("over").withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= n).filter(F.col("rk") + F.col("have") <= n).select("g", "i", "v")
         parts += [whole, cut]
-        if low is None:
+        if k == len(cuts):
             break
         full = counts.filter(F.col("more") + F.col("have") >= n).select("g")
-        filled = staged(full if filled is None else filled.unionByName(full))
+        filled = staged(full if filled is None else union_all(filled, full))
         short = counts.filter(F.col("more") + F.col("have") < n).select("g", (F.col("more") + F.col("have")).alias("have"))
-    kept = parts[0]
-    for p in parts[1:]:
-        kept = kept.unionByName(p)
+    kept = union_all(*parts)
     kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("i"))))
     return kept.select(F.col("g").alias(group), F.col("i").alias(item), F.col("v").alias(score), "rank")
