@@ -180,11 +180,21 @@ def gated(z: DataFrame, logits: DataFrame) -> DataFrame:
 
 
 def coherence(img: DataFrame, txt: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """(i, coherence): mean over bins of |C|^2 / (P_img * P_txt), limited to 0..1; C is the cross-spectrum of the item."""
+    """(i, coherence): mean over bins of |C|^2 / (P_img * P_txt), limited to 0..1; C is the cross-spectrum of the item, P the powers plus eps.
+
+    With one spectrum per item and modality this is 1 up to eps.
+    """
     a, b = img.toDF("i", "k", "ar", "ai"), txt.toDF("i", "k", "br", "bi")
     x, y = F.col("ar") * F.col("br") + F.col("ai") * F.col("bi"), F.col("ai") * F.col("br") - F.col("ar") * F.col("bi")
-    p = (F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai")) * (F.col("br") * F.col("br") + F.col("bi") * F.col("bi"))
-    return a.join(b, ["i", "k"]).select("i", A.clipped((x * x + y * y) / (p + F.lit(eps)), 0, 1).alias("c")).groupBy("i").agg(F.avg("c").alias("coherence"))
+    p = (F.col("ar") * F.col("ar") + F.col("ai") * F.col("ai") + F.lit(eps)) * (F.col("br") * F.col("br") + F.col("bi") * F.col("bi") + F.lit(eps))
+    return a.join(b, ["i", "k"]).select("i", A.clipped((x * x + y * y) / p, 0, 1).alias("c")).groupBy("i").agg(F.avg("c").alias("coherence"))
+
+
+def coherence_gated(z: DataFrame, coh: DataFrame, lam: float, baseline: float | None = None) -> DataFrame:
+    """z * (1 + lam * (coherence - baseline)) per item; the baseline is the mean coherence unless it is given."""
+    base = coh.agg(F.avg("coherence").alias("base")) if baseline is None else coh.sparkSession.range(1).select(F.lit(float(baseline)).alias("base"))
+    g = 1 + F.lit(float(lam)) * (F.col("coherence") - F.col("base"))
+    return z.join(coh, "i").crossJoin(F.broadcast(base)).select("i", "k", (F.col("re") * g).alias("re"), (F.col("im") * g).alias("im"))
 
 
 def deviation(z: DataFrame) -> DataFrame:

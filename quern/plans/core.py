@@ -666,11 +666,21 @@ def avrf_gated(s, d):
     return g.select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
 
 
-@query(f"with {SPECTRA} select i, round(avg(least(greatest(((a.re * b.re + a.im * b.im) ** 2 + (a.im * b.re - a.re * b.im) ** 2) / ((a.re ** 2 + a.im ** 2) * (b.re ** 2 + b.im ** 2) + 1e-8), 0), 1)), 6) coherence from zi a join zt b using (i, k) group by 1")
+@query(f"with {SPECTRA} select i, round(avg(least(greatest(((a.re * b.re + a.im * b.im) ** 2 + (a.im * b.re - a.re * b.im) ** 2) / ((a.re ** 2 + a.im ** 2 + 1e-8) * (b.re ** 2 + b.im ** 2 + 1e-8)), 0), 1)), 6) coherence from zi a join zt b using (i, k) group by 1")
 def imcf(s, d):
     return FE.coherence(z_of(s, d, 0), z_of(s, d, 1)).withColumn("coherence", six("coherence"))
 
 
+@query(
+    f"with {SPECTRA}, ch as (select a.i, avg(least(greatest(((a.re * b.re + a.im * b.im) ** 2 + (a.im * b.re - a.re * b.im) ** 2) / ((a.re ** 2 + a.im ** 2 + 1e-8) * (b.re ** 2 + b.im ** 2 + 1e-8)), 0), 1)) c from zi a join zt b using (i, k) group by 1), "
+    "g as (select i, 1 + 0.5::double * (c - avg(c) over ()) g from ch) select i, k, round(sqrt(re * re + im * im) * abs(g), 6) amp from zi join g using (i)"
+)
+def imcf_gated(s, d):
+    zi, zt = z_of(s, d, 0), z_of(s, d, 1)
+    r = FE.coherence_gated(zi, staged(FE.coherence(zi, zt)), 0.5)
+    return r.select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
+
+
 @query(
     f"with {SPECTRA}, am as (select k, round(sqrt(re * re + im * im), 9) a from zi), md as (select k, percentile_disc(0.5) within group (order by a) med from am group by 1), dv as (select k, med, abs(a - med) d from am join md using (k)) "
     "select k, round(any_value(med), 6) med, round(percentile_disc(0.5) within group (order by d), 6) mad from dv group by 1"
@@ -1021,6 +1031,60 @@ def best_epochs(s, d):
     return H.best_epochs(log, "value", "event_type")
 
 
+@query(f"with {_RUNS} select tag, round(median(recall), 6) recall_median from runs group by 1")
+def seed_median(s, d):
+    return runs(s, d).groupBy("tag").agg(six(F.median("recall")).alias("recall_median"))
+
+
+@query(f"with {_RUNS} select tag, seed, round(recall, 6) recall from runs order by recall desc, tag, seed limit 5")
+def top_trials(s, d):
+    return runs(s, d).orderBy(F.col("recall").desc(), "tag", "seed").limit(5).select("tag", "seed", six("recall").alias("recall"))
+
+
+@query(f"with {SPLIT}, tr as (select * from spl where split = 'train'), a as (select count(*) n from tr group by u), b as (select count(*) n from tr group by i) select (select min(n) from a) least_user, (select min(n) from b) least_item, (select count(*) from a where n < 5) users_below, (select count(*) from b where n < 5) items_below")
+def core_audit(s, d):
+    """Whether the training split is a 5-core: the least counts, and users and items under five."""
+    train = staged(part_of(s, d, "train"))
+    sides = [train.groupBy(c).count().agg(F.min("count").alias(f"least_{n}"), F.count_if(F.col("count") < 5).alias(f"{n}s_below")) for c, n in (("u", "user"), ("i", "item"))]
+    return sides[0].crossJoin(sides[1])
+
+
+@query(f"with {INTER}, n as (select max(i) + 1 n from inter), e as (select count(*) c from embeddings) select greatest(n, c) n_items from n, e")
+def catalogue_size(s, d):
+    rows = inter(s, d).select("u", "i", F.lit("train").alias("split"))
+    return readers.catalogue_size(rows, table(s, d, "embeddings"))
+
+
+@query(f"with {FEATURES}, p as (select i, list_transform(v, lambda x: exp(x - list_max(v))) e from img), q as (select i, list_transform(e, lambda x: x / list_sum(e)) p from p) select i, round(-list_sum(list_transform(p, lambda x: x * ln(greatest(x, 1e-12)))), 6) entropy from q")
+def assignment_entropy(s, d):
+    return half(s, d, 0).select("i", six(A.entropy(A.softmax("v"))).alias("entropy"))
+
+
+@query()
+def knn_approximate(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), A.doubles("embedding").alias("v"))
+    return S.approximate_neighbours(v, 10, reach=1.25).select("i", "j", six("sim").alias("sim"), big("rk"))
+
+
+@query()
+def view_loss(s, d):
+    """Loss between two noisy views of the same vectors, both ways."""
+    v = half(s, d, 0)
+    a, b = FE.noisy(v, 0.1, 1), FE.noisy(v, 0.1, 2)
+    return L.both_ways(L.infonce(a, b, 0.2, 256), L.infonce(b, a, 0.2, 256)).select("n", six("loss").alias("loss"))
+
+
+@query()
+def als_topk(s, d):
+    """Ten items per user by implicit ALS, training items left out."""
+    from quern.operators.training import als
+
+    train = staged(part_of(s, d, "train"))
+    model = als(train, 8)
+    vectors = [f.select(F.col("id").cast("bigint").alias(k), A.doubles("features").alias("v")) for f, k in ((model.userFactors, "u"), (model.itemFactors, "i"))]
+    return R.factor_top(vectors[0], vectors[1], train, 10).select("u", "i", big("rk"))
+
+
 @query()
 def train_small(s, d):
     """Loss per epoch of a small matrix factorisation on the training split."""
