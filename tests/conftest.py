@@ -15,7 +15,7 @@ DATA = os.environ.get("QUERN_TESTDATA", "/root/testdata/sf0.001")
 def spark():
     s = (
         SparkSession.builder.master("local[8]").appName("quern-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
