@@ -377,7 +377,7 @@ def graph_stats(s, d):
     return G.graph_stats(cooc(s, d), 2000).withColumn("avg_degree", six("avg_degree"))
 
 
-@query(f"with {FEATURES}, {_knn('kn', '(select i, e v from f)', 10)} select i, j, round(sim, 6) sim, rk from kn")
+@query(f"with {FEATURES}, {_knn('kn', '(select i, e v from f)', 10)} select i, j, round(sim, 6) + 0.0::double sim, rk from kn")
 def knn_cosine(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("i"), A.doubles("embedding").alias("v"))
     return S.cosine_neighbours(v, 10).select("i", "j", six("sim").alias("sim"), big("rk"))
@@ -419,13 +419,13 @@ def tree_coef(s, d):
     return G.tree_coefficients(tree_of(s, d), GAMMA, TAU).select("i", "j", six("w").alias("w"))
 
 
-@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 * (1 + coalesce(c.w, 0)), 6) w from ki k left join coef c on c.i = k.i and c.j = k.j")
+@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 * (1 + coalesce(c.w, 0)), 6) + 0.0::double w from ki k left join coef c on c.i = k.i and c.j = k.j")
 def augmented_graph(s, d):
     sim = S.cosine_neighbours(half(s, d, 0), 10).select("i", "j", F.col("sim").alias("w"))
     return G.augmented(sim, G.tree_coefficients(tree_of(s, d), GAMMA, TAU)).select("i", "j", six("w").alias("w"))
 
 
-@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 + coalesce(c.w, 0) * k.sim, 6) w from ki k left join coef c on c.i = k.i and c.j = k.j")
+@query(f"with {TREE}, {COEF}, {SIMS} select k.i, k.j, round(k.sim * 0.5 + coalesce(c.w, 0) * k.sim, 6) + 0.0::double w from ki k left join coef c on c.i = k.i and c.j = k.j")
 def augmented_sparse(s, d):
     sim = S.cosine_neighbours(half(s, d, 0), 10).select("i", "j", F.col("sim").alias("w"))
     return G.augmented(sim, G.tree_coefficients(tree_of(s, d), GAMMA, TAU), "sparse").select("i", "j", six("w").alias("w"))
@@ -433,7 +433,7 @@ def augmented_sparse(s, d):
 
 _DENSE = (
     "pairs as (select i, j from ki union select c.i, c.j from coef c join img a on a.i = c.i join img b on b.i = c.j) "
-    "select p.i, p.j, round(coalesce(k.sim, 0) + coalesce(c.w, 0) * round(list_cosine_similarity(a.v, b.v), 9), 6) w from pairs p join img a on a.i = p.i join img b on b.i = p.j left join ki k on k.i = p.i and k.j = p.j left join coef c on c.i = p.i and c.j = p.j"
+    "select p.i, p.j, round(coalesce(k.sim, 0) + coalesce(c.w, 0) * round(list_cosine_similarity(a.v, b.v), 9), 6) + 0.0::double w from pairs p join img a on a.i = p.i join img b on b.i = p.j left join ki k on k.i = p.i and k.j = p.j left join coef c on c.i = p.i and c.j = p.j"
 )
 
 
@@ -625,7 +625,7 @@ def rfft_amp(s, d):
     return z_of(s, d, 0).select("i", big("k"), six(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("amp"))
 
 
-@query(f"with {FEATURES} select i, round(x, 6) x, d from (select i, unnest(v) x, unnest(range(32)) d from img)")
+@query(f"with {FEATURES} select i, round(x, 6) + 0.0::double x, d from (select i, unnest(v) x, unnest(range(32)) d from img)")
 def rfft_roundtrip(s, d):
     return FE.inverse_spectra(z_of(s, d, 0), HALF).select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
 
@@ -653,7 +653,7 @@ def apc_rotated_amp(s, d):
 _PRIOR = "am as (select i, k, sqrt(re * re + im * im) a from zi), wi as (select avg(v) intra from (select var_pop(a) v from am group by i)), pr as (select k, var_pop(a) / (var_pop(a) + any_value(intra) + 1e-8) p from am cross join wi group by 1)"
 
 
-@query(f"with {SPECTRA}, {_PRIOR} select k, round(p, 6) prior, round(least(greatest(ln((p + 1e-8) / (1 - p + 1e-8)), -2), 2), 6) logit from pr")
+@query(f"with {SPECTRA}, {_PRIOR} select k, round(p, 6) prior, round(least(greatest(ln((p + 1e-8) / (1 - p + 1e-8)), -2), 2), 6) + 0.0::double logit from pr")
 def avrf_logit(s, d):
     p = FE.bin_prior(z_of(s, d, 0))
     return p.select(big("k"), six("prior").alias("prior"), six(FE.clipped_logit(F.col("prior"))).alias("logit"))
@@ -717,7 +717,7 @@ def pca_ica(s, d):
 
 @query(
     f"with {FEATURES}, nr as (select avg(sqrt(list_dot_product(img.v, img.v))) / avg(sqrt(list_dot_product(txt.v, txt.v))) s from img join txt using (i)), "
-    "o as (select img.i, img.v a, txt.v b from img join txt using (i)) select i, d, round(a + 0.2::double * s * b, 6) x from (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d from o) cross join nr"
+    "o as (select img.i, img.v a, txt.v b from img join txt using (i)) select i, d, round(a + 0.2::double * s * b, 6) + 0.0::double x from (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d from o) cross join nr"
 )
 def macp_residual(s, d):
     f = FE.fused_streams(half(s, d, 0), half(s, d, 1), None, "residual", 0.2)
@@ -725,7 +725,7 @@ def macp_residual(s, d):
 
 
 @query(
-    f"with {FEATURES}, m as (select i, list_avg(v) m, list_var_pop(v) s from txt) select i, d, round(a + 0.1::double * (b - m) / sqrt(s + 1e-5), 6) x from (select img.i, unnest(img.v) a, unnest(txt.v) b, unnest(range(32)) d from img join txt using (i)) join m using (i)"
+    f"with {FEATURES}, m as (select i, list_avg(v) m, list_var_pop(v) s from txt) select i, d, round(a + 0.1::double * (b - m) / sqrt(s + 1e-5), 6) + 0.0::double x from (select img.i, unnest(img.v) a, unnest(txt.v) b, unnest(range(32)) d from img join txt using (i)) join m using (i)"
 )
 def layernorm_route(s, d):
     both = half(s, d, 0).join(half(s, d, 1).toDF("i", "c"), "i")
@@ -950,7 +950,7 @@ def learned_view(s, d):
     return _emb(PR.last_layer(g, _start(g), 1))
 
 
-@query(f"with {FEATURES}, n as (select img.i, img.v a, txt.v b, sqrt(list_dot_product(txt.v, txt.v)) r from img join txt using (i)), o as (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d, r from n) select i, d, round(a + b / (case when r = 0 then 1 else r end), 6) x from o")
+@query(f"with {FEATURES}, n as (select img.i, img.v a, txt.v b, sqrt(list_dot_product(txt.v, txt.v)) r from img join txt using (i)), o as (select i, unnest(a) a, unnest(b) b, unnest(range(32)) d, r from n) select i, d, round(a + b / (case when r = 0 then 1 else r end), 6) + 0.0::double x from o")
 def fused_views(s, d):
     return PR.fused_views(half(s, d, 0), half(s, d, 1)).select("i", F.posexplode("v").alias("d", "x")).select("i", big("d"), six("x").alias("x"))
 
@@ -997,7 +997,7 @@ def seed_summary(s, d):
     return r.select("tag", *[(six(c) if not c.endswith("_n") else F.col(c)).alias(c) for c in r.columns if c != "tag"])
 
 
-@query(f"with {_RUNS}, m as (select tag, avg(recall) r from runs group by 1), b as (select r b from m where tag = '1-URGENT') select tag, round(r, 6) mean, round((r - b) * 100, 6) delta_points, case when r - b >= 0.0005 then 'better' when r - b <= -0.0005 then 'worse' else 'equal' end verdict from m, b")
+@query(f"with {_RUNS}, m as (select tag, avg(recall) r from runs group by 1), b as (select r b from m where tag = '1-URGENT') select tag, round(r, 6) mean, round((r - b) * 100, 6) + 0.0::double delta_points, case when r - b >= 0.0005 then 'better' when r - b <= -0.0005 then 'worse' else 'equal' end verdict from m, b")
 def ablation_delta(s, d):
     r = H.baseline_delta(H.seed_summary(runs(s, d), ["tag"], ["recall"]), "tag", "1-URGENT", "recall_mean")
     return r.select("tag", six("mean").alias("mean"), six("delta_points").alias("delta_points"), "verdict")
