@@ -1,12 +1,10 @@
-"""Similarity clusters: k-means cells, then exact comparison inside the cells.
-
-Vectors are turned into hashed weighted features (signed feature hashing), cells
-are found by k-means with parallel oversampled seeding over all vectors, and
-each vector is put into its OVERLAP nearest cells. A cell of more than CELL vectors is
-split into salted parts; parts are compared as blocks, and the parts of one cell
-through their leaders. Labels found in different cells are joined by
-propagating the smallest one. Clusters are reported with their size and the
-members nearest to the centroid.
+"""Similarity clusters by exact comparison of all pairs of vectors, block by block.
+
+One block of CELL vectors per modality after the other is broadcast, and every task compares
+its vectors with it; a pair of blocks is compared once, for both sides. Per vector only the smallest
+similar item and the number of similar items are kept, which decide what a cluster is.
+No pair is left out, so the work grows with the square of the vectors. Clusters are reported with their
+size and the members nearest to the centroid.
 """
 
 from __future__ import annotations
@@ -21,24 +19,8 @@ from pyspark.sql import functions as F
 from quern.llm.vectors import MODALITIES, mixed, packed, unit_vectors, unpacked
 from quern.runtime import staged, union_all
 
-OVERLAP = 3
-#: Vectors a cell is meant to have, and the number of cells at most, as centroids are kept on the driver.
-CELL_MEAN, MOST_CELLS = 2_000, 1_024
-#: Vectors in a part of a cell.
-CELL = 6_000
-ROUNDS, STEPS = 2, 2
-FEATURES = 128
-
-
-def hashed_features(x: np.ndarray, size: int = FEATURES, weights: np.ndarray | None = None) -> np.ndarray:
-    """Signed feature hashing of the weighted coordinates into ``size`` features, of unit length."""
-    rng = np.random.default_rng(77 + x.shape[1])
-    to = rng.permutation(max(size, x.shape[1]))[: x.shape[1]] % size
-    sign = rng.choice(np.array([-1, 1], np.float32), x.shape[1])
-    project = np.zeros((x.shape[1], size), np.float32)
-    project[np.arange(x.shape[1]), to] = sign if weights is None else sign * weights
-    y = x @ project
-    return y / np.maximum(np.sqrt((y * y).sum(1)), 1e-12)[:, None]
+#: Vectors in a block, and how many rows are compared with it at once.
+CELL, CHUNK = 32_768, 512
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -55,32 +37,9 @@ def _by_modality(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.nd
             yield int(m[lo]), part.column(1).to_numpy(), unpacked(part.column(2), np.float32)
 
 
-def _pass(vectors: DataFrame, work: Callable[[Iterator[tuple[int, np.ndarray, np.ndarray]]], dict], schema: str) -> DataFrame:
-    """One pass over all vectors; ``work`` reduces a task's vectors to {(m, key): (number, vector)}."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = work(_by_modality(batches))
-        if out:
-            keys = list(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([float(out[k][0]) for k in keys]), packed(np.stack([np.asarray(out[k][1], np.float64) for k in keys]))],
-                names=["m", "key", "number", "v"],
-            )
-
-    return vectors.mapInArrow(run, schema)
-
-
 _SCHEMA = "m int, key bigint, number double, v binary"
 
 
-def _gathered(df: DataFrame) -> dict[int, list[tuple[int, float, np.ndarray]]]:
-    """Rows of a pass on the driver: a few per task and centroid."""
-    out: dict[int, list] = {}
-    for r in df.toLocalIterator():
-        out.setdefault(r.m, []).append((r.key, r.number, np.frombuffer(bytes(r.v))))
-    return out
-
-
 def _summed_by_key(df: DataFrame) -> DataFrame:
     """Sums numbers and vectors of equal (m, key): at most one row per task arrives for each."""
 
@@ -91,122 +50,11 @@ def _summed_by_key(df: DataFrame) -> DataFrame:
     return df.groupBy("m", "key").applyInArrow(add, _SCHEMA)
 
 
-def _seed_driver(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Weighted k-means++ over the oversampled points, then a few weighted steps."""
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
-    far = 2 - 2 * points @ points[chosen[0]]
-    for _ in range(min(k, len(points)) - 1):
-        p = np.maximum(far, 0) * weights
-        if p.sum() <= 0:
-            break
-        chosen.append(int(rng.choice(len(points), p=p / p.sum())))
-        far = np.minimum(far, 2 - 2 * points @ points[chosen[-1]])
-    centres = points[chosen]
-    for _ in range(5):
-        a = (points @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, a, points * weights[:, None])
-        norm = np.sqrt((sums * sums).sum(1))
-        centres = np.where(norm[:, None] > 0, sums / np.maximum(norm, 1e-12)[:, None], centres)
-    return centres.astype(np.float32)
-
-
-def kmeans_cells(vectors: DataFrame, counts: dict[int, int], cell: int = CELL_MEAN, most: int = MOST_CELLS) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """Per modality the centroids (hashed features) and how many vectors have each among their OVERLAP nearest.
-
-    Spherical k-means with parallel oversampled seeding: from one vector on,
-    ROUNDS times about 2k vectors are drawn with a probability in proportion to their
-    distance to those drawn before; the draws are weighted by the vectors nearest to
-    them and reduced to k on the driver, then STEPS steps run over all vectors.
-    """
-    ks = {m: int(np.clip(round(n / cell), 4, most)) for m, n in counts.items()}
-
-    def first(parts) -> dict:
-        best: dict = {}
-        for m, ids, x in parts:
-            i = int(np.argmin(_uniform(ids, 1)))
-            u = float(_uniform(ids[i : i + 1], 1)[0])
-            if (m, 0) not in best or u < best[m, 0][0]:
-                best[m, 0] = (u, hashed_features(x[i : i + 1])[0])
-        return best
-
-    drawn = {m: np.stack([min(rows, key=lambda r: r[1])[2]]).astype(np.float32) for m, rows in _gathered(_pass(vectors, first, _SCHEMA)).items()}
-    # the distance of unit vectors to one drawn vector is 2 on average, which stands for the first sum
-    cost = {m: 2.0 * counts[m] for m in drawn}
-    for round_ in range(ROUNDS):
-
-        def draw(parts, drawn=dict(drawn), cost=dict(cost), round_=round_) -> dict:
-            out: dict = {}
-            for m, ids, x in parts:
-                y = hashed_features(x)
-                d = np.maximum(2 - 2 * (y @ drawn[m].T).max(1), 0)
-                out[m, -1] = (out.get((m, -1), (0, 0))[0] + d.sum(), np.zeros(FEATURES))
-                for i in np.flatnonzero(_uniform(ids, 100 + round_) < 2 * ks[m] * d / cost[m]):
-                    out[m, int(ids[i])] = (1.0, y[i])
-            return out
-
-        for m, rows in _gathered(_pass(vectors, draw, _SCHEMA)).items():
-            cost[m] = max(sum(n for key, n, _ in rows if key == -1), 1e-9)
-            new = {key: v for key, _, v in rows if key != -1}
-            drawn[m] = np.concatenate([drawn[m], *[new[key][None].astype(np.float32) for key in sorted(new)]])
-
-    def nearest(centres: dict[int, np.ndarray], overlap: int) -> Callable:
-        def work(parts) -> dict:
-            sums = {m: np.zeros(c.shape, np.float64) for m, c in centres.items()}
-            own = {m: np.zeros(len(c)) for m, c in centres.items()}
-            seen = set()
-            for m, _, x in parts:
-                y = hashed_features(x)
-                near = y @ centres[m].T
-                a = near.argmax(1)
-                one = np.zeros((len(centres[m]), len(a)), np.float32)
-                one[a, np.arange(len(a))] = 1
-                sums[m] += one @ y
-                if overlap > 1 and len(centres[m]) > overlap:
-                    a = np.argpartition(-near, overlap - 1, axis=1)[:, :overlap].ravel()
-                elif overlap > 1:
-                    a = np.tile(np.arange(len(centres[m])), len(a))
-                own[m] += np.bincount(a, minlength=len(centres[m]))
-                seen.add(m)
-            return {(m, j): (own[m][j], sums[m][j]) for m in seen for j in np.flatnonzero(own[m]).tolist()}
-
-        return work
-
-    weights = {m: np.zeros(len(p)) for m, p in drawn.items()}
-    for m, rows in _gathered(_summed_by_key(_pass(vectors, nearest(drawn, 1), _SCHEMA))).items():
-        for key, n, _ in rows:
-            weights[m][key] += n
-    centres = {m: _seed_driver(drawn[m], weights[m] + 1e-9, ks[m], 31 + m) for m in drawn}
-    sizes: dict[int, np.ndarray] = {}
-    for step in range(STEPS):
-        for m, rows in _gathered(_summed_by_key(_pass(vectors, nearest(centres, OVERLAP if step == STEPS - 1 else 1), _SCHEMA))).items():
-            sizes[m] = np.zeros(len(centres[m]))
-            moved = centres[m].copy()
-            for key, n, v in rows:
-                sizes[m][key] = n
-                norm = np.sqrt((v * v).sum())
-                # the last pass only counts, so that sizes go with the centroids
-                if norm > 0 and step < STEPS - 1:
-                    moved[key] = (v / norm).astype(np.float32)
-            centres[m] = moved
-    return centres, sizes
-
-
-def block_labels(ids: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(label, clean): the smallest id within ``least`` of each vector, and whether exactly the vectors of its label are."""
-    order = np.argsort(ids, kind="stable")
-    y = x[order]
-    label, degree = np.empty(len(y), np.int64), np.empty(len(y), np.int64)
-    for at in range(0, len(y), 1024):
-        hit = y[at : at + 1024] @ y.T >= least
-        hit[np.arange(len(hit)), at + np.arange(len(hit))] = True
-        label[at : at + 1024] = hit.argmax(1)
-        degree[at : at + 1024] = np.count_nonzero(hit, axis=1)
-    clean = degree == np.bincount(label, minlength=len(y))[label]
-    out, ok = np.empty_like(label), np.empty(len(y), bool)
-    out[order], ok[order] = ids[order][label], clean
-    return out, ok
+def similar_in_block(x: np.ndarray, block: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the pairs x[i], block[j] at a cosine of ``least`` or more, by i and then j, in chunks of rows."""
+    for at in range(0, len(x), CHUNK):
+        i, j = np.divmod(np.flatnonzero(x[at : at + CHUNK] @ block.T >= least), len(block))
+        yield i + at, j
 
 
 def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -217,72 +65,67 @@ def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple
     item. Items without a valid vector are in none; an item that is present
     several times counts once. Neighbourhoods that aren't clean give no cluster.
     """
-    vectors = staged(unit_vectors(df, item, modalities))
     spark = df.sparkSession
+    # the vectors of a modality have to be next to each other
+    vectors = staged(unit_vectors(df, item, modalities).groupBy("m", "item_id").agg(F.min("x").alias("x")).sortWithinPartitions("m", "item_id"))
     counts = {r.m: r["count"] for r in vectors.groupBy("m").count().collect()}
     if not counts:
         return spark.createDataFrame([], "m int, cluster_id bigint, item_id bigint"), vectors
-    centres, sizes = kmeans_cells(vectors, counts)
-    salts = {m: np.maximum(1, np.ceil(s / CELL)).astype(np.int64) for m, s in sizes.items()}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, ids, x in _by_modality(batches):
-            near = hashed_features(x) @ centres[m].T
-            k = min(OVERLAP, near.shape[1])
-            cells = np.argpartition(-near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.tile(np.arange(k), (len(ids), 1))
-            salt = (_uniform(ids, 9)[:, None] * salts[m][cells]).astype(np.int32)
-            for j in range(k):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), m, np.int32)), pa.array(cells[:, j].astype(np.int32)), pa.array(salt[:, j]), pa.array(ids), packed(x)], names=["m", "cell", "salt", "item_id", "x"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, x = table.column("item_id").to_numpy(), unpacked(table.column("x").combine_chunks(), np.float32)
-        label, clean = block_labels(ids, x, least)
-        cell, salt, m = (table.column(c)[0].as_py() for c in ("cell", "salt", "m"))
-        split = salts[m][cell] > 1
-        # vectors of leaders are needed only where the cell has other parts
-        lead = [v if split and a == b else None for v, a, b in zip(table.column("x").to_pylist() if split else ids, ids, label)]
-        n = len(ids)
-        return pa.table({"m": pa.array([m] * n, pa.int32()), "cell": pa.array([cell] * n, pa.int32()), "salt": pa.array([salt] * n, pa.int32()), "item_id": ids, "leader": label, "clean": clean, "x": pa.array(lead, pa.binary())})
-
-    placed = vectors.mapInArrow(place, "m int, cell int, salt int, item_id bigint, x binary")
-    local = staged(placed.groupBy("m", "cell", "salt").applyInArrow(compare, "m int, cell int, salt int, item_id bigint, leader bigint, clean boolean, x binary"))
-    edges = local.select("m", "item_id", "leader", "clean")
-    if any((s > 1).any() for s in salts.values()):
-        parts = {(m, int(c)): int(s[c]) for m, s in salts.items() for c in np.flatnonzero(s > 1)}
-        table = spark.createDataFrame([(m, c, s) for (m, c), s in parts.items()], "m int, cell int, parts int")
-        lead = local.filter("x is not null").join(F.broadcast(table), ["m", "cell"])
-        # a leader goes to every pair of parts that has its own
-        other = lead.select("m", "cell", "salt", "item_id", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        pairs = other.select("m", "cell", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), "item_id", "x").filter("p < q")
-
-        def across(t: pa.Table) -> pa.Table:
-            ids, x = t.column("item_id").to_numpy(), unpacked(t.column("x").combine_chunks(), np.float32)
-            label, _ = block_labels(ids, x, least)
-            keep = label != ids
-            return pa.table({"m": pa.array([t.column("m")[0].as_py()] * int(keep.sum()), pa.int32()), "item_id": ids[keep], "leader": label[keep], "clean": np.ones(int(keep.sum()), bool)})
-
-        edges = union_all(edges, pairs.groupBy("m", "cell", "p", "q").applyInArrow(across, "m int, item_id bigint, leader bigint, clean boolean"))
-    labels = _joined_labels(edges)
-    sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("size"), F.min("clean").alias("clean")).filter("size > 1 and clean")
+    blocks = -(-max(counts.values()) // CELL)
+
+    def block_of(ids: np.ndarray) -> np.ndarray:
+        return (_uniform(ids, 9) * blocks).astype(np.int64)
+
+    def only(q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(block_of(b.column(1).to_numpy()) == q))
+
+        return run
+
+    def compare(q: int, held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def rows(m: int, ids: np.ndarray, leader: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
+            some = degree > 0
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), m, np.int32)), pa.array(ids[some]), pa.array(leader[some]), pa.array(degree[some])], names=["m", "item_id", "leader", "degree"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most, back = np.iinfo(np.int64).max, {}
+            for m, ids, x in _by_modality(batches):
+                if m not in held.value:
+                    continue
+                names, block = held.value[m]
+                of = block_of(ids)
+                ids, x, of = ids[of >= q], x[of >= q], of[of >= q]
+                leader, degree = np.full(len(ids), most), np.zeros(len(ids), np.int64)
+                if m not in back:
+                    back[m] = np.full(len(names), most), np.zeros(len(names), np.int64)
+                for i, j in similar_in_block(x, block, least):
+                    np.minimum.at(leader, i, names[j])
+                    degree += np.bincount(i, minlength=len(ids))
+                    # within the block each of the two meets the other as a row
+                    i, j = i[of[i] > q], j[of[i] > q]
+                    np.minimum.at(back[m][0], j, ids[i])
+                    back[m][1][:] += np.bincount(j, minlength=len(names))
+                yield rows(m, ids, leader, degree)
+            for m, (leader, degree) in back.items():
+                yield rows(m, held.value[m][0], leader, degree)
+
+        return run
+
+    parts = []
+    for q in range(blocks):
+        block: dict[int, list] = {}
+        for m, ids, x in _by_modality(iter(vectors.mapInArrow(only(q), vectors.schema).toArrow().to_batches())):
+            block.setdefault(m, []).append((ids, x))
+        held = spark.sparkContext.broadcast({m: tuple(np.concatenate(v) for v in zip(*b)) for m, b in block.items()})
+        parts.append(staged(vectors.mapInArrow(compare(q, held), "m int, item_id bigint, leader bigint, degree bigint")))
+        held.destroy()
+    # every vector is similar to itself, so it has a row
+    labels = staged(union_all(*parts).groupBy("m", "item_id").agg(F.min("leader").alias("label"), F.sum("degree").alias("degree")))
+    sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi")).filter("size > 1 and lo = size and hi = size")
     return labels.join(sized.select("m", "label"), ["m", "label"]).select("m", F.col("label").alias("cluster_id"), "item_id"), vectors
 
 
-def _joined_labels(edges: DataFrame) -> DataFrame:
-    """(m, item_id, label, clean): the smallest item of each connected component of the (item, leader) edges."""
-    edges = staged(edges.groupBy("m", "item_id", "leader").agg(F.min("clean").alias("clean")))
-    labels = staged(edges.groupBy("m", "item_id").agg(F.min("leader").alias("label"), F.min("clean").alias("clean")))
-    links = edges.filter("item_id <> leader").select("m", "item_id", "leader")
-    while True:
-        own = labels.select("m", "item_id", "label")
-        up = links.join(own, ["m", "item_id"]).select("m", F.col("leader").alias("item_id"), "label")
-        down = links.join(own.withColumnRenamed("item_id", "leader"), ["m", "leader"]).select("m", "item_id", "label")
-        lower = union_all(up, down).groupBy("m", "item_id").agg(F.min("label").alias("lower"))
-        new = labels.join(lower, ["m", "item_id"], "left").select("m", "item_id", F.least("label", "lower").alias("label"), "clean", (F.col("lower") < F.col("label")).alias("moved"))
-        labels = staged(new)
-        if labels.filter("moved").isEmpty():
-            return labels.drop("moved")
-
-
 def found_clusters(df: DataFrame, least: float = 0.8) -> DataFrame:
     """(modality, cluster_id, item_id) over both modalities of item_features."""
     clusters, _ = similarity_clusters(df, least=least)
@@ -296,7 +139,7 @@ def described_clusters(df: DataFrame, least: float = 0.8, typical: int = 3) -> D
     Typicality is the cosine to the mean of the members' unit vectors, rounded to 5 digits; ties go to the smaller item.
     """
     clusters, vectors = similarity_clusters(df, least=least)
-    members = staged(clusters.join(vectors.dropDuplicates(["m", "item_id"]), ["m", "item_id"]).select("m", "cluster_id", "item_id", "x"))
+    members = staged(clusters.join(vectors, ["m", "item_id"]).select("m", "cluster_id", "item_id", "x"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], list] = {}
