@@ -1,26 +1,32 @@
-"""The k most similar vectors of every vector, by a hash-prefix forest.
+"""The k most similar vectors of every vector, by comparison of all pairs or by a hash-prefix forest.
 
-Each of TREES trees gives every vector a string of 64 bits, one per random
+All pairs: one block of BLOCK entries per modality after the other is broadcast, and every task
+compares its entries with it. Products of 32-bit unit vectors only exclude pairs; whatever
+their error could put among the k best or over the least similarity is computed from the original vectors,
+however many such pairs there are. The work grows with the square of the entries.
+
+Forest, for tables where that is out of reach; it misses some neighbours, and ties of more than about k + SPARE entries:
+each of TREES trees gives every vector a string of 64 bits, one per random
 hyperplane. The trees' sorted arrays are made by a range partitioning and a sort
 within partitions, so consecutive vectors share the longest prefixes there are,
 whatever the density, and no bucket can grow. A run of RUN vectors of a sorted
 array is the deepest level; within it the strings are sorted again by other
 parts of the string, and stretches of STRETCH vectors of these orders are
-compared exactly as blocks. Going from a stretch to its run and on to the next tree is
+compared as blocks. Going from a stretch to its run and on to the next tree is
 the ascent that collects candidates, at the same pace for all vectors.
 
-Copies: vectors that are equal bit by bit are one entry. An item's neighbours are
+Copies: vectors that are equal bit by bit (the forest: after scaling to unit length) are one entry. An item's neighbours are
 its copies and those of its entry's neighbours; of each only the k + 1 smallest
 ids can matter and are looked at.
 
-Components are kept as 16-bit fixed-point numbers on the way. Where their error
-could change what is among the k best, or what reaches the least similarity, the
+The forest keeps components as 16-bit fixed-point numbers on the way. Where their error
+could change what is among the k best of its candidates, or what reaches the least similarity, the
 original vectors of the pairs in question are compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.arrays import cosine
-from quern.llm.vectors import MODALITIES, packed, row_keys, unpacked, unit_vectors
+from quern.llm.vectors import MODALITIES, packed, row_keys, unit_rows, unpacked, unit_vectors
 from quern.runtime import staged, union_all
 
 TREES = 6
@@ -36,6 +42,8 @@ RUN, STRETCH, ORDERS = 16_384, 1_024, 4
 SCALE = 32_000.0
 #: Twice the error of a similarity of fixed-point vectors, and how many candidates beyond k are kept for exact comparison.
 BAND, SPARE = 1e-4, 6
+#: Entries in a block, rows compared with it at once, pairs computed exactly at once, and twice the error (at most) of a product of 32-bit unit vectors.
+BLOCK, CHUNK, PAIRS, ERROR = 32_768, 512, 20_000, 4e-5
 
 
 def hyperplanes(dim: int, trees: int) -> np.ndarray:
@@ -139,13 +147,104 @@ def similar_entries(entries: DataFrame, dims: list[int], k: int, least: float, t
     return kept.filter((F.col("rk") <= k) | F.col("doubtful")).select("m", "a", "b", "similarity", "doubtful")
 
 
-def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, k: int = 5, least: float = 0.8, trees: int = TREES) -> DataFrame:
-    """(modality, item_id, neighbour, similarity, rank): the k most similar other items of every item with a valid vector, of cosine ``least`` or more.
+def exact_cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of x[i] and y[j] in double precision, rounded to 9 digits."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        a, b = x[i[at : at + PAIRS]].astype(np.float64), y[j[at : at + PAIRS]].astype(np.float64)
+        out[at : at + PAIRS] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    return np.round(out, 9)
+
+
+def best_in_all(x: np.ndarray, keys: np.ndarray, block: np.ndarray, unit: np.ndarray, names: np.ndarray, first: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, similarity): for each x[i] its k most similar entries of the block, of at least ``least``, ties to the smaller ``first``; its own key excluded."""
+    y = _unit(x)
+    for at in range(0, len(x), CHUNK):
+        s = y[at : at + CHUNK] @ unit.T
+        i, j = np.divmod(np.flatnonzero(s >= least - ERROR), len(unit))
+        other = keys[i + at] != names[j]
+        i, j = i[other], j[other]
+        approx = s[i, j]
+        order = np.lexsort((-approx, i))
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        limit = np.full(len(s), -9.0)
+        # i is sorted already, so the ranks go with the ordered values
+        limit[i[rank == k - 1]] = approx[order][rank == k - 1]
+        near = approx >= limit[i] - ERROR
+        i, j = i[near] + at, j[near]
+        exact = exact_cosines(x, block, i, j)
+        i, j, exact = i[exact >= least], j[exact >= least], exact[exact >= least]
+        order = np.lexsort((first[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        yield i[rank < k], j[rank < k], exact[rank < k]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+
+
+def _all_pairs(df: DataFrame, item: str, modalities: tuple, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Items (m, item_id, key) and (m, a, b, similarity): the k best partners b of every entry a among all entries."""
+    kinds = [np.float32 if "float" in df.schema[c].dataType.simpleString() else np.float64 for _, c, _ in modalities]
+
+    def originals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m, (_, _, dim) in enumerate(modalities):
+                rows, _ = unit_rows(b.column(m + 1), dim)
+                if len(rows):
+                    x = b.column(m + 1).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(kinds[m]).reshape(len(rows), dim)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), m, np.int32)), b.column(0).take(pa.array(rows)), pa.array(row_keys(x)), packed(x)], names=["m", "item_id", "key", "x"])
 
-    Equal similarities go to the smaller item. All rows are queries and all are
-    indexed. An item that is present several times counts once. Vectors that are
-    null, of another length, all zero or hold NaN, infinity or null have no rows.
-    """
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            m = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, m[1:] != m[:-1])).tolist() + [b.num_rows] if len(m) else []
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                part = b.slice(lo, hi - lo)
+                yield int(m[lo]), part.column(1).to_numpy(), part.column(2).to_numpy(), unpacked(part.column(3), kinds[m[lo]])
+
+    source = df.filter(f"`{item}` is not null").selectExpr(f"cast(`{item}` as bigint) item_id", *[f"`{c}`" for _, c, _ in modalities])
+    rows = source.mapInArrow(originals, "m int, item_id bigint, key bigint, x binary")
+    items = staged(rows.groupBy("m", "item_id").agg(F.min("key").alias("key")))
+    # the entries of a modality have to be next to each other
+    entries = staged(rows.groupBy("m", "key").agg(F.min("item_id").alias("first"), F.min("x").alias("x")).sortWithinPartitions("m", "key"))
+    blocks = -(-max([r["count"] for r in entries.groupBy("m").count().collect()], default=0) // BLOCK)
+
+    def only(q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(b.column(1).to_numpy().view(np.uint64) % np.uint64(blocks) == q))
+
+        return run
+
+    def compare(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            units = {m: _unit(block) for m, (_, _, block) in held.value.items()}
+            for m, keys, _, x in parts(batches):
+                if m in units:
+                    names, first, block = held.value[m]
+                    for i, j, s in best_in_all(x, keys, block, units[m], names, first, k, least):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), m, np.int32)), pa.array(keys[i]), pa.array(names[j]), pa.array(first[j]), pa.array(s)], names=["m", "a", "b", "first", "similarity"])
+
+        return run
+
+    schema, found = "m int, a bigint, b bigint, first bigint, similarity double", []
+    for q in range(blocks):
+        block: dict[int, list] = {}
+        for m, *columns in parts(iter(entries.mapInArrow(only(q), entries.schema).toArrow().to_batches())):
+            block.setdefault(m, []).append(columns)
+        held = df.sparkSession.sparkContext.broadcast({m: tuple(np.concatenate(v) for v in zip(*b)) for m, b in block.items()})
+        found.append(staged(entries.mapInArrow(compare(held), schema)))
+        held.destroy()
+    near = union_all(*found) if found else df.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("m", "a").orderBy(F.col("similarity").desc(), "first")
+    return items, near.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("m", "a", "b", "similarity")
+
+
+def _forest(df: DataFrame, item: str, modalities: tuple, k: int, least: float, trees: int) -> tuple[DataFrame, DataFrame]:
+    """As _all_pairs, of the pairs that the forest brings together."""
     dims = [d for _, _, d in modalities]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +265,18 @@ def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODAL
     entries = staged(unit_vectors(df, item, modalities).mapInArrow(each_modality, "m int, item_id bigint, key bigint, q binary, h array<bigint>"))
     near = staged(similar_entries(entries.select("m", "key", "q", "h"), dims, k, least, trees))
     items = staged(entries.groupBy("m", "item_id").agg(F.min("key").alias("key")))
-    near = _settled(near, items, df, item, modalities, least)
+    return items, _settled(near, items, df, item, modalities, least)
+
+
+def most_similar(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, k: int = 5, least: float = 0.8, trees: int = 0) -> DataFrame:
+    """(modality, item_id, neighbour, similarity, rank): the k most similar other items of every item with a valid vector, of cosine ``least`` or more.
+
+    Equal similarities go to the smaller item. All rows are queries and all are
+    indexed. An item that is present several times counts once. Vectors that are
+    null, of another length, all zero or hold NaN, infinity or null have no rows.
+    All pairs are compared; with ``trees`` only those that a forest of so many trees brings together.
+    """
+    items, near = _forest(df, item, modalities, k, least, trees) if trees else _all_pairs(df, item, modalities, k, least)
     smallest = items.withColumn("rk", F.row_number().over(Window.partitionBy("m", "key").orderBy("item_id"))).filter(F.col("rk") <= k + 1)
     smallest = smallest.select("m", F.col("key").alias("b"), F.col("item_id").alias("neighbour"))
     copies = items.select("m", "item_id", F.col("key").alias("b"), F.lit(1.0).alias("similarity"))
