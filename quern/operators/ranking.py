@@ -116,12 +116,27 @@ def geometric_mean(head: Column, mid: Column, tail: Column) -> Column:
     return F.when(ok, F.pow(head * mid * tail, F.lit(1 / 3))).otherwise(F.lit(0.0))
 
 
-def auc_per_user(scores: DataFrame, relevant: DataFrame) -> DataFrame:
-    """(u, auc): rank-sum AUC of each user's scored items, ties by average rank; 0 without both classes."""
+def auc_per_user(scores: DataFrame, relevant: DataFrame, history: DataFrame | None = None, items: DataFrame | None = None) -> DataFrame:
+    """(u, auc): rank-sum AUC of each user's scored items, ties by average rank; 0 without both classes.
+
+    With ``history`` (u, i) and the catalogue ``items`` (i) it is that of all items outside the history, those
+    without a score having score 0, for all users with scores or relevant items.
+    """
     r = relevant.select("u", "i").distinct().withColumn("y", F.lit(1))
     labelled = scores.join(r, ["u", "i"], "left").select("u", "score", F.coalesce("y", F.lit(0)).alias("y"))
     # equal scores are counted together, so ranks need one row per user and score
     levels = labelled.groupBy("u", "score").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("p"))
+    if history is not None and items is not None:
+        ids = items.select("i").distinct()
+        own = history.select("u", "i").distinct()
+        held = own.join(ids, "i").groupBy("u").agg(F.count(F.lit(1)).alias("h"))
+        positives = r.join(ids, "i").join(own, ["u", "i"], "left_anti").groupBy("u").agg(F.count(F.lit(1)).alias("all_p"))
+        seen = levels.groupBy("u").agg(F.sum("c").alias("sc"), F.sum("p").alias("sp"))
+        users = union_all(scores.select("u"), relevant.select("u")).distinct()
+        counts = users.join(held, "u", "left").join(positives, "u", "left").join(seen, "u", "left").fillna(0).crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n_items"))))
+        # the items without a score are one more level
+        rest = counts.select("u", F.lit(0.0).alias("score"), (F.col("n_items") - F.col("h") - F.col("sc")).alias("c"), (F.col("all_p") - F.col("sp")).alias("p"))
+        levels = union_all(levels.withColumn("score", F.col("score").cast("double")), rest.filter("c > 0")).groupBy("u", "score").agg(F.sum("c").alias("c"), F.sum("p").alias("p"))
     w = Window.partitionBy("u").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = levels.withColumn("mean_rank", F.sum("c").over(w) - (F.col("c") - 1) / 2)
     s = ranked.groupBy("u").agg(F.sum(F.col("mean_rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("c").alias("n"))

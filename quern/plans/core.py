@@ -569,6 +569,21 @@ def auc_user(s, d):
     return R.auc_per_user(sc, rel).withColumn("auc", six("auc"))
 
 
+_AUC_ALL = (
+    f"{SCORES}, us as (select u from te union select u from sc), al as (select us.u, p_partkey i from us cross join part anti join tr on tr.u = us.u and tr.i = p_partkey), "
+    "y as (select al.u, coalesce(cast(score as double), 0) score, (te.u is not null)::int y from al left join sc on sc.u = al.u and sc.i = al.i left join te on te.u = al.u and te.i = al.i), "
+    "r as (select u, y, rank() over (partition by u order by score) + (count(*) over (partition by u, score) - 1) / 2.0::double r from y), "
+    "z as (select u, sum(r) filter (y = 1) s, sum(y)::double p, count(*)::double n from r group by 1) select u, round(case when p > 0 and n > p then (s - p * (p + 1) / 2) / (p * (n - p)) else 0 end, 6) auc from z"
+)
+
+
+@query(f"with {_AUC_ALL}")
+def auc_user_all(s, d):
+    """AUC over all items outside a user's training items; auc_user has the scored ones only."""
+    train, rel, sc = scored(s, d)
+    return R.auc_per_user(sc, rel, train, items(s, d)).withColumn("auc", six("auc"))
+
+
 _BUCKETS = (
     SCORES + ", cnt as (select p_partkey i, count(u) n from part left join tr on i = p_partkey group by 1), bk as (select i, case when r < tot // 3 then 'tail' when r < 2 * tot // 3 then 'mid' else 'head' end bucket from (select i, row_number() over (order by n, i) - 1 r, count(*) over () tot from cnt)), "
     "pu as (select bucket, te.u, count(r.u) / count(*)::double recall from te join bk using (i) left join ranked r on r.u = te.u and r.i = te.i group by 1, 2), br as (select bucket, count(*) users, avg(recall) recall from pu group by 1)"
