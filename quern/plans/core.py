@@ -73,6 +73,11 @@ def part_of(s: SparkSession, d: str, name: str) -> DataFrame:
     return split(s, d).filter(F.col("split") == name).select("u", "i")
 
 
+def first_item_node(pairs: DataFrame) -> int:
+    """The node of item 0 in a graph of users and items: 1,000,000 as in the SQL, or the largest user + 1 if that is more, so no two share a node."""
+    return max(1_000_000, (pairs.agg(F.max("u")).first()[0] or 0) + 1)
+
+
 def items(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(F.col("p_partkey").alias("i"))
 
@@ -341,7 +346,8 @@ def u2u_rw(s, d):
 
 @query(f"with {INTER}, b as (select u i, i + 1000000 j, 1.0::double w from inter union all select i + 1000000, u, 1.0 from inter), {_sym('nm', 'b')} select i, j, round(w, 6) w from nm")
 def ui_sym(s, d):
-    return G.normalised(G.bipartite(inter(s, d), 1_000_000), "sym").select("i", "j", six("w").alias("w"))
+    pairs = staged(inter(s, d).select("u", "i"))
+    return G.normalised(G.bipartite(pairs, first_item_node(pairs)), "sym").select("i", "j", six("w").alias("w"))
 
 
 @query(f"with {COOC} select i, j, round(w / (sum(w) over (partition by i))::double, 6) w from top")
@@ -771,7 +777,8 @@ _BIP = f"{PARTS}, bp as (select u i, i + 1000000 j, 1.0::double w from tr union
 
 
 def train_graph(s, d) -> DataFrame:
-    return staged(G.normalised(staged(G.bipartite(part_of(s, d, "train"), 1_000_000)), "sym"))
+    train = staged(part_of(s, d, "train"))
+    return staged(G.normalised(staged(G.bipartite(train, first_item_node(train))), "sym"))
 
 
 def _start(g: DataFrame) -> DataFrame:
@@ -961,7 +968,8 @@ def infonce_reflexive(s, d):
 )
 def learned_view(s, d):
     """One propagation step over the learned edge weights."""
-    g = staged(PR.weighted_view(_edges(s, d, None).select("u", "i", "w"), 1_000_000))
+    edges = staged(_edges(s, d, None).select("u", "i", "w"))
+    g = staged(PR.weighted_view(edges, first_item_node(edges)))
     return _emb(PR.last_layer(g, _start(g), 1))
 
 

@@ -1,8 +1,11 @@
 """Operators that have to count what a bound or a join would leave out."""
 
+import datetime
+
 import pytest
 
 from quern.operators import ranking
+from quern.plans import core
 
 
 def test_auc_of_the_whole_catalogue(spark):
@@ -13,3 +16,13 @@ def test_auc_of_the_whole_catalogue(spark):
     got = dict(ranking.auc_per_user(scores, rel, history, spark.range(10).toDF("i")).collect())
     # positives 3 (above 5 of 6 negatives) and 4 (below one, level with 5)
     assert got == {1: pytest.approx((5 + 2.5) / 12), 2: pytest.approx(0.5)}
+
+
+def test_users_beyond_a_million_share_no_node(spark, tmp_path):
+    """User 1,000,005 isn't item 5."""
+    day = datetime.date(2020, 1, 1)
+    spark.createDataFrame([(1, 1, day), (2, 1_000_005, day)], "o_orderkey bigint, o_custkey bigint, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {(r.i, r.j) for r in core.QUERIES["ui_sym"](spark, str(tmp_path)).collect()}
+    first = 1_000_006
+    assert edges == {e for u, i in ((1, 5), (1, 6), (1_000_005, 7)) for e in ((u, first + i), (first + i, u))}
