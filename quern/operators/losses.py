@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import arrays as A
@@ -22,17 +22,29 @@ def triplets(inter: DataFrame, n_items: int, draws: int = 8, seed: int = 1, reje
 
     The positive is the user's item of the smallest hash; negatives are ``draws``
     hashed catalogue items of which the first that isn't the user's is taken (``reject``), or simply the
-    first. Users all of whose draws are their own items have no row.
+    first. Users all of whose draws are their own items get the r-th catalogue item that isn't theirs, r by the
+    first draw; only users of the whole catalogue have no row.
     """
     h = F.pmod((F.col("i") + F.lit(seed)) * F.lit(KNUTH) + F.col("u") * F.lit(40503), F.lit(1_000_003))
     pos = inter.groupBy("u").agg(F.min_by("i", F.struct(h.alias("h"), F.col("i"))).alias("pos"))
     cand = pos.select("u", "pos", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("t"))
     cand = cand.withColumn("neg", F.pmod(F.col("u") * F.lit(KNUTH) + (F.col("t") + F.lit(seed)) * F.lit(7919), F.lit(n_items)))
     if reject:
-        cand = cand.join(inter.select("u", F.col("i").alias("neg")).distinct(), ["u", "neg"], "left_anti")
+        free = cand.join(inter.select("u", F.col("i").alias("neg")).distinct(), ["u", "neg"], "left_anti")
+        left = cand.filter("t = 0").join(free.select("u").distinct(), "u", "left_anti")
+        own = inter.filter(F.col("i").between(0, n_items - 1)).groupBy("u").agg(F.array_sort(F.collect_set("i")).alias("items"))
+        cand = union_all(free, left.join(own, "u").withColumn("neg", unseen("items", n_items, F.col("neg"))).filter("neg is not null").select(*free.columns))
     return cand.groupBy("u").agg(F.first("pos").alias("pos"), F.min_by("neg", "t").alias("neg"))
 
 
+def unseen(items: str, n_items: int, r: Column) -> Column:
+    """The r-th (modulo their number) of the ids 0 to n_items - 1 that aren't in the sorted list ``items`` of such ids; null if there is none."""
+    rest = F.lit(n_items) - F.size(items)
+    rank = F.when(rest > 0, F.pmod(r, rest))
+    # the list's p-th item, p from 0, has item - p free ids below it
+    return rank + F.aggregate(F.transform(F.col(items), lambda x, p: x - p), F.lit(0).cast("bigint"), lambda n, below: n + F.when(below <= rank, 1).otherwise(0))
+
+
 def bpr(trip: DataFrame, users: DataFrame, items: DataFrame, regs: float = 0.0) -> DataFrame:
     """One row (n, bpr, reg): mean of log(1 + exp(s- - s+)), and regs * half the squared norms over the number of triplets."""
     t = trip.join(users.select(F.col("i").alias("u"), F.col("v").alias("eu")), "u").join(items.select(F.col("i").alias("pos"), F.col("v").alias("ep")), "pos").join(items.select(F.col("i").alias("neg"), F.col("v").alias("en")), "neg")

@@ -10,14 +10,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.losses import unseen
+
 
 def sampled_triplets(inter: DataFrame, n_items: int, per_user: int, seed: int) -> DataFrame:
-    """(u, pos, neg): ``per_user`` hashed positives of each user and one uniform item each that isn't theirs; draws are functions of ids and the seed."""
+    """(u, pos, neg): ``per_user`` hashed positives of each user and one uniform item each that isn't theirs; draws are functions of ids and the seed. Only users of the whole catalogue have no row."""
     lists = inter.groupBy("u").agg(F.array_sort(F.collect_set("i")).alias("items"))
     t = lists.select("u", "items", F.explode(F.sequence(F.lit(0), F.lit(per_user - 1))).alias("t"))
     pos = F.element_at("items", (F.pmod(F.xxhash64("u", "t", F.lit(seed)), F.size("items")) + 1).cast("int"))
     draws = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda d: F.pmod(F.xxhash64("u", "t", d, F.lit(seed + 1)), F.lit(n_items)))
     neg = F.try_element_at(F.filter(draws, lambda d: ~F.array_contains("items", d)), F.lit(1))
+    neg = F.coalesce(neg, unseen("items", n_items, F.xxhash64("u", "t", F.lit(seed + 2))))
     return t.select("u", pos.alias("pos"), neg.alias("neg")).filter("neg is not null")
 
 

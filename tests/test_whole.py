@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from quern.operators import ranking
+from quern.operators import losses, ranking, training
 from quern.plans import core
 
 
@@ -26,3 +26,12 @@ def test_users_beyond_a_million_share_no_node(spark, tmp_path):
     edges = {(r.i, r.j) for r in core.QUERIES["ui_sym"](spark, str(tmp_path)).collect()}
     first = 1_000_006
     assert edges == {e for u, i in ((1, 5), (1, 6), (1_000_005, 7)) for e in ((u, first + i), (first + i, u))}
+
+
+def test_negatives_of_long_histories(spark):
+    """Users who hold all but one item get that one; a user of the whole catalogue has no row."""
+    n = 60
+    inter = spark.createDataFrame([(u, i) for u in range(n + 1) for i in range(n) if i != u], "u bigint, i bigint")
+    assert {(r.u, r.neg) for r in losses.triplets(inter, n).collect()} == {(u, u) for u in range(n)}
+    rows = training.sampled_triplets(inter, n, 3, 1).collect()
+    assert len(rows) == 3 * n and all(r.neg == r.u for r in rows)
