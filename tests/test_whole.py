@@ -35,3 +35,8 @@ def test_negatives_of_long_histories(spark):
     assert {(r.u, r.neg) for r in losses.triplets(inter, n).collect()} == {(u, u) for u in range(n)}
     rows = training.sampled_triplets(inter, n, 3, 1).collect()
     assert len(rows) == 3 * n and all(r.neg == r.u for r in rows)
+
+
+def test_average_degree_goes_by_the_catalogue(spark, data):
+    row = core.QUERIES["graph_stats_all"](spark, data).first()
+    assert row.avg_degree == pytest.approx(row.nnz / spark.read.parquet(f"{data}/part.parquet").count(), abs=1e-6)
