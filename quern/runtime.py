@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its counted rows times its row width stay under this.
 BROADCAST_BYTES = 32 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: dict[str, str] = {}
 
 
@@ -40,10 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and all executors are in this process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not _one_process(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         holder = tempfile.TemporaryDirectory(prefix="quern-")
@@ -52,18 +56,48 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[app]
 
 
-def staged(df: DataFrame, by: str | None = None) -> DataFrame:
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def staged(df: DataFrame, by: str | None = None, done: Iterable[DataFrame] = ()) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder, in one folder per value of ``by`` if given, and reads it back.
 
     This cuts the lineage like checkpoint() does, survives the loss of any
-    executor, computes the plan once, and keeps column pruning.
+    executor, computes the plan once, and keeps column pruning. The shuffle files of the plan are
+    removed once it is written, and so are the folders of ``done``: staged tables that nothing reads any more.
+    What is left goes when the application ends.
     """
     spark = settled(df.sparkSession)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     schema = df.schema
     writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if before is not None:
+            spark.conf.set(_CLEANUP, "true")
+        writer.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    out = spark.read.schema(schema).parquet(path)
+    out.stage_folder = path
+    for table_ in done:
+        dropped(table_)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the folder of a table that staged() returned; frames derived from it can't be read any more."""
+    path = getattr(df, "__dict__", {}).get("stage_folder")
+    if path:
+        spark = df.sparkSession
+        _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
