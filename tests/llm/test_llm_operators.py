@@ -218,25 +218,32 @@ def test_neighbours(spark):
 
 
 def test_forest_recall(spark, monkeypatch):
-    """Small runs and stretches, so that the forest has to find neighbours by prefixes."""
+    """Blocks far smaller than the table and few candidates, so that the forest has to find neighbours by prefixes."""
+    monkeypatch.setattr(neighbours, "BLOCK", 400)
+    monkeypatch.setattr(neighbours, "GATHER", 256)
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((400, 64))
-    x = (np.repeat(centre, 8, 0) + 0.3 * rng.standard_normal((3200, 64))).astype(np.float32)
+    x = (np.repeat(centre, 8, 0) + 0.42 * rng.standard_normal((3200, 64))).astype(np.float32)
+    df = frame(spark, [(i, None, v.tolist(), None) for i, v in enumerate(x)], ITEMS)
+    found = {(r.item_id, r.neighbour) for r in neighbours.most_similar(df).collect()}
     x /= np.linalg.norm(x, axis=1)[:, None]
-    monkeypatch.setattr(neighbours, "STRETCH", 128)
-    h = neighbours.hash_strings(x, neighbours.hyperplanes(64, 6))
-    found = set()
-    for t in range(6):
-        order = np.argsort(h[:, t])
-        for a in range(0, 3200, 800):
-            rows = order[a : a + 800]
-            i, j, _ = neighbours.best_in_run(x[rows], h[rows, t], 5, 0.8)
-            found |= set(zip(rows[i].tolist(), rows[j].tolist()))
     s = x @ x.T
     np.fill_diagonal(s, -1)
     top = np.argsort(-s, axis=1)[:, :5]
     true = {(i, int(j)) for i in range(3200) for j in top[i] if s[i, j] >= 0.8}
-    assert len(true & found) / len(true) >= 0.9
+    assert len(true & found) / len(true) >= 0.95
+
+
+def test_ascent_takes_the_deepest_level_with_enough():
+    rng = np.random.default_rng(2)
+    strings = rng.integers(0, 1 << 63, (50, 3), dtype=np.int64).view(np.uint64) << np.uint64(1)
+    strings[:5] = strings[5:10]
+    bits = [[format(int(v), "064b") for v in row] for row in strings]
+    for gather in (1, 4, 20, 150, 151):
+        got = neighbours.Arrays(strings).ascended(gather)
+        for i in range(50):
+            counts = [sum(b[a][:v] == bits[i][a][:v] for b in bits for a in range(3)) for v in range(65)]
+            assert got[i] == max([v for v in range(65) if counts[v] >= gather], default=0)
 
 
 def components(x, least=0.8):

@@ -23,10 +23,10 @@ def test_clusters_of_many_cells(spark, tmp_path):
     assert found == {(i, j) for i in range(n) for j in (i, n + i)}
 
 
-@pytest.mark.parametrize("block", [32_768, 25])
+@pytest.mark.parametrize("block", [65_536, 25])
 def test_neighbours_of_rescaled_copies(spark, monkeypatch, block):
     """Vectors of one direction and many lengths aren't equal bit by bit, but their cosines are all 1."""
-    monkeypatch.setattr(neighbours, "BLOCK", block, raising=False)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.uniform(0.1, 30, 60)[:, None] * rng.standard_normal(64), rng.standard_normal((30, 64)), rng.standard_normal(64) + 0.3 * rng.standard_normal((20, 64))]).astype(np.float32)
     ids = rng.permutation(1000)[: len(x)].tolist()
