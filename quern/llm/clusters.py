@@ -1,26 +1,36 @@
-"""Similarity clusters by exact comparison of all pairs of vectors, block by block.
-
-One block of CELL vectors per modality after the other is broadcast, and every task compares
-its vectors with it; a pair of blocks is compared once, for both sides. Per vector only the smallest
-similar item and the number of similar items are kept, which decide what a cluster is.
-No pair is left out, so the work grows with the square of the vectors. Clusters are reported with their
-size and the members nearest to the centroid.
+"""Similarity clusters by k-means cells on hashed weighted features, and exact comparison of vectors.
+
+A vector's components are weighted by the inverse deviation of their dimension and hashed with random
+signs into SLOTS slots. Distributed k-means runs on these features: parallel oversampled seeding, reclustering of the
+weighted candidates, then STEPS centroid updates. Every vector is in the OVERLAP cells with the nearest centroids, and the
+vectors of a cell are compared with each other by their original components. All of this is repeated with
+other hashes and other seeds until a round brings nothing new, so a pair is lost only if it shares no cell in any round.
+
+Pairs at the least cosine or more link items. A round's links become components, which later rounds join; and a component is a cluster if all its pairs
+reach the least cosine. This is settled by the angle to the centroid where that suffices, otherwise
+by comparison of all pairs, over the whole component. Cells and components of more than CELL vectors are cut into pieces, and
+each pair of pieces is a task of its own; the result doesn't depend on CELL.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.vectors import MODALITIES, mixed, packed, unit_vectors, unpacked
-from quern.runtime import staged, union_all
+from quern.runtime import dropped, staged, union_all
 
-#: Vectors in a block, and how many rows are compared with it at once.
-CELL, CHUNK = 32_768, 512
+#: Most vectors of a piece of a cell or component, vectors per centroid, most centroids.
+CELL, CELL_MEAN, MOST_CELLS = 8_192, 1_000, 16_384
+SLOTS, OVERLAP, STEPS = 64, 2, 2
+#: Rows compared with a piece at once, and twice the error of a product of 32-bit unit vectors.
+CHUNK, ERROR = 1_024, 4e-5
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -28,109 +38,373 @@ def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
 
-def _by_modality(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _by_modality(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(m, rows, vectors) of each run of one modality; m is the first column, the vector the last."""
     for b in batches:
         m = b.column(0).to_numpy()
         edges = np.flatnonzero(np.append(True, m[1:] != m[:-1])).tolist() + [b.num_rows] if len(m) else []
         for lo, hi in zip(edges[:-1], edges[1:]):
             part = b.slice(lo, hi - lo)
-            yield int(m[lo]), part.column(1).to_numpy(), unpacked(part.column(2), np.float32)
+            yield int(m[lo]), part, unpacked(part.column(part.num_columns - 1), np.float32)
+
+
+_SUMS = "m int, key bigint, number double, v binary"
 
 
-_SCHEMA = "m int, key bigint, number double, v binary"
+def _sums(m: int, keys: np.ndarray, number: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """One row for each key: sums of the numbers and of the rows of v."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    total = np.add.reduceat(v[order].astype(np.float64), starts, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), m, np.int32)), pa.array(keys[order][starts]), pa.array(np.add.reduceat(number[order].astype(np.float64), starts)), packed(total)], names=["m", "key", "number", "v"])
 
 
 def _summed_by_key(df: DataFrame) -> DataFrame:
-    """Sums numbers and vectors of equal (m, key): at most one row per task arrives for each."""
+    """Sums numbers and vectors of equal (m, key), after a partial sum for each batch."""
 
     def add(table: pa.Table) -> pa.Table:
         v = unpacked(table.column("v").combine_chunks(), np.float64)
-        return pa.table({"m": table.column("m").slice(0, 1), "key": table.column("key").slice(0, 1), "number": [sum(table.column("number").to_pylist())], "v": packed(v.sum(0)[None])})
+        return pa.table({"m": table.column("m").slice(0, 1), "key": table.column("key").slice(0, 1), "number": [float(table.column("number").to_numpy().sum())], "v": packed(v.sum(0)[None])})
+
+    return df.groupBy("m", "key").applyInArrow(add, _SUMS)
+
+
+def feature_hash(m: int, weights: np.ndarray, salt: int) -> np.ndarray:
+    """(dimensions, SLOTS): every dimension's weight with a random sign in a random slot."""
+    dims = np.arange(len(weights), dtype=np.int64) + (m << 20)
+    out = np.zeros((len(weights), SLOTS), np.float32)
+    sign = np.where(_uniform(dims, 2 * salt + 1) < 0.5, -1.0, 1.0)
+    out[np.arange(len(weights)), (_uniform(dims, 2 * salt) * SLOTS).astype(int)] = sign * weights
+    return out
+
+
+def _features(x: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    f = x @ hashed
+    return f / np.maximum(np.sqrt((f * f).sum(1, keepdims=True)), 1e-12)
+
+
+def nearest(f: np.ndarray, centres: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, squared distance to the nearest) of the ``count`` nearest centres of every feature row."""
+    cells, far = np.empty((len(f), count), np.int64), np.empty(len(f))
+    half = (centres * centres).sum(1) / 2
+    step = max(1, (1 << 24) // len(centres))
+    for at in range(0, len(f), step):
+        s = half - f[at : at + step] @ centres.T
+        cells[at : at + step] = np.argpartition(s, count - 1, axis=1)[:, :count] if count < len(centres) else np.arange(count)
+        far[at : at + step] = 2 * s.min(1) + (f[at : at + step] ** 2).sum(1)
+    return cells, np.maximum(far, 0)
+
+
+def reclustered(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of the weighted candidates: seeds drawn by weight and distance in batches, then two updates."""
+    if len(x) <= k:
+        return x
+    rng = np.random.default_rng(seed)
+    chosen = rng.choice(len(x), 1, p=weight / weight.sum())
+    d = nearest(x, x[chosen], 1)[1]
+    while len(chosen) < k:
+        p = weight * d
+        some = np.flatnonzero(p > 0)
+        if not len(some):
+            break
+        more = rng.choice(some, min(max(1, k // 16), k - len(chosen), len(some)), replace=False, p=p[some] / p[some].sum())
+        chosen = np.append(chosen, more)
+        d = np.minimum(d, nearest(x, x[more], 1)[1])
+    centres = x[chosen]
+    for _ in range(2):
+        cell = nearest(x, centres, 1)[0][:, 0]
+        total, w = np.zeros_like(centres, dtype=np.float64), np.bincount(cell, weight, len(centres))
+        np.add.at(total, cell, x * weight[:, None])
+        centres = np.where(w[:, None] > 0, total / np.maximum(w, 1e-12)[:, None], centres).astype(np.float32)
+    return centres
+
+
+class Cells:
+    """One round of k-means: the hashed features and centres of every modality."""
+
+    def __init__(self, vectors: DataFrame, counts: dict[int, int], weights: dict[int, np.ndarray], salt: int):
+        self.salt, self.hashed = salt, {m: feature_hash(m, w, salt) for m, w in weights.items()}
+        self.wanted = {m: min(MOST_CELLS, -(-n // CELL_MEAN)) for m, n in counts.items()}
+        self.centres: dict[int, np.ndarray] = {}
+        if all(k == 1 for k in self.wanted.values()):
+            # one cell each: any centre is the nearest
+            self.centres = {m: np.zeros((1, SLOTS), np.float32) for m in counts}
+            return
+        # parallel oversampling: rows by hash, then rows by their share in the cost
+        self._sample(vectors, lambda m, ids, f: _uniform(ids, salt) < self.wanted[m] / counts[m])
+        cost = {r.m: r.number for r in self._summed(vectors, lambda m, f: (np.zeros(len(f), np.int64), nearest(f, self.centres[m], 1)[1])).collect()}
+        self._sample(vectors, lambda m, ids, f: _uniform(ids, salt + 1) * max(cost[m], 1e-300) < 2 * self.wanted[m] * nearest(f, self.centres[m], 1)[1])
+        for m, at, n, _ in self._read(self._summed(vectors, lambda m, f: (nearest(f, self.centres[m], 1)[0][:, 0], np.ones(len(f))))):
+            weight = np.zeros(len(self.centres[m]))
+            weight[at] = n
+            self.centres[m] = reclustered(self.centres[m][weight > 0], weight[weight > 0], self.wanted[m], salt)
+        for _ in range(STEPS):
+            for m, at, n, v in self._read(self._summed(vectors, lambda m, f: (nearest(f, self.centres[m], 1)[0][:, 0], np.ones(len(f))), True)):
+                moved = self.centres[m].copy()
+                moved[at] = (v / n[:, None]).astype(np.float32)
+                self.centres[m] = moved
+
+    def _sample(self, vectors: DataFrame, takes: Callable) -> None:
+        """Adds the rows that ``takes`` to the centres, a few times as many as cells are wanted; where there is none yet, the first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m, b, x in _by_modality(batches):
+                f = _features(x, self.hashed[m])
+                rows = np.flatnonzero(takes(m, b.column(1).to_numpy(), f))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), packed(f[rows]) if len(rows) else pa.array([], pa.binary())], names=["m", "item_id", "f"])
+
+        drawn = vectors.mapInArrow(run, "m int, item_id bigint, f binary").toArrow().sort_by([("m", "ascending"), ("item_id", "ascending")])
+        for m, _, f in _by_modality(iter(drawn.combine_chunks().to_batches())):
+            self.centres[m] = np.concatenate([self.centres[m], f]) if m in self.centres else f
+        for m in self.hashed:
+            self.centres.setdefault(m, np.zeros((1, SLOTS), np.float32))
+
+    def _summed(self, vectors: DataFrame, key_and_number: Callable, with_features: bool = False) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m, b, x in _by_modality(batches):
+                f = _features(x, self.hashed[m])
+                keys, number = key_and_number(m, f)
+                yield _sums(m, keys, number, f if with_features else np.zeros((len(f), 1), np.float32))
+
+        return _summed_by_key(vectors.mapInArrow(run, _SUMS))
+
+    @staticmethod
+    def _read(sums: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(m, keys, numbers, vectors) of every modality: one row per candidate or cell."""
+        out = []
+        t = sums.toArrow()
+        for o in np.unique(t.column("m").to_numpy()).tolist():
+            part = t.filter(pc.equal(t.column("m"), o)).combine_chunks()
+            out.append((o, part.column("key").to_numpy(), part.column("number").to_numpy(), unpacked(part.column("v").chunk(0), np.float64)))
+        return out
+
+    def of(self, m: int, x: np.ndarray) -> np.ndarray:
+        """(n, OVERLAP) of the cells that a vector is in."""
+        return nearest(_features(x, self.hashed[m]), self.centres[m], min(OVERLAP, len(self.centres[m])))[0]
+
+
+_GROUPED = "m int, g bigint, cell bigint, p int, q int, piece int, item_id bigint, x binary"
+
+
+def _in_pieces(m: int, cell: np.ndarray, size: np.ndarray, items: pa.Array, x: pa.Array, row: np.ndarray) -> pa.RecordBatch:
+    """Rows for all pairs of pieces p <= q of their cell: a cell of ``size`` vectors has one piece for every CELL of them."""
+    ids = items.to_numpy()[row]
+    pieces = -(-size // CELL)
+    piece = (_uniform(ids, 77) * pieces).astype(np.int64)
+    at = np.repeat(np.arange(len(row)), pieces)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    p, q = np.minimum(piece[at], other), np.maximum(piece[at], other)
+    g = mixed(cell[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m)) + (p * pieces[at] + q).astype(np.uint64)
+    take = pa.array(row[at])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(g.view(np.int64)), pa.array(cell[at]), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(piece[at].astype(np.int32)), items.take(take), x.take(take)], names=["m", "g", "cell", "p", "q", "piece", "item_id", "x"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of equal (m, g, cell, p, q), which are next to each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if held and keys[lo].tolist() != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = keys[lo].tolist()
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _similar(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, i, j) of a group in chunks of rows: the pairs i, j of rows at a cosine of ``least`` or more, by i and then j, in double precision where 32 bits don't decide."""
+    x = unpacked(t.column("x").chunk(0), np.float32)
+    for at in range(0, len(x), CHUNK):
+        s = (x[at : at + CHUNK] @ x.T).ravel()
+        flat = np.flatnonzero(s >= least - ERROR)
+        i, j = np.divmod(flat, len(x))
+        open_ = np.flatnonzero(s[flat] <= least + ERROR)
+        if len(open_):
+            a, b = x[i[open_] + at].astype(np.float64), x[j[open_]].astype(np.float64)
+            under = np.round((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)), 9) < least
+            i, j = np.delete(i, open_[under]), np.delete(j, open_[under])
+        yield at, min(CHUNK, len(x) - at), i, j
+
+
+def linked_labels(t: pa.Table, least: float) -> np.ndarray:
+    """For each row of a group the first row of its component. Every row is similar to itself."""
+    n, held = t.num_rows, []
+    for at, rows, i, j in _similar(t, least):
+        starts = np.searchsorted(i, np.arange(rows))
+        if len(i) * 32 < rows * n:
+            held.append((at, rows, starts, j.astype(np.int32)))
+        else:
+            # many: a bit each
+            bits = np.zeros((rows, n), bool)
+            bits[i, j] = True
+            held.append((at, rows, None, np.packbits(bits, axis=1)))
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        for at, rows, starts, v in held:
+            if starts is None:
+                least_of = np.where(np.unpackbits(v, axis=1, count=n).view(bool), label[None], n).min(1)
+            else:
+                least_of = np.minimum.reduceat(label[v], starts)
+            new[at : at + rows] = np.minimum(new[at : at + rows], least_of)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _spread(grouped: DataFrame, rows: int) -> DataFrame:
+    """Groups next to each other, in about four partitions a core or one for 65,536 rows."""
+    parts = max(4 * grouped.sparkSession.sparkContext.defaultParallelism, -(-rows // 65_536))
+    return grouped.repartition(parts, "g").sortWithinPartitions("m", "g", "cell", "p", "q", "item_id")
+
+
+def _links(vectors: DataFrame, cells: Cells, least: float) -> DataFrame:
+    """(m, a, b): items a > b of one cell that are linked there, b being the smallest of its component in the cell."""
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+        for m, b, x in _by_modality(batches):
+            yield m, b, cells.of(m, x)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, _, of in assigned(batches):
+            cell, n = np.unique(of, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), m, np.int32)), pa.array(cell), pa.array(n)], names=["m", "cell", "n"])
+
+    sizes = {m: np.zeros(len(c), np.int64) for m, c in cells.centres.items()}
+    rows = 0
+    for r in vectors.mapInArrow(count, "m int, cell bigint, n bigint").groupBy("m", "cell").agg(F.sum("n").alias("n")).collect():
+        sizes[r.m][r.cell] = r.n
+        rows += r.n * -(-r.n // CELL)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, of in assigned(batches):
+            row = np.repeat(np.arange(len(of)), of.shape[1])
+            yield _in_pieces(m, of.ravel(), sizes[m][of.ravel()], b.column(1), b.column(2), row)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            label = linked_labels(t, least)
+            some = np.flatnonzero(label != np.arange(len(label)))
+            ids = t.column("item_id").to_numpy()
+            yield pa.RecordBatch.from_arrays([t.column("m").chunk(0).take(pa.array(some)), pa.array(ids[some]), pa.array(ids[label[some]])], names=["m", "a", "b"])
+
+    grouped = vectors.mapInArrow(place, _GROUPED)
+    return staged(_spread(grouped, rows).mapInArrow(link, "m int, a bigint, b bigint"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(m, item_id, label): the smallest item of the component of every linked item. Labels spread along links and shortcuts until nothing changes."""
+    both = staged(union_all(links, links.select("m", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = staged(both.groupBy("m", "a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.select("m", F.col("a").alias("b"), "label"), ["m", "b"]).select("m", "a", "label")
+        least = union_all(near, labels).groupBy("m", "a").agg(F.min("label").alias("label"))
+        # a shortcut: the label's own label
+        jumped = least.join(labels.select("m", F.col("a").alias("label"), F.col("label").alias("beyond")), ["m", "label"], "left")
+        new = jumped.select("m", "a", F.least("label", F.coalesce("beyond", "label")).alias("label"))
+        old = labels.select("m", "a", F.col("label").alias("before"))
+        step = staged(new.join(old, ["m", "a"]).select("m", "a", "label", (F.col("label") != F.col("before")).alias("changed")))
+        dropped(labels)
+        labels = step.select("m", "a", "label")
+        if not step.filter("changed").limit(1).count():
+            dropped(both)
+            return labels.select("m", F.col("a").alias("item_id"), "label")
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """(labels after the links have joined components, links between components that were new); ``links`` are used up."""
+    of = labels.select("m", F.col("item_id").alias("a"), F.col("label").alias("la"))
+    both = links.join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
+    across = staged(both.select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=[links])
+    new = across.count()
+    if not new:
+        return labels, 0
+    joined = components(across).select("m", F.col("item_id").alias("label"), F.col("label").alias("to"))
+    return staged(labels.join(joined, ["m", "label"], "left").select("m", "item_id", F.coalesce("to", "label").alias("label")), done=[labels, across]), new
+
+
+def _centred(members: DataFrame) -> DataFrame:
+    """(m, cluster_id, size, item_id, near, x) of members (m, cluster_id, item_id, x): near is the cosine to the mean of the cluster's vectors."""
 
-    return df.groupBy("m", "key").applyInArrow(add, _SCHEMA)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, x in _by_modality(batches):
+            yield _sums(m, b.column(1).to_numpy(), np.ones(len(x)), x)
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, x in _by_modality(batches):
+            v, y = unpacked(b.column(4), np.float64), x.astype(np.float64)
+            near = (y * v).sum(1) / np.sqrt(np.maximum((y * y).sum(1) * (v * v).sum(1), 1e-300))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(near), b.column(5)], names=["m", "cluster_id", "size", "item_id", "near", "x"])
 
-def similar_in_block(x: np.ndarray, block: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of the pairs x[i], block[j] at a cosine of ``least`` or more, by i and then j, in chunks of rows."""
-    for at in range(0, len(x), CHUNK):
-        i, j = np.divmod(np.flatnonzero(x[at : at + CHUNK] @ block.T >= least), len(block))
-        yield i + at, j
+    ordered = members.select("m", "cluster_id", "item_id", "x")
+    centre = _summed_by_key(ordered.mapInArrow(partial, _SUMS)).select("m", F.col("key").alias("cluster_id"), F.col("number").cast("bigint").alias("size"), "v")
+    joined = ordered.join(centre, ["m", "cluster_id"]).select("m", "cluster_id", "size", "item_id", "v", "x")
+    return joined.mapInArrow(measure, "m int, cluster_id bigint, size bigint, item_id bigint, near double, x binary")
 
 
-def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(m, cluster_id, item_id) and the vectors (m, item_id, x).
+def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, least: float = 0.8) -> DataFrame:
+    """(m, cluster_id, size, item_id, near): the members of all clusters, near being the cosine to the cluster's mean.
 
     A cluster is a set of at least two items with all pairs at a cosine of ``least``
     or more and no item outside that near to one inside; its id is its smallest
     item. Items without a valid vector are in none; an item that is present
-    several times counts once. Neighbourhoods that aren't clean give no cluster.
+    several times counts once. Neighbourhoods that aren't clean give no cluster, an empty table gives none.
     """
     spark = df.sparkSession
-    # the vectors of a modality have to be next to each other
     vectors = staged(unit_vectors(df, item, modalities).groupBy("m", "item_id").agg(F.min("x").alias("x")).sortWithinPartitions("m", "item_id"))
-    counts = {r.m: r["count"] for r in vectors.groupBy("m").count().collect()}
-    if not counts:
-        return spark.createDataFrame([], "m int, cluster_id bigint, item_id bigint"), vectors
-    blocks = -(-max(counts.values()) // CELL)
-
-    def block_of(ids: np.ndarray) -> np.ndarray:
-        return (_uniform(ids, 9) * blocks).astype(np.int64)
-
-    def only(q: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(block_of(b.column(1).to_numpy()) == q))
-
-        return run
 
-    def compare(q: int, held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def rows(m: int, ids: np.ndarray, leader: np.ndarray, degree: np.ndarray) -> pa.RecordBatch:
-            some = degree > 0
-            return pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), m, np.int32)), pa.array(ids[some]), pa.array(leader[some]), pa.array(degree[some])], names=["m", "item_id", "leader", "degree"])
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, _, x in _by_modality(batches):
+            yield _sums(m, np.zeros(len(x), np.int64), np.ones(len(x)), np.concatenate([x, x * x], axis=1))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            most, back = np.iinfo(np.int64).max, {}
-            for m, ids, x in _by_modality(batches):
-                if m not in held.value:
-                    continue
-                names, block = held.value[m]
-                of = block_of(ids)
-                ids, x, of = ids[of >= q], x[of >= q], of[of >= q]
-                leader, degree = np.full(len(ids), most), np.zeros(len(ids), np.int64)
-                if m not in back:
-                    back[m] = np.full(len(names), most), np.zeros(len(names), np.int64)
-                for i, j in similar_in_block(x, block, least):
-                    np.minimum.at(leader, i, names[j])
-                    degree += np.bincount(i, minlength=len(ids))
-                    # within the block each of the two meets the other as a row
-                    i, j = i[of[i] > q], j[of[i] > q]
-                    np.minimum.at(back[m][0], j, ids[i])
-                    back[m][1][:] += np.bincount(j, minlength=len(names))
-                yield rows(m, ids, leader, degree)
-            for m, (leader, degree) in back.items():
-                yield rows(m, held.value[m][0], leader, degree)
-
-        return run
-
-    parts = []
-    for q in range(blocks):
-        block: dict[int, list] = {}
-        for m, ids, x in _by_modality(iter(vectors.mapInArrow(only(q), vectors.schema).toArrow().to_batches())):
-            block.setdefault(m, []).append((ids, x))
-        held = spark.sparkContext.broadcast({m: tuple(np.concatenate(v) for v in zip(*b)) for m, b in block.items()})
-        parts.append(staged(vectors.mapInArrow(compare(q, held), "m int, item_id bigint, leader bigint, degree bigint")))
-        held.destroy()
-    # every vector is similar to itself, so it has a row
-    labels = staged(union_all(*parts).groupBy("m", "item_id").agg(F.min("leader").alias("label"), F.sum("degree").alias("degree")))
-    sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("size"), F.min("degree").alias("lo"), F.max("degree").alias("hi")).filter("size > 1 and lo = size and hi = size")
-    return labels.join(sized.select("m", "label"), ["m", "label"]).select("m", F.col("label").alias("cluster_id"), "item_id"), vectors
+    counts, weights = {}, {}
+    for m, _, n, v in Cells._read(_summed_by_key(vectors.mapInArrow(moments, _SUMS))):
+        mean, square = np.split(v[0] / n[0], 2)
+        counts[m], weights[m] = int(n[0]), 1 / np.sqrt(np.maximum(square - mean * mean, 1e-6))
+    if not counts:
+        return spark.createDataFrame([], "m int, cluster_id bigint, size bigint, item_id bigint, near double")
+    labels, r = staged(vectors.select("m", "item_id", F.col("item_id").alias("label"))), 0
+    while True:
+        cells = Cells(vectors, counts, weights, 10 * r + 1)
+        labels, new = joined_by(labels, _links(vectors, cells, least))
+        # where one cell holds all, one round has seen all pairs
+        if not new or max(cells.wanted.values()) == 1:
+            break
+        r += 1
+    sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "label")
+    linked = labels.join(sized, ["m", "label"]).withColumnRenamed("label", "cluster_id")
+    members = staged(_centred(linked.join(vectors, ["m", "item_id"])), done=[vectors])
+    # two vectors within half the angle of the mean are within the whole angle of each other
+    half = math.cos(math.acos(least) / 2) + ERROR
+    open_ = members.groupBy("m", "cluster_id").agg(F.min("near").alias("lo")).filter(F.col("lo") < half).select("m", "cluster_id")
+    rest = members.join(open_, ["m", "cluster_id"], "left_semi").select("m", "cluster_id", "size", "item_id", "x")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, _ in _by_modality(batches):
+            yield _in_pieces(m, b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3), b.column(4), np.arange(b.num_rows))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            if any(len(i) < rows * t.num_rows for _, rows, i, _ in _similar(t, least)):
+                yield pa.RecordBatch.from_arrays([t.column("m").chunk(0).slice(0, 1), t.column("cell").chunk(0).slice(0, 1)], names=["m", "cluster_id"])
+
+    unclean = staged(_spread(rest.mapInArrow(place, _GROUPED), sum(counts.values())).mapInArrow(check, "m int, cluster_id bigint").distinct())
+    return members.join(unclean, ["m", "cluster_id"], "left_anti").select("m", "cluster_id", "size", "item_id", "near")
+
+
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(F.element_at(F.array(*[F.lit(name) for name, _, _ in MODALITIES]), F.col("m") + 1).alias("modality"), *columns)
 
 
 def found_clusters(df: DataFrame, least: float = 0.8) -> DataFrame:
     """(modality, cluster_id, item_id) over both modalities of item_features."""
-    clusters, _ = similarity_clusters(df, least=least)
-    names = F.element_at(F.array(*[F.lit(name) for name, _, _ in MODALITIES]), F.col("m") + 1)
-    return clusters.select(names.alias("modality"), "cluster_id", "item_id")
+    return _named(similarity_clusters(df, least=least), "cluster_id", "item_id")
 
 
 def described_clusters(df: DataFrame, least: float = 0.8, typical: int = 3) -> DataFrame:
@@ -138,32 +412,6 @@ def described_clusters(df: DataFrame, least: float = 0.8, typical: int = 3) -> D
 
     Typicality is the cosine to the mean of the members' unit vectors, rounded to 5 digits; ties go to the smaller item.
     """
-    clusters, vectors = similarity_clusters(df, least=least)
-    members = staged(clusters.join(vectors, ["m", "item_id"]).select("m", "cluster_id", "item_id", "x"))
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for m, c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-                held = sums.setdefault((m, c), [0.0, 0.0])
-                held[0] += 1
-                held[1] = held[1] + np.frombuffer(v, np.float32).astype(np.float64)
-        for m in {k[0] for k in sums}:
-            keys = [k for k in sums if k[0] == m]
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(keys), pa.int32()), pa.array([k[1] for k in keys]), pa.array([sums[k][0] for k in keys]), packed(np.stack([sums[k][1] for k in keys]))], names=["m", "key", "number", "v"])
-
-    centre = _summed_by_key(members.mapInArrow(partial, _SCHEMA)).select("m", F.col("key").alias("cluster_id"), F.col("number").cast("bigint").alias("size"), "v")
-    joined = members.join(centre, ["m", "cluster_id"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = []
-            for x, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
-                x, v = np.frombuffer(x, np.float32).astype(np.float64), np.frombuffer(v)
-                near.append(float(x @ v / np.sqrt((x @ x) * (v @ v))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.round(near, 5), pa.float64())], names=["m", "cluster_id", "size", "item_id", "typicality"])
-
-    scored = joined.select("m", "cluster_id", "size", "item_id", "x", "v").mapInArrow(measure, "m int, cluster_id bigint, size bigint, item_id bigint, typicality double")
+    scored = similarity_clusters(df, least=least).withColumn("typicality", F.round("near", 5))
     order = Window.partitionBy("m", "cluster_id").orderBy(F.col("typicality").desc(), "item_id")
-    names = F.element_at(F.array(*[F.lit(name) for name, _, _ in MODALITIES]), F.col("m") + 1)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical).select(names.alias("modality"), "cluster_id", "size", "item_id", "typicality", "rank")
+    return _named(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= typical), "cluster_id", "size", "item_id", "typicality", "rank")

@@ -125,15 +125,15 @@ def test_similar_users(spark):
     assert setcodes.similar_users(df.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("hot", [0, 3, 30])
-def test_pairs_of_items_as_segments_lose_nothing(spark, hot):
+@pytest.mark.parametrize("length", [0, 4, 12])
+def test_segments_of_any_length_lose_nothing(spark, length):
     sets, _ = baskets(6, 150, 0)
     kept = {u: s for u, s in sets.items() if len(s) >= 5}
     distinct = {}
     for u, s in kept.items():
         distinct.setdefault(frozenset(s), u)
     classes = frame(spark, [(u, sorted(s)) for s, u in distinct.items()], "cid bigint, s array<bigint>")
-    got = {(r.a, r.b) for r in setcodes.similar_classes(classes, None, 7, 10, "minhash", 0.15, hot).collect()}
+    got = {(r.a, r.b) for r in setcodes.similar_classes(classes, None, 7, 10, "minhash", 0.15, length).collect()}
     assert got == {(min(a, b), max(a, b)) for x, a in distinct.items() for y, b in distinct.items() if a < b and jaccard(x, y) >= 0.7}
 
 
@@ -168,6 +168,9 @@ def test_radii_lose_less_than_they_say():
             code = bits(np.concatenate([a, b]), np.array([0, len(a)]))
             worst = max(worst, int((code[0] != code[1]).sum()))
         assert worst <= setcodes.radius(p)
+    # beyond the sizes that the difference is computed for it tends to the angle's share
+    worst, large = setcodes.simhash_difference(3, 4, 5), setcodes.simhash_difference(3, 4, 300, 300)
+    assert math.acos(6 / 7) / math.pi < large < worst
     assert setcodes.radius(0.5) < 256 and setcodes.radius(0.01) < setcodes.radius(0.2)
 
 
@@ -255,6 +258,7 @@ def components(x, least=0.8):
 @pytest.mark.parametrize("part", [6000, 25])
 def test_clusters(spark, monkeypatch, part):
     monkeypatch.setattr(clusters, "CELL", part)
+    monkeypatch.setattr(clusters, "CELL_MEAN", 5 * part)
     rows = item_rows(60, 5, copies=40)
     expected = {(name, c, i) for name, col, dim in (("image", 1, 96), ("text", 2, 64)) for c, i in components(valid(rows, col, dim))}
     df = clashing(frame(spark, rows, ITEMS))
@@ -268,6 +272,32 @@ def test_clusters(spark, monkeypatch, part):
         assert clusters.found_clusters(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("part", [6000, 25, 1])
+def test_chains_and_near_misses_are_no_clusters(spark, monkeypatch, part):
+    """Chains of three, pairs just under the least cosine, and clusters with one outsider near one member; the pieces don't matter."""
+    monkeypatch.setattr(clusters, "CELL", part)
+    rng = np.random.default_rng(12)
+
+    def turned(a, cos):
+        b = rng.standard_normal(len(a))
+        b -= (a @ b) * a
+        return cos * a + math.sqrt(1 - cos * cos) * b / np.linalg.norm(b)
+
+    x = []
+    for c in range(8):
+        a = rng.standard_normal(64)
+        a /= np.linalg.norm(a)
+        near = turned(a, 0.825)
+        x += [a, near, turned(near, 0.825)] if c % 4 == 0 else []
+        x += [a, turned(a, 0.79)] if c % 4 == 1 else []
+        x += [a, *(turned(a, 0.95) for _ in range(4))] if c % 4 == 2 else []
+        x += [a, *(turned(a, 0.96) for _ in range(3)), turned(a, 0.81)] if c % 4 == 3 else []
+    ids = rng.permutation(500)[: len(x)].tolist()
+    expected = {("text", c, i) for c, i in components({i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in zip(ids, x)})}
+    df = frame(spark, [(i, None, v.tolist(), None) for i, v in zip(ids, x)], ITEMS)
+    assert set(rows_of(clusters.found_clusters(df))) == expected and expected
+
+
 @pytest.fixture(scope="module")
 def tiktoken_50k():
     e = bpe.encoder_of(bpe.default_vocabulary())
@@ -413,3 +443,9 @@ def test_words_of_portions():
     assert list(words.portions(texts, 5)) == [(0, ["ab", ""]), (2, ["c" * 10]), (3, ["", "d"])]
     h, first = words.word_hashes(["Ab c", "", "c ab."])
     assert h[0] == h[3] and h[1] == h[2] and first.tolist() == [0, 2, 2, 4]
+
+
+def test_sets_that_share_one_item(spark):
+    """Jaccard similarity 1/2 with a single common item, which is in all sets."""
+    classes = frame(spark, [(0, [7]), (1, [7, 8]), (2, [7, 9]), (3, [7, 10])], "cid bigint, s array<bigint>")
+    assert {(r.a, r.b) for r in setcodes.similar_classes(classes, None, 1, 2, "minhash", setcodes.minhash_difference(1, 2)).collect()} == {(0, 1), (0, 2), (0, 3)}
