@@ -1,26 +1,18 @@
 """Similarity joins of set-valued records by binary codes.
 
 Records with equal sets form one class; classes are joined, never copies. A
-join has four steps:
-
-1. every class gets a 256-bit code (one-bit minhashes or a similarity hash),
-   packed into four longs;
-2. the pigeonhole step: a set of n items and a partner of Jaccard similarity
-   t = num/den differ in at most n - ceil(t*n) of the first set's items, so
-   among any n - ceil(t*n) + 1 items at least one is shared. The items are
-   permuted rarest first and the classes joined on these leading items, each a
-   segment of the (permuted) set code. If such an item is frequent, the segment
-   is a pair of items: sets that share at least two items share their two
-   rarest common items within one item more of the permuted code;
-3. candidates stay if their codes lie within a Hamming radius, which is set from
-   the binomial tail so that less than ``miss`` of true pairs are lost;
-4. the original sets are compared exactly.
-
-Steps 2 and 4 lose nothing; step 3 is calibrated (miss 1e-9 by default).
-Segments of the one-bit code itself as join keys would lose links or multiply
-the work: at Jaccard similarity 0.7 a segment of 16 bits agrees with probability
-0.85**16 = 0.07, so 62 indexes are needed for a recall of 0.99 at the threshold, each with
-candidates that grow as the square of the records. README.md has figures.
+join has three steps:
+
+1. every class gets a code of many bits (one-bit minhashes or a similarity hash), which is cut into
+   segments of equal length;
+2. classes that agree in a segment are joined on it, some segments at a time; a pair
+   is a candidate if the sizes allow the similarity and the first 256 bits of the codes, packed in four longs, lie within a Hamming radius;
+3. the original sets are compared exactly.
+
+By the pigeonhole two codes that differ in fewer bits than there are segments agree in one; beyond that the number of segments
+is calibrated: from the probability that a bit differs at the least similarity it follows how many are needed so
+that no more than MISS of the pairs at the threshold (and far less above it) agree in none. The radius loses another 1e-9. The length of a segment grows with the
+logarithm of the classes, so a class has about as many candidates by chance in a larger table.
 """
 
 from __future__ import annotations
@@ -30,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.vectors import mixed
 from quern.runtime import staged, union_all
 
-BITS = 256
-#: Frequency beyond which a segment takes two items.
-HOT = 2000
+#: Bits of the packed code that the radius is for, segments joined at once, and the share of pairs at the threshold that may agree in no segment.
+BITS, AT_ONCE, MISS = 256, 12, 1e-6
 
 
 def item_sets(df: DataFrame, key: list[str], items: str, least: int = 1) -> DataFrame:
@@ -53,46 +45,38 @@ def item_sets(df: DataFrame, key: list[str], items: str, least: int = 1) -> Data
     return sets.filter(F.size("s") >= least)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser on uint64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _pack(bits: np.ndarray) -> np.ndarray:
-    """(n, 256) of 0/1 to (n, 4) int64."""
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-
-
-def minhash_bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One bit of each of 256 minhashes of the sets flat[starts[i]:starts[i+1]]; no set is empty."""
+def minhash_bits(flat: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """One bit of each of many minhashes of the sets flat[starts[i]:starts[i+1]]; no set is empty."""
     rng = np.random.default_rng(20240613)
-    a = rng.integers(0, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1)
-    x = (_mix(flat.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    low = np.empty((len(starts), BITS), np.uint32)
-    for j in range(BITS):
-        h = (x ^ (x >> np.uint32(j % 13 + 3))) * a[j]
+    a = rng.integers(0, 1 << 32, (bits, 2), dtype=np.uint32) | np.uint32(1)
+    x = (mixed(flat.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    low = np.empty((len(starts), bits), np.uint32)
+    for j in range(bits):
+        h = (x ^ (x >> np.uint32(j % 13 + 3))) * a[j, 0]
         h ^= h >> np.uint32(15)
-        h *= np.uint32(0x2C1B3C6D)
+        h *= a[j, 1]
         low[:, j] = np.minimum.reduceat(h, starts)
     low = (low ^ (low >> np.uint32(16))) * np.uint32(0x7FEB352D)
     return (low >> np.uint32(31)).astype(np.uint8)
 
 
-def similarity_bits(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """256 similarity-hash bits: bit j says whether most items have hash bit j; ties give 0."""
-    words = np.stack([_mix(flat.astype(np.uint64) * np.uint64(4) + np.uint64(w)) for w in range(BITS // 64)], axis=1)
-    bits = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32)
-    votes = np.add.reduceat(bits, starts, axis=0)
-    sizes = np.diff(np.append(starts, len(flat)))
-    return (2 * votes > sizes[:, None]).astype(np.uint8)
+def similarity_bits(flat: np.ndarray, starts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Similarity-hash bits: bit j says whether most items have hash bit j; ties give 0."""
+    sizes = np.diff(np.append(starts, len(flat)))[:, None]
+    out = np.empty((len(starts), -(-bits // 64) * 64), np.uint8)
+    base = mixed(flat.astype(np.uint64))
+    for w in range(out.shape[1] // 64):
+        word = mixed(base + np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        votes = np.add.reduceat(np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
+        out[:, 64 * w : 64 * w + 64] = 2 * votes > sizes
+    return out[:, :bits]
 
 
-def with_codes(sets: DataFrame, kind: str) -> DataFrame:
-    """Adds c0..c3, the packed code of ``s``; kind is 'minhash' or 'simhash'. Sets aren't empty."""
-    bits = {"minhash": minhash_bits, "simhash": similarity_bits}[kind]
+def with_codes(sets: DataFrame, kind: str, segments: int, length: int) -> DataFrame:
+    """Adds c0..c3, the packed first 256 bits of the code of ``s``, and seg, the values of its segments; kind is 'minhash' or 'simhash'. Sets aren't empty."""
+    coded = {"minhash": minhash_bits, "simhash": similarity_bits}[kind]
     names = [c for c in sets.columns]
+    powers = (1 << np.arange(length, dtype=np.int64)).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,11 +85,20 @@ def with_codes(sets: DataFrame, kind: str) -> DataFrame:
                 s = b.column(names.index("s"))
                 flat = s.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 offsets = s.offsets.to_numpy()
-                codes = _pack(bits(flat, (offsets[:-1] - offsets[0]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(codes[:, w])) for w in range(4))], names=[*names, "c0", "c1", "c2", "c3"])
+                code = coded(flat, (offsets[:-1] - offsets[0]).astype(np.int64), max(BITS, segments * length))
+                first = np.packbits(code[:, :BITS], axis=1).view(np.int64)
+                seg = (code[:, : segments * length].reshape(-1, length) @ powers).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1, dtype=np.int32) * np.int32(segments)), pa.array(seg))
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(first[:, w])) for w in range(4)), lists], names=[*names, "c0", "c1", "c2", "c3", "seg"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema)
-    return sets.mapInArrow(run, f"{kept}, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
+    return sets.mapInArrow(run, f"{kept}, c0 bigint, c1 bigint, c2 bigint, c3 bigint, seg array<int>")
+
+
+def segments_for(n: float, difference: float, miss: float = MISS) -> tuple[int, int]:
+    """(segments, their length) for n classes whose codes differ in a bit with probability ``difference`` at the threshold."""
+    length = min(24, max(6, round(math.log2(max(n, 2))) - 4))
+    return math.ceil(math.log(miss) / math.log1p(-((1 - difference) ** length))), length
 
 
 def radius(p: float, miss: float = 1e-9, bits: int = BITS) -> int:
@@ -127,8 +120,8 @@ def minhash_difference(num: int, den: int) -> float:
 def simhash_difference(num: int, den: int, least: int, most: int = 60) -> float:
     """The largest probability that a similarity-hash bit differs between two sets of least..most items at Jaccard similarity of num/den or more.
 
-    Exact by summing over the votes of the shared and the two private parts;
-    for larger sets the value for the angle, which it tends to, is below.
+    Exact by summing over the votes of the shared and the two private parts. For larger sets it tends to the
+    angle's share (0.172 at 3/4), which is below the value for small sets.
     """
 
     def binom(n: int) -> np.ndarray:
@@ -148,58 +141,40 @@ def simhash_difference(num: int, den: int, least: int, most: int = 60) -> float:
     return worst
 
 
-def _ordered(classes: DataFrame) -> DataFrame:
-    """Adds toks: the items as structs (f, item), rarest first, f over all classes."""
-    long = classes.select("cid", F.explode("s").alias("item"))
-    freq = long.groupBy("item").agg(F.count(F.lit(1)).alias("f"))
-    toks = long.join(freq, "item").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("toks"))
-    return classes.join(toks, "cid")
-
-
-def _segments(num: int, den: int, hot: int) -> Column:
-    """The pigeonhole segments of ``toks`` as an array of structs (k1, k2); k2 is -1 where one rare item is the segment."""
-    n = F.size("toks")
-    p = n - F.expr(f"({num} * size(toks) + {den - 1}) div {den}").cast("int") + 1
-    one = F.slice("toks", F.lit(1), p)
-
-    def keys(x: Column, i: Column) -> Column:
-        two = F.slice("toks", i + 2, F.greatest(p - i, F.lit(0)))
-        pairs = F.transform(two, lambda y: F.struct(x["item"].alias("k1"), y["item"].alias("k2")))
-        return F.when(x["f"] <= hot, F.array(F.struct(x["item"].alias("k1"), F.lit(-1).cast("bigint").alias("k2")))).otherwise(pairs)
-
-    return F.flatten(F.transform(one, keys))
-
-
-def similar_classes(left: DataFrame, right: DataFrame | None, num: int, den: int, kind: str, difference: float, hot: int = HOT) -> DataFrame:
+def similar_classes(left: DataFrame, right: DataFrame | None, num: int, den: int, kind: str, difference: float, length: int = 0) -> DataFrame:
     """(a, b, common, size_a, size_b): pairs of classes with Jaccard similarity of at least num/den.
 
     ``left`` and ``right`` have (cid bigint, s array<bigint>), cid unique and s distinct within a
     side. Without ``right`` the pairs are within ``left``, a < b; with it a is of left and b of
-    right, and equal sets of both sides are among the pairs.
+    right, and equal sets of both sides are among the pairs. ``difference`` is the probability that a bit of the code
+    differs at the threshold; a segment has ``length`` bits, or as many as fit the number of classes.
     """
-    sides = with_codes(left.select("cid", "s"), kind).withColumn("side", F.lit(0))
-    if right is not None:
-        sides = union_all(sides, with_codes(right.select("cid", "s"), kind).withColumn("side", F.lit(1)))
-    # one frequency order for both sides; the side is kept in the class id's companion column
-    keyed = sides.withColumn("cid", F.struct("side", "cid")).drop("side")
-    base = staged(_ordered(keyed))
+    sides = [left.select("cid", "s")] + ([] if right is None else [right.select("cid", "s")])
+    n = math.prod(math.sqrt(max(1, side.count())) for side in sides) ** (2 / len(sides))
+    segments, fitting = segments_for(n, difference)
+    if length:
+        segments, length = math.ceil(math.log(MISS) / math.log1p(-((1 - difference) ** length))), length
+    else:
+        length = fitting
+    coded = [staged(with_codes(side, kind, segments, length)) for side in sides]
     r = radius(difference)
-    seg = base.select("cid", F.size("s").alias("n"), "c0", "c1", "c2", "c3", F.explode(_segments(num, den, hot)).alias("k")).select("cid", "n", "c0", "c1", "c2", "c3", "k.k1", "k.k2")
-    names = ["cid", "n", "c0", "c1", "c2", "c3"]
-    a = seg.select("k1", "k2", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = seg.select("k1", "k2", *[F.col(c).alias(f"b_{c}") for c in names])
-    if right is not None:
-        a, b = a.filter("a_cid.side = 0"), b.filter("b_cid.side = 1")
     near = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in ("c0", "c1", "c2", "c3"))
-    pairs = a.join(b, ["k1", "k2"])
-    if right is None:
-        pairs = pairs.filter("a_cid.cid < b_cid.cid")
-    pairs = pairs.filter(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num} and {near} <= {r}")
-    pairs = pairs.select(F.col("a_cid.cid").alias("a"), F.col("b_cid.cid").alias("b")).distinct()
-    sa = base.filter("cid.side = 0").select(F.col("cid.cid").alias("a"), F.col("s").alias("s_a"))
-    sb = base.filter(f"cid.side = {0 if right is None else 1}").select(F.col("cid.cid").alias("b"), F.col("s").alias("s_b"))
+
+    def keyed(side: DataFrame, name: str, at: int) -> DataFrame:
+        seg = F.posexplode(F.slice("seg", at + 1, AT_ONCE)).alias("segment", "value")
+        return side.select(seg, *[F.col(c).alias(f"{name}_{c}") for c in ("cid", "c0", "c1", "c2", "c3")], F.size("s").alias(f"{name}_n"))
+
+    found = []
+    for at in range(0, segments, AT_ONCE):
+        pairs = keyed(coded[0], "a", at).hint("merge").join(keyed(coded[-1], "b", at), ["segment", "value"])
+        if right is None:
+            pairs = pairs.filter("a_cid < b_cid")
+        pairs = pairs.filter(f"a_n * {den} >= b_n * {num} and b_n * {den} >= a_n * {num} and {near} <= {r}")
+        found.append(staged(pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()))
+    pairs = staged(union_all(*found).distinct(), done=found)
+    sa, sb = coded[0].select(F.col("cid").alias("a"), F.col("s").alias("s_a")), coded[-1].select(F.col("cid").alias("b"), F.col("s").alias("s_b"))
     both = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("common"), F.size("s_a").alias("size_a"), F.size("s_b").alias("size_b"))
-    return both.filter(f"common * {den} >= {num} * (size_a + size_b - common)")
+    return staged(both.filter(f"common * {den} >= {num} * (size_a + size_b - common)"), done=[*coded, pairs])
 
 
 def user_classes(train: DataFrame, least: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +201,7 @@ def user_links(train: DataFrame, num: int = 7, den: int = 10, least: int = 5) ->
     Copies aren't expanded: links are summed over classes.
     """
     members, classes = user_classes(train, least)
-    pairs = staged(similar_classes(classes, None, num, den, "minhash", minhash_difference(num, den)).select("a", "b"))
+    pairs = similar_classes(classes, None, num, den, "minhash", minhash_difference(num, den)).select("a", "b")
     sizes = classes.select("cid", "size")
     both = union_all(pairs, pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     links = both.join(sizes.toDF("b", "size"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("n"))
