@@ -1,13 +1,17 @@
 """Text statistics per document, and from them prose against lists, tables, forms and junk.
 
 Statistics come from one pass over whole texts. Gradient-boosted trees are
-trained on them with weak labels: five labelling functions vote, and two votes
-make a text structural junk. Probabilities are calibrated on HAND_CHECKED. Documents of
-a calibrated probability of at least CANDIDATE are candidates, which are then checked exactly.
+trained on them with weak labels from two families of labelling functions: votes() on the statistics, of which two make
+a text junk, and structure(), which looks at sentences, line shapes, digits and repetition in the text itself. Where the first
+calls a text junk, or the second does by more votes than it calls it prose, it is labelled junk. Probabilities are
+calibrated on HAND_CHECKED, which was judged from the texts alone. Documents of a calibrated probability of at least CANDIDATE are
+candidates, which are then checked exactly.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +26,9 @@ from quern.llm.words import ALNUM, END, SPACE, STRIP, bounds, char_classes, hash
 #: Documents at most, drawn by a hash of doc_id, on which the trees are trained.
 TRAINED_ON = 20_000
 #: Calibrated probability from which a document is a candidate.
-CANDIDATE = 0.001
+CANDIDATE = 0.04
 
 STATS = ["n_words", "mean_word_length", "symbol_share", "n_lines", "line_end_share", "common_share"]
-#: The labelling functions' borders, by statistic.
-BORDERS = {0: [30.0], 1: [3.6, np.nextafter(7.5, 8)], 2: [np.nextafter(0.1, 1)], 4: [0.3], 5: [0.2]}
 
 
 def text_statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
@@ -75,6 +77,35 @@ def votes(s: np.ndarray) -> np.ndarray:
     return np.where(s[:, 0] > 0, v, 0)
 
 
+_SENTENCE = re.compile(r"[^\W\d_]{3,}[.!?][\"”)]?\s+[^\W_a-z]")
+_SHAPES = ((re.compile(r"\d+"), "9"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\s+"), " "))
+
+
+def structure(text: str) -> int:
+    """Labelling functions on the text's structure: votes for junk less votes for prose."""
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    words = text.split()
+    if not words:
+        return 0
+    shapes = Counter()
+    for line in lines:
+        begin = line[:24]
+        for pattern, to in _SHAPES:
+            begin = pattern.sub(to, begin)
+        shapes[begin[:6]] += 1
+    solid = sum(map(len, words))
+    sentences = len(_SENTENCE.findall(text))
+    junk = [
+        len(lines) >= 5 and shapes.most_common(1)[0][1] > 0.5 * len(lines),  # lines of one shape
+        sum(c.isdigit() for c in text) > 0.12 * solid,
+        len(words) >= 20 and len(set(words)) < 0.3 * len(words) and sentences < len(words) / 60,  # repetition without sentences
+        sum(text.count(c) for c in "|‖…\t[]•") > 0.04 * solid,
+        sentences == 0,
+    ]
+    prose = [sentences >= 3, len(words) >= 60 and sentences >= len(words) / 60, len(words) >= 9 * len(lines)]
+    return sum(junk) - sum(prose)
+
+
 def _common_hashes(words: DataFrame) -> np.ndarray:
     """Sorted hashes of the common words: a fixed short list."""
     listed = [w for (w,) in words.filter("word is not null").select("word").distinct().toLocalIterator()]
@@ -100,13 +131,11 @@ def document_statistics(docs: DataFrame, common_words: DataFrame) -> DataFrame:
 class Model:
     """The trees and their calibration."""
 
-    def __init__(self, sample: np.ndarray):
-        y = (votes(sample) >= 2).astype(float)
-        self.trees = Boosted().fit(sample, y, BORDERS) if len(sample) else None
+    def __init__(self, sample: np.ndarray, labels: np.ndarray):
+        self.trees = Boosted().fit(sample, labels.astype(float)) if len(sample) else None
         self.a, self.b = 1.0, 0.0
         if self.trees is not None and HAND_CHECKED:
-            held = np.array([row[:-1] for row in HAND_CHECKED], np.float64)
-            self.a, self.b = platt(self.trees.score(held), np.array([row[-1] for row in HAND_CHECKED], np.float64))
+            self.a, self.b = platt(self.trees.score(held_statistics()), held_judgements())
 
     def probability(self, s: np.ndarray) -> np.ndarray:
         """Calibrated probability of structural junk; 0 where there is no word."""
@@ -116,14 +145,36 @@ class Model:
         return np.where(s[:, 0] > 0, p, 0.0)
 
 
+def held_statistics() -> np.ndarray:
+    return np.array([s for _, _, s, _ in HAND_CHECKED], np.float64)
+
+
+def held_judgements() -> np.ndarray:
+    return np.array([y for *_, y in HAND_CHECKED], np.float64)
+
+
+def weakly_labelled(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(STATS, junk): statistics and weak label of every document with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in portions(b.column(0).to_pylist()):
+                s = text_statistics(texts, common)
+                junk = (votes(s) >= 2) | (np.fromiter(map(structure, texts), np.int64, len(texts)) > 0)
+                some = s[:, 0] > 0
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in s[some].T.copy()), pa.array(junk[some])], names=[*STATS, "junk"])
+
+    return docs.select("text").mapInArrow(run, ", ".join(f"{c} double" for c in STATS) + ", junk boolean")
+
+
 def trained_model(docs: DataFrame, common_words: DataFrame, rows: int = TRAINED_ON) -> Model:
     """Trains on about ``rows`` documents, chosen by a hash of doc_id, and never more than twice as many, even if ids repeat."""
     n = docs.count()
     parts = max(1, -(-n // rows))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
-    # the limit is on rows of six numbers, behind the statistics, so that these stay parallel
-    got = document_statistics(sample, common_words).select(*STATS).limit(2 * rows).toPandas()
-    return Model(got.to_numpy(np.float64, na_value=np.nan))
+    # the limit is on rows of seven numbers, behind the statistics, so that these stay parallel
+    got = weakly_labelled(sample, _common_hashes(common_words)).limit(2 * rows).toPandas()
+    return Model(got[STATS].to_numpy(np.float64), got["junk"].to_numpy(bool))
 
 
 def scored_documents(docs: DataFrame, common_words: DataFrame) -> DataFrame:
