@@ -6,16 +6,15 @@ moves on. Equal windows give equal walks, and windows at a small edit distance
 walks at a small Hamming distance. A repetition hashes a sample of the walk's
 coordinates into one key; window pairs with equal keys are candidates. Windows of
 passages are the index, windows at every word of every text probe it. Candidates
-are verified by exact edit distance on the words, then grown to the longest
-common run where whole runs are asked for.
+are verified by exact edit distance on the words.
 
-With no edits allowed one repetition finds everything. With edits, repetitions
-are added until the estimated recall reaches the target.
+With no edits allowed one repetition finds everything. With edits, the number of repetitions follows from walks of simulated
+windows with that many substitutions, insertions and deletions, so that a window is found with the target recall. A passage that
+leaks with more words than a window has more windows to be found by.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,9 @@ from quern.runtime import union_all
 
 #: Windows of passages in one block of the index, which is sent to every task; more take another pass.
 INDEX_WINDOWS = 200_000
-SAMPLED = 10
+SAMPLED, MOST_REPETITIONS = 10, 200
+#: Candidates verified at once.
+VERIFIED = 20_000
 
 
 class Walks:
@@ -37,15 +38,27 @@ class Walks:
     def __init__(self, window: int, edits: int, recall: float = 0.95, sampled: int = SAMPLED, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.window, self.edits = window, edits
-        # without edits the walk's first w steps suffice; with edits the usual 3w steps are walked
+        # without edits the walk's first w steps suffice; with edits the usual 3w steps are walked, until the window ends
         self.steps = window if edits == 0 else 3 * window
         self.sampled = sampled if edits == 0 else min(sampled, 6)
-        share = 0.0 if edits == 0 else min(0.5, 2.5 * edits / self.steps * 3)
-        hit = (1 - share) ** self.sampled
-        self.repetitions = 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-        self.moves = rng.integers(0, 1 << 63, (self.repetitions, self.steps), dtype=np.int64).view(np.uint64) | np.uint64(1)
-        # unsampled last steps needn't be walked
-        self.coordinates = [np.sort(rng.choice(self.steps, self.sampled, replace=False)) for _ in range(self.repetitions)]
+        most = 1 if edits == 0 else MOST_REPETITIONS
+        self.moves = rng.integers(0, 1 << 63, (most, self.steps), dtype=np.int64).view(np.uint64) | np.uint64(1)
+        # about half of the steps move on, so later coordinates than 2w tell nothing
+        self.coordinates = [np.sort(rng.choice(min(self.steps, 2 * window), self.sampled, replace=False)) for _ in range(most)]
+        self.repetitions = 1 if edits == 0 else self._calibrated(recall, rng)
+
+    def _calibrated(self, recall: float, rng: np.random.Generator, trials: int = 600) -> int:
+        """Repetitions after which the share ``recall`` of simulated windows is found, the hardest number of edits being allowed."""
+        w = self.window
+        originals = rng.integers(1, 1 << 63, (trials, w), dtype=np.int64).view(np.uint64)
+        edited = np.stack([edited_window(o, self.edits, rng)[:w] for o in np.pad(originals, ((0, 0), (0, self.edits)), mode="wrap")])
+        at = np.arange(trials) * w
+        missed = np.ones(trials, bool)
+        for r in range(len(self.moves)):
+            missed &= self.keys(originals.ravel(), at, r) != self.keys(edited.ravel(), at, r)
+            if missed.mean() <= (1 - recall) * 0.8:
+                return r + 1
+        raise ValueError(f"{len(self.moves)} repetitions find only {1 - missed.mean():.3f} of the windows with {self.edits} edits")
 
     def keys(self, words: np.ndarray, at: np.ndarray, rep: int) -> np.ndarray:
         """Keys of the windows of ``words`` that begin at ``at``; whole windows only."""
@@ -63,16 +76,38 @@ class Walks:
         return key
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or most + 1 if it is larger."""
-    row = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (b != x))
-        new = np.concatenate([[i], new])
-        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        if row.min() > most:
-            return most + 1
-    return int(min(row[-1], most + 1))
+def edited_window(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The words after random substitutions, insertions and deletions."""
+    out = words.tolist()
+    for _ in range(edits):
+        at, kind = int(rng.integers(0, len(out))), int(rng.integers(0, 3))
+        out[at : at + (kind != 1)] = [int(rng.integers(1, 1 << 63))] if kind < 2 else []
+    return np.array(out + words.tolist(), np.uint64)[: len(words)]
+
+
+def edit_distances(text: np.ndarray, x: np.ndarray, ends: np.ndarray, passage: np.ndarray, y: np.ndarray, window: int, most: int) -> np.ndarray:
+    """For each pair the smallest edit distance between passage[y : y + window] and any run of text words that begins at x and ends before ``ends``, or most + 1 if it is larger."""
+    width = 2 * most + 1
+    beyond = most + 1
+    # d[:, c] is the distance of the first i passage words and the first i + c - most text words
+    d = np.where(np.arange(width)[None] >= most, np.arange(width)[None] - most, beyond).repeat(len(x), 0)
+    for i in range(1, window + 1):
+        word = passage[y + i - 1]
+        new = np.full_like(d, beyond)
+        for c in range(width):
+            j = i + c - most
+            if j < 0:
+                continue
+            at = x + j - 1
+            inside = at < ends
+            best = d[:, c] + (text[np.minimum(np.maximum(at, 0), len(text) - 1)] != word) if j > 0 else np.full(len(x), beyond)
+            if c + 1 < width:
+                best = np.minimum(best, d[:, c + 1] + 1)
+            if c and j > 0:
+                best = np.minimum(best, new[:, c - 1] + 1)
+            new[:, c] = np.where(inside | (j == 0), np.minimum(best, beyond), beyond)
+        d = new
+    return d.min(1)
 
 
 class Index:
@@ -100,7 +135,8 @@ class Index:
         """(text, passage) indices of verified windows, distinct."""
         words, first = word_hashes(texts)
         w = self.walks.window
-        n = np.maximum(np.diff(first) - w + 1, 0)
+        # deletions may leave a run that is shorter than the window
+        n = np.maximum(np.diff(first) - (w - self.walks.edits) + 1, 0)
         if not n.sum() or not len(self.words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -122,7 +158,10 @@ class Index:
                     x, y, k = x[keep], y[keep], k[keep]
                 ok = np.ones(len(x), bool)
             else:
-                ok = np.fromiter((edit_distance(words[i : i + w], self.words[j : j + w], self.walks.edits) <= self.walks.edits for i, j in zip(x, y)), bool, len(x))
+                ends = first[np.searchsorted(first, x, side="right")]
+                for lo in range(0, len(x), VERIFIED):
+                    part = slice(lo, lo + VERIFIED)
+                    ok[part] = edit_distances(words, x[part], ends[part], self.words, y[part], w, self.walks.edits) <= self.walks.edits
             text = np.searchsorted(first, x[ok], side="right") - 1
             hits.append(np.unique(np.stack([text, owner[k[ok]]], axis=1), axis=0))
         if not hits:
@@ -132,7 +171,7 @@ class Index:
 
 
 def leaked_passages(docs: DataFrame, passages: DataFrame, window: int = 20, edits: int = 0, recall: float = 0.95) -> DataFrame:
-    """(doc_id, passage_id): texts that contain ``window`` consecutive words of a passage with at most ``edits`` word edits.
+    """(doc_id, passage_id): texts that contain ``window`` consecutive words of a passage with at most ``edits`` word edits (substitutions, insertions, deletions).
 
     Texts and passages are compared by their lower-cased words. Null, blank and
     shorter texts and passages have no windows and no rows; a text with several

@@ -77,6 +77,10 @@ def p9_report(s: SparkSession, d: str) -> DataFrame:
     return leak.leak_report(table(s, d, "documents"), table(s, d, "eval_passages"))
 
 
+def p9_edited(s: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_passages(table(s, d, "documents"), table(s, d, "eval_passages"), edits=1)
+
+
 def p10_found(s: SparkSession, d: str) -> DataFrame:
     return quality.junk_documents(table(s, d, "documents"), table(s, d, "common_words"))
 
@@ -91,7 +95,7 @@ def p10_scores(s: SparkSession, d: str) -> DataFrame:
     return quality.scored_documents(table(s, d, "documents"), table(s, d, "common_words")).select("doc_id", "p_junk", "n_votes")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_ranked, p3_found, p3_report, p4_found, p4_neighbours, p5_found, p5_links, p6_found, p6_described, p8_ids, p9_found, p9_report, p10_found, p10_statistics, p10_scores)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_ranked, p3_found, p3_report, p4_found, p4_neighbours, p5_found, p5_links, p6_found, p6_described, p8_ids, p9_found, p9_report, p9_edited, p10_found, p10_statistics, p10_scores)}
 
 
 def _sets(name: str, key: str, items: str, source: str) -> str:

@@ -380,19 +380,49 @@ def test_leaks_in_several_blocks(spark, monkeypatch):
     assert rows_of(leak.leaked_passages(df, ps)) == whole
 
 
-def test_leaks_with_edits(spark):
+def words_apart(a, b):
+    """Edit distance of two lists of words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_leaks_with_edits(spark, edits):
+    """Recall over substitutions, insertions and deletions in one window, no false rows, against brute force on the edited runs."""
     rng = random.Random(9)
-    p = [f"p{i}" for i in range(30)]
-    docs, hits = [], 0
-    for d in range(60):
-        w = p[5:25]
-        w[rng.randrange(20)] = f"z{d}"
+    passages = [[f"p{i}x{k}" for i in range(30)] for k in range(6)]
+    docs, within = [], set()
+    for d in range(300):
+        k, w = d % 6, passages[d % 6][5:25]
+        for _ in range(edits + (d % 10 == 9)):
+            at, kind = rng.randrange(1, len(w) - 1), rng.randrange(3)
+            w[at : at + (kind != 1)] = [f"z{d}y{rng.randrange(10**9)}"] if kind < 2 else []
         docs.append((d, " ".join([f"a{d}"] * 5 + w + [f"b{d}"] * 5)))
-    df, ps = frame(spark, docs, "doc_id bigint, text string"), frame(spark, [(1, " ".join(p), "s")], "passage_id bigint, passage string, suite string")
-    hits = leak.leaked_passages(df, ps, 20, 1).count()
-    assert hits >= 54
-    assert leak.leaked_passages(df, ps, 20, 0).count() == 0
-    assert leak.edit_distance(np.array([1, 2, 3]), np.array([1, 3]), 3) == 1 and leak.edit_distance(np.array([1, 2, 3]), np.array([7, 8, 9]), 1) == 2
+        ends = range(len(w) - 2 * edits, len(w) + 2)
+        if any(words_apart(passages[k][s : s + 20], (w + ["b"])[a:e]) <= edits for s in range(3, 8) for a in range(3) for e in ends):
+            within.add((d, k))
+    df = frame(spark, docs, "doc_id bigint, text string")
+    ps = frame(spark, [(k, " ".join(p), "s") for k, p in enumerate(passages)], "passage_id bigint, passage string, suite string")
+    found = {tuple(r) for r in leak.leaked_passages(df, ps, 20, edits).collect()}
+    assert found <= within and len(found) >= 0.95 * len(within) > 200
+    assert {tuple(r) for r in leak.leaked_passages(df, ps, 20, 0).collect()} <= within
+
+
+def test_edit_distances():
+    rng = np.random.default_rng(1)
+    text = rng.integers(1, 6, 400).astype(np.uint64)
+    passage = rng.integers(1, 6, 60).astype(np.uint64)
+    x, y = rng.integers(0, 395, 200), rng.integers(0, 52, 200)
+    ends = np.minimum(x + rng.integers(1, 14, 200), 400)
+    for most in (1, 2, 3):
+        got = leak.edit_distances(text, x, ends, passage, y, 8, most)
+        for g, i, e, j in zip(got, x, ends, y):
+            assert g == min(most + 1, min(words_apart(passage[j : j + 8].tolist(), text[i : i + n].tolist()) for n in range(e - i + 1)))
 
 
 def brute_statistics(t, common):
