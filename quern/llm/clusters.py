@@ -3,8 +3,8 @@
 A vector's components are weighted by the inverse deviation of their dimension and hashed with random
 signs into SLOTS slots. Distributed k-means runs on these features: parallel oversampled seeding, reclustering of the
 weighted candidates, then STEPS centroid updates. Every vector is in the OVERLAP cells with the nearest centroids, and the
-vectors of a cell are compared with each other by their original components. All of this is repeated with
-other hashes and other seeds until a round brings nothing new, so a pair is lost only if it shares no cell in any round.
+vectors of a cell are compared with each other by their original components. There are FIRST_ROUNDS such rounds with
+other hashes and other seeds, and more until a round brings nothing new, so a pair is lost only if it shares no cell in any round.
 
 Pairs at the least cosine or more link items. A round's links become components, which later rounds join; and a component is a cluster if all its pairs
 reach the least cosine. This is settled by the angle to the centroid where that suffices, otherwise
@@ -29,6 +29,8 @@ from quern.runtime import dropped, staged, union_all
 #: Most vectors of a piece of a cell or component, vectors per centroid, most centroids.
 CELL, CELL_MEAN, MOST_CELLS = 8_192, 1_000, 16_384
 SLOTS, OVERLAP, STEPS = 64, 2, 2
+#: Rounds before the first look at whether the last of them brought anything new, and between further looks.
+FIRST_ROUNDS, MORE_ROUNDS = 5, 2
 #: Rows compared with a piece at once, and twice the error of a product of 32-bit unit vectors.
 CHUNK, ERROR = 1_024, 4e-5
 
@@ -48,6 +50,7 @@ def _by_modality(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Re
             yield int(m[lo]), part, unpacked(part.column(part.num_columns - 1), np.float32)
 
 
+_MOST_MODALITIES = 16
 _SUMS = "m int, key bigint, number double, v binary"
 
 
@@ -120,67 +123,75 @@ def reclustered(x: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndar
 
 
 class Cells:
-    """One round of k-means: the hashed features and centres of every modality."""
+    """K-means of several rounds at once, each with its own hash and seeds: the hashed features and centres of every (modality, round)."""
 
-    def __init__(self, vectors: DataFrame, counts: dict[int, int], weights: dict[int, np.ndarray], salt: int):
-        self.salt, self.hashed = salt, {m: feature_hash(m, w, salt) for m, w in weights.items()}
+    def __init__(self, vectors: DataFrame, counts: dict[int, int], weights: dict[int, np.ndarray], rounds: list[int]):
+        self.rounds, self.hashed = rounds, {(m, r): feature_hash(m, w, r) for m, w in weights.items() for r in rounds}
         self.wanted = {m: min(MOST_CELLS, -(-n // CELL_MEAN)) for m, n in counts.items()}
-        self.centres: dict[int, np.ndarray] = {}
+        self.centres: dict[tuple[int, int], np.ndarray] = {}
         if all(k == 1 for k in self.wanted.values()):
             # one cell each: any centre is the nearest
-            self.centres = {m: np.zeros((1, SLOTS), np.float32) for m in counts}
+            self.centres = {u: np.zeros((1, SLOTS), np.float32) for u in self.hashed}
             return
         # parallel oversampling: rows by hash, then rows by their share in the cost
-        self._sample(vectors, lambda m, ids, f: _uniform(ids, salt) < self.wanted[m] / counts[m])
-        cost = {r.m: r.number for r in self._summed(vectors, lambda m, f: (np.zeros(len(f), np.int64), nearest(f, self.centres[m], 1)[1])).collect()}
-        self._sample(vectors, lambda m, ids, f: _uniform(ids, salt + 1) * max(cost[m], 1e-300) < 2 * self.wanted[m] * nearest(f, self.centres[m], 1)[1])
-        for m, at, n, _ in self._read(self._summed(vectors, lambda m, f: (nearest(f, self.centres[m], 1)[0][:, 0], np.ones(len(f))))):
-            weight = np.zeros(len(self.centres[m]))
+        self._sample(vectors, lambda u, ids, f: _uniform(ids, 16 * u[1]) < self.wanted[u[0]] / counts[u[0]])
+        cost = {u: n[0] for u, _, n, _ in self._read(self._summed(vectors, lambda u, f: (np.zeros(len(f), np.int64), nearest(f, self.centres[u], 1)[1])))}
+        self._sample(vectors, lambda u, ids, f: _uniform(ids, 16 * u[1] + 1) * max(cost[u], 1e-300) < 2 * self.wanted[u[0]] * nearest(f, self.centres[u], 1)[1])
+        for u, at, n, _ in self._read(self._summed(vectors, lambda u, f: (nearest(f, self.centres[u], 1)[0][:, 0], np.ones(len(f))))):
+            weight = np.zeros(len(self.centres[u]))
             weight[at] = n
-            self.centres[m] = reclustered(self.centres[m][weight > 0], weight[weight > 0], self.wanted[m], salt)
+            self.centres[u] = reclustered(self.centres[u][weight > 0], weight[weight > 0], self.wanted[u[0]], u[1])
         for _ in range(STEPS):
-            for m, at, n, v in self._read(self._summed(vectors, lambda m, f: (nearest(f, self.centres[m], 1)[0][:, 0], np.ones(len(f))), True)):
-                moved = self.centres[m].copy()
+            for u, at, n, v in self._read(self._summed(vectors, lambda u, f: (nearest(f, self.centres[u], 1)[0][:, 0], np.ones(len(f))), True)):
+                moved = self.centres[u].copy()
                 moved[at] = (v / n[:, None]).astype(np.float32)
-                self.centres[m] = moved
+                self.centres[u] = moved
 
     def _sample(self, vectors: DataFrame, takes: Callable) -> None:
-        """Adds the rows that ``takes`` to the centres, a few times as many as cells are wanted; where there is none yet, the first."""
+        """Adds the rows that ``takes`` to the centres, a few times as many as cells are wanted; where there is none, a centre at 0."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m, b, x in _by_modality(batches):
-                f = _features(x, self.hashed[m])
-                rows = np.flatnonzero(takes(m, b.column(1).to_numpy(), f))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), packed(f[rows]) if len(rows) else pa.array([], pa.binary())], names=["m", "item_id", "f"])
+                for r in self.rounds:
+                    f = _features(x, self.hashed[m, r])
+                    rows = np.flatnonzero(takes((m, r), b.column(1).to_numpy(), f))
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), _unit_of(m, r), np.int32)), b.column(1).take(pa.array(rows)), packed(f[rows])], names=["m", "item_id", "f"])
 
         drawn = vectors.mapInArrow(run, "m int, item_id bigint, f binary").toArrow().sort_by([("m", "ascending"), ("item_id", "ascending")])
-        for m, _, f in _by_modality(iter(drawn.combine_chunks().to_batches())):
-            self.centres[m] = np.concatenate([self.centres[m], f]) if m in self.centres else f
-        for m in self.hashed:
-            self.centres.setdefault(m, np.zeros((1, SLOTS), np.float32))
+        for u, _, f in _by_modality(iter(drawn.combine_chunks().to_batches())):
+            key = (u % _MOST_MODALITIES, u // _MOST_MODALITIES)
+            self.centres[key] = np.concatenate([self.centres[key], f]) if key in self.centres else f
+        for key in self.hashed:
+            self.centres.setdefault(key, np.zeros((1, SLOTS), np.float32))
 
     def _summed(self, vectors: DataFrame, key_and_number: Callable, with_features: bool = False) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for m, b, x in _by_modality(batches):
-                f = _features(x, self.hashed[m])
-                keys, number = key_and_number(m, f)
-                yield _sums(m, keys, number, f if with_features else np.zeros((len(f), 1), np.float32))
+            for m, _, x in _by_modality(batches):
+                for r in self.rounds:
+                    f = _features(x, self.hashed[m, r])
+                    keys, number = key_and_number((m, r), f)
+                    yield _sums(_unit_of(m, r), keys, number, f if with_features else np.zeros((len(f), 1), np.float32))
 
         return _summed_by_key(vectors.mapInArrow(run, _SUMS))
 
     @staticmethod
-    def _read(sums: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(m, keys, numbers, vectors) of every modality: one row per candidate or cell."""
+    def _read(sums: DataFrame) -> list[tuple[tuple[int, int], np.ndarray, np.ndarray, np.ndarray]]:
+        """((m, round), keys, numbers, vectors) of every modality and round: one row per candidate or cell."""
         out = []
         t = sums.toArrow()
         for o in np.unique(t.column("m").to_numpy()).tolist():
             part = t.filter(pc.equal(t.column("m"), o)).combine_chunks()
-            out.append((o, part.column("key").to_numpy(), part.column("number").to_numpy(), unpacked(part.column("v").chunk(0), np.float64)))
+            out.append(((o % _MOST_MODALITIES, o // _MOST_MODALITIES), part.column("key").to_numpy(), part.column("number").to_numpy(), unpacked(part.column("v").chunk(0), np.float64)))
         return out
 
-    def of(self, m: int, x: np.ndarray) -> np.ndarray:
+    def of(self, m: int, r: int, x: np.ndarray) -> np.ndarray:
         """(n, OVERLAP) of the cells that a vector is in."""
-        return nearest(_features(x, self.hashed[m]), self.centres[m], min(OVERLAP, len(self.centres[m])))[0]
+        return nearest(_features(x, self.hashed[m, r]), self.centres[m, r], min(OVERLAP, len(self.centres[m, r])))[0]
+
+
+def _unit_of(m: int, r: int) -> int:
+    return r * _MOST_MODALITIES + m
 
 
 _GROUPED = "m int, g bigint, cell bigint, p int, q int, piece int, item_id bigint, x binary"
@@ -264,19 +275,19 @@ def _spread(grouped: DataFrame, rows: int) -> DataFrame:
     return grouped.repartition(parts, "g").sortWithinPartitions("m", "g", "cell", "p", "q", "item_id")
 
 
-def _links(vectors: DataFrame, cells: Cells, least: float) -> DataFrame:
+def _links(vectors: DataFrame, cells: Cells, round_: int, least: float) -> DataFrame:
     """(m, a, b): items a > b of one cell that are linked there, b being the smallest of its component in the cell."""
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
         for m, b, x in _by_modality(batches):
-            yield m, b, cells.of(m, x)
+            yield m, b, cells.of(m, round_, x)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m, _, of in assigned(batches):
             cell, n = np.unique(of, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), m, np.int32)), pa.array(cell), pa.array(n)], names=["m", "cell", "n"])
 
-    sizes = {m: np.zeros(len(c), np.int64) for m, c in cells.centres.items()}
+    sizes = {m: np.zeros(len(c), np.int64) for (m, r), c in cells.centres.items() if r == round_}
     rows = 0
     for r in vectors.mapInArrow(count, "m int, cell bigint, n bigint").groupBy("m", "cell").agg(F.sum("n").alias("n")).collect():
         sizes[r.m][r.cell] = r.n
@@ -317,11 +328,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("m", F.col("a").alias("item_id"), "label")
 
 
-def joined_by(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+def joined_by(labels: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, int]:
     """(labels after the links have joined components, links between components that were new); ``links`` are used up."""
     of = labels.select("m", F.col("item_id").alias("a"), F.col("label").alias("la"))
-    both = links.join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
-    across = staged(both.select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=[links])
+    both = union_all(*links).distinct().join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
+    across = staged(both.select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=links)
     new = across.count()
     if not new:
         return labels, 0
@@ -364,19 +375,25 @@ def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple
             yield _sums(m, np.zeros(len(x), np.int64), np.ones(len(x)), np.concatenate([x, x * x], axis=1))
 
     counts, weights = {}, {}
-    for m, _, n, v in Cells._read(_summed_by_key(vectors.mapInArrow(moments, _SUMS))):
+    for (m, _), _, n, v in Cells._read(_summed_by_key(vectors.mapInArrow(moments, _SUMS))):
         mean, square = np.split(v[0] / n[0], 2)
         counts[m], weights[m] = int(n[0]), 1 / np.sqrt(np.maximum(square - mean * mean, 1e-6))
     if not counts:
         return spark.createDataFrame([], "m int, cluster_id bigint, size bigint, item_id bigint, near double")
     labels, r = staged(vectors.select("m", "item_id", F.col("item_id").alias("label"))), 0
     while True:
-        cells = Cells(vectors, counts, weights, 10 * r + 1)
-        labels, new = joined_by(labels, _links(vectors, cells, least))
-        # where one cell holds all, one round has seen all pairs
-        if not new or max(cells.wanted.values()) == 1:
+        rounds = list(range(r, r + (MORE_ROUNDS if r else FIRST_ROUNDS)))
+        cells = Cells(vectors, counts, weights, rounds)
+        if max(cells.wanted.values()) == 1:
+            # one cell holds all, so one round sees all pairs
+            labels, _ = joined_by(labels, [_links(vectors, cells, 0, least)])
+            break
+        links = [_links(vectors, cells, i, least) for i in rounds]
+        labels, _ = joined_by(labels, links[:-1])
+        labels, new = joined_by(labels, links[-1:])
+        if not new:
             break
-        r += 1
+        r = rounds[-1] + 1
     sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "label")
     linked = labels.join(sized, ["m", "label"]).withColumnRenamed("label", "cluster_id")
     members = staged(_centred(linked.join(vectors, ["m", "item_id"])), done=[vectors])

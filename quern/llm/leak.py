@@ -56,7 +56,7 @@ class Walks:
         missed = np.ones(trials, bool)
         for r in range(len(self.moves)):
             missed &= self.keys(originals.ravel(), at, r) != self.keys(edited.ravel(), at, r)
-            if missed.mean() <= (1 - recall) * 0.8:
+            if missed.mean() <= (1 - recall) * 0.4:
                 return r + 1
         raise ValueError(f"{len(self.moves)} repetitions find only {1 - missed.mean():.3f} of the windows with {self.edits} edits")
 
