@@ -10,18 +10,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import arrays as A
+from quern.runtime import staged
 
 
 def _stack(b: pa.RecordBatch, column: int = 1) -> np.ndarray:
     return b.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
 
 
-def reduced(features: DataFrame, work: Callable[[np.ndarray], np.ndarray], add_rows: bool = False) -> tuple[int, np.ndarray]:
-    """(rows, sum over all batches of work(x)): every task sends one partial result."""
+#: Partial results that the driver adds up at most.
+PARTIALS = 32
+
+
+def reduced(features: DataFrame, work: Callable[[np.ndarray], np.ndarray]) -> tuple[int, np.ndarray]:
+    """(rows, sum over all batches of work(x)): tasks add up their batches, PARTIALS further tasks these, and the driver the rest."""
+
+    def total_of(n: int, total: np.ndarray, g: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n]), pa.array([total.ravel().tolist()]), pa.array([list(total.shape)])], names=["g", "n", "s", "shape"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -30,10 +39,16 @@ def reduced(features: DataFrame, work: Callable[[np.ndarray], np.ndarray], add_r
                 part = work(_stack(b))
                 total, n = part if total is None else total + part, n + b.num_rows
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.ravel().tolist()]), pa.array([list(total.shape)])], names=["n", "s", "shape"])
+            yield total_of(n, total, TaskContext.get().partitionId() % PARTIALS)
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        total = t.column("s").chunk(0).flatten().to_numpy().reshape(t.num_rows, -1).sum(0)
+        return pa.Table.from_batches([total_of(int(t.column("n").to_numpy().sum()), total.reshape(t.column("shape")[0].as_py()), t.column("g")[0].as_py())])
 
     n, total = 0, None
-    for r in features.select("i", "v").mapInArrow(run, "n bigint, s array<double>, shape array<bigint>").toLocalIterator():
+    schema = "g int, n bigint, s array<double>, shape array<bigint>"
+    for r in sorted(features.select("i", "v").mapInArrow(run, schema).groupBy("g").applyInArrow(add, schema).collect()):
         part = np.array(r.s).reshape(r.shape)
         n, total = n + r.n, part if total is None else total + part
     return n, total
@@ -97,7 +112,7 @@ def pca_ica(features: DataFrame, seed: int = 0, steps: int = 200, tol: float = 1
         return v @ np.diag(1 / np.sqrt(np.maximum(s, 1e-12))) @ v.T @ w
 
     w = decorrelated(np.random.default_rng(seed).standard_normal((k, k)))
-    z = mapped(features, lambda x: (x - mean) @ white)
+    z = staged(mapped(features, lambda x: (x - mean) @ white))
     for _ in range(steps):
 
         def step(x: np.ndarray, w=w) -> np.ndarray:

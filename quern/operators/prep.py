@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import staged
+
 
 def parsed_id(text: Column) -> Column:
     """An id written as any decimal or exponent number, cut to its whole part; null if it isn't a finite number."""
@@ -141,14 +143,15 @@ def prior_summary(prior: DataFrame, counts: DataFrame) -> DataFrame:
 def terciles(counts: DataFrame) -> DataFrame:
     """(i, bucket): by ascending (n, i) the first n//3 items are tail, up to 2n//3 mid, the rest head.
 
-    Ranks come from counts per frequency plus the rank within one frequency, so
-    no task sorts the whole catalogue: only the distinct frequencies are put in
-    one order.
+    The order is a range partitioning by (n, i): a rank is the number of items in earlier partitions plus
+    the rank within one, so many items of one frequency are spread over partitions like all others.
     """
-    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    levels = levels.withColumn("before", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c"))
-    total = counts.agg(F.count(F.lit(1)).alias("total"))
-    ranked = counts.withColumn("within", F.row_number().over(Window.partitionBy("n").orderBy("i"))).join(F.broadcast(levels), "n").crossJoin(F.broadcast(total))
+    ordered = staged(counts.select("i", "n").repartitionByRange("n", "i").withColumn("part", F.spark_partition_id()))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    # one row for each partition
+    before = sizes.withColumn("before", F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("c"))
+    total = sizes.agg(F.sum("c").alias("total"))
+    ranked = ordered.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy("n", "i"))).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
     pos = F.col("before") + F.col("within") - 1
     bucket = F.when(pos < F.floor(F.col("total") / 3), "tail").when(pos < F.floor(F.col("total") * 2 / 3), "mid").otherwise("head")
     return ranked.select("i", bucket.alias("bucket"))

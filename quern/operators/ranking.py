@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,33 +31,48 @@ def top_scores(scores: DataFrame, k: int) -> DataFrame:
 def factor_top(users: DataFrame, items: DataFrame, history: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """(u, i, rk): top k items by the dot product of vectors, users (u, v) and items (i, v), history excluded.
 
-    Users and items are cut into blocks, each pair of blocks is one matrix product
-    that keeps the best k + h of each user, h being the length of the user's
-    history, so that k are left after its exclusion; nothing larger than a block's
-    best is shuffled.
+    Users and items are cut into blocks, each pair of blocks is one matrix product. The part of the
+    users' histories that lies in the block is masked in it, so k of each user are kept whatever
+    the length of the history, and nothing larger than a block's best is shuffled.
     """
-    sizes = history.groupBy("u").agg(F.countDistinct("i").alias("h"))
-    left = users.join(sizes, "u", "left").select("u", F.col("v").alias("uv"), F.coalesce("h", F.lit(0)).cast("int").alias("h"))
     n_u, n_i = max(1, -(-users.count() // block)), max(1, -(-items.count() // block))
-    a = left.select(F.pmod(F.xxhash64("u"), F.lit(n_u)).cast("int").alias("bu"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("bi"), F.col("u").alias("id"), F.col("uv").alias("v"), "h", F.lit(0).alias("side"))
-    b = items.select(F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))).alias("bu"), F.pmod(F.xxhash64("i"), F.lit(n_i)).cast("int").alias("bi"), F.col("i").alias("id"), "v", F.lit(0).alias("h"), F.lit(1).alias("side"))
+
+    def of(c: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    nothing = F.lit(None).cast("array<double>")
+    a = users.select(of("u", n_u).alias("bu"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("bi"), F.col("u").alias("id"), F.lit(None).cast("bigint").alias("other"), F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("side"))
+    b = items.select(F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))).alias("bu"), of("i", n_i).alias("bi"), F.col("i").alias("id"), F.lit(None).cast("bigint").alias("other"), F.col("v").cast("array<double>").alias("v"), F.lit(1).alias("side"))
+    h = history.select("u", "i").distinct().select(of("u", n_u).alias("bu"), of("i", n_i).alias("bi"), F.col("u").alias("id"), F.col("i").alias("other"), nothing.alias("v"), F.lit(2).alias("side"))
 
     def best(t: pa.Table) -> pa.Table:
-        side, ids, h = (t.column(c).to_numpy() for c in ("side", "id", "h"))
-        x = np.stack(t.column("v").to_pylist()) if t.num_rows else np.zeros((0, 1))
-        us, its = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[tuple] = []
-        for at in range(0, len(us), 512):
-            rows = us[at : at + 512]
-            s = x[rows] @ x[its].T if len(its) else np.zeros((len(rows), 0))
-            for r, line in zip(rows, s):
-                order = np.lexsort((ids[its], -line))[: k + h[r]]
-                out.append((np.full(len(order), ids[r]), ids[its][order], line[order]))
-        u, i, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        def part(side: int) -> tuple[np.ndarray, pa.Table]:
+            rows = t.filter(pc.equal(t.column("side"), side)).sort_by("id").combine_chunks()
+            return rows.column("id").to_numpy().astype(np.int64), rows
+
+        (us, left), (its, right), (of_user, own) = part(0), part(1), part(2)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(us) and len(its):
+            x, y = (rows.column("v").chunk(0).flatten().to_numpy().reshape(rows.num_rows, -1) for rows in (left, right))
+            of_item = own.column("other").to_numpy().astype(np.int64)
+            known = np.isin(of_user, us) & np.isin(of_item, its)
+            row, col = np.searchsorted(us, of_user[known]), np.searchsorted(its, of_item[known])
+            for at in range(0, len(us), 512):
+                s = x[at : at + 512] @ y.T
+                here = (row >= at) & (row < at + 512)
+                s[row[here] - at, col[here]] = -np.inf
+                least = np.partition(s, len(its) - k, axis=1)[:, [len(its) - k]] if k < len(its) else -np.inf
+                # its is ascending, so a stable order by score leaves ties to the smaller item
+                i, j = np.nonzero((s >= least) & (s > -np.inf))
+                order = np.lexsort((j, -s[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append((us[i[top] + at], its[j[top]], s[i[top], j[top]]))
+        u, i, score = (np.concatenate(c) for c in zip(*out))
         return pa.table({"u": u, "i": i, "score": score})
 
-    scored = union_all(a, b.select(*a.columns)).groupBy("bu", "bi").applyInArrow(best, "u bigint, i bigint, score double")
-    return top_scores(scored.join(history.select("u", "i").distinct(), ["u", "i"], "left_anti"), k)
+    scored = union_all(a, b, h).groupBy("bu", "bi").applyInArrow(best, "u bigint, i bigint, score double")
+    return top_scores(scored, k)
 
 
 def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

@@ -531,12 +531,13 @@ def cache_diff(s, d):
 # ---- ranking and metrics ----
 
 
-def scored(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(history, relevant, scores): neighbours by training co-occurrence."""
+def scored(s, d, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, relevant, scores): neighbours by training co-occurrence. Scores that are only ranked aren't kept: the group limit then cuts them as they arise."""
     sp = staged(split(s, d))
     train = sp.filter("split = 'train'").select("u", "i")
     nb = G.top_per_row(G.co_counts(train, "u", "i", 2), 20)
-    return train, sp.filter("split = 'test'").select("u", "i"), staged(R.neighbour_scores(train, nb))
+    scores = R.neighbour_scores(train, staged(nb))
+    return train, sp.filter("split = 'test'").select("u", "i"), staged(scores) if keep else scores
 
 
 @query(f"with {SCORES} select u, i, rk from ranked")
@@ -577,7 +578,7 @@ _AUC = (
 
 @query(f"with {_AUC}")
 def auc_user(s, d):
-    _, rel, sc = scored(s, d)
+    _, rel, sc = scored(s, d, keep=True)
     return R.auc_per_user(sc, rel).withColumn("auc", six("auc"))
 
 
@@ -592,7 +593,7 @@ _AUC_ALL = (
 @query(f"with {_AUC_ALL}")
 def auc_user_all(s, d):
     """AUC over all items outside a user's training items; auc_user has the scored ones only."""
-    train, rel, sc = scored(s, d)
+    train, rel, sc = scored(s, d, keep=True)
     return R.auc_per_user(sc, rel, train, items(s, d)).withColumn("auc", six("auc"))
 
 

@@ -1,10 +1,12 @@
 """Operators that have to count what a bound or a join would leave out."""
 
 import datetime
+import os
 
 import pytest
 
-from quern.operators import losses, ranking, training
+from quern import runtime
+from quern.operators import losses, prep, ranking, training
 from quern.plans import core
 
 
@@ -40,3 +42,35 @@ def test_negatives_of_long_histories(spark):
 def test_average_degree_goes_by_the_catalogue(spark, data):
     row = core.QUERIES["graph_stats_all"](spark, data).first()
     assert row.avg_degree == pytest.approx(row.nnz / spark.read.parquet(f"{data}/part.parquet").count(), abs=1e-6)
+
+
+def test_terciles_of_equal_counts(spark):
+    """All items of one frequency, in several range partitions: ranks go on across them."""
+    counts = spark.range(999).selectExpr("id as i", "cast(id div 900 as bigint) as n")
+    got = {r.i: r.bucket for r in prep.terciles(counts).collect()}
+    assert got == {i: "tail" if i < 333 else "mid" if i < 666 else "head" for i in range(999)}
+
+
+def test_top_items_by_factors_with_ties_and_long_histories(spark):
+    users = spark.createDataFrame([(u, [1.0, float(u % 2)]) for u in range(6)], "u bigint, v array<double>")
+    items = spark.createDataFrame([(i, [float(i // 3), 0.0]) for i in range(20)], "i bigint, v array<double>")
+    history = spark.createDataFrame([(u, i) for u in range(6) for i in range(20) if i % 6 == u or u == 5 and i > 1], "u bigint, i bigint")
+    own = {}
+    for u, i in history.collect():
+        own.setdefault(u, set()).add(i)
+    expected = sorted((u, i, rk) for u in range(6) for rk, i in enumerate(sorted((i for i in range(20) if i not in own[u]), key=lambda i: (-(i // 3), i))[:4], 1))
+    for block in (3, 8192):
+        assert sorted(tuple(r) for r in ranking.factor_top(users, items, history, 4, block=block).collect()) == expected
+
+
+def test_stages_need_a_shared_folder_on_a_cluster():
+    assert runtime._one_process("local[8]") and runtime._one_process("local")
+    assert not runtime._one_process("spark://host:7077") and not runtime._one_process("local-cluster[3,2,3000]") and not runtime._one_process("yarn")
+
+
+def test_folders_of_done_stages_go(spark):
+    first = runtime.staged(spark.range(10))
+    folder = first.stage_folder.removeprefix("file://")
+    assert os.path.isdir(folder)
+    assert runtime.staged(first.filter("id > 3"), done=[first]).count() == 6
+    assert not os.path.exists(folder)
