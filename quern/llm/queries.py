@@ -46,7 +46,7 @@ def p4_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(s: SparkSession, d: str) -> DataFrame:
-    return neighbours.most_similar(table(s, d, "item_features"), k=10).selectExpr("modality", "item_id", "neighbour", "round(similarity, 3) as similarity", "rank")
+    return neighbours.most_similar(table(s, d, "item_features"), k=10).selectExpr("modality", "item_id", "neighbour", "round(similarity, 3) as similarity", "cast(rank as bigint) as rank")
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
@@ -173,6 +173,7 @@ SQL: dict[str, str] = {
     "select en.sp split_name, source, count(*) n_records, count(h.eval_id) n_overlapping from en join src on src.sp = en.sp and src.k = en.k "
     "left join (select distinct split_name, eval_id from hit) h on h.split_name = en.sp and h.eval_id = en.k where n >= 5 group by 1, 2",
     "p4_found": _NEAR + ", r as (select *, row_number() over (partition by modality, a order by sim desc, b) rk from g) select distinct modality, least(a, b) item_a, greatest(a, b) item_b from r where rk <= 5",
+    "p4_neighbours": _NEAR + ", r as (select *, row_number() over (partition by modality, a order by sim desc, b) rk from g) select modality, a item_id, b neighbour, round(sim, 3) similarity, rk as rank from r where rk <= 10",
     "p5_found": _USERS + "select user_a, user_b from hit",
     "p5_links": _USERS + ", m as (select k, list_sort(list(i)) s from t_e group by k having count(*) >= 5), k as (select k, min(k) over (partition by s) cls from m), "
     "both_ as (select user_a u from hit union all select user_b from hit) select k user_id, cls class_id, count(u) n_links from k left join both_ on u = k group by 1, 2",
