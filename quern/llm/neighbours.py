@@ -1,7 +1,7 @@
 """The k most similar vectors of every vector by a hash-prefix forest.
 
 A tree's hash gives every vector a string of 64 bits, one per random hyperplane; a tree
-is the sorted array of its strings. The first levels of TREES such trees are distributed: the array
+is the sorted array of its strings. The first levels of several trees are distributed: the array
 is cut into blocks of at most about BLOCK vectors that share their leading bits, one task each. Within a block
 the forest goes on in memory with ARRAYS sorted arrays of further long strings:
 
