@@ -6,6 +6,8 @@ shuffle, so a hub node is never gathered as one group of vectors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from quern.functions import arrays as A
 from quern.operators.features import mapped
 from quern.runtime import staged, union_all
 
+#: Pairs of shared_mean() that are shuffled at once.
+SUMMED_AT_ONCE = 1 << 23
+
 
 def long_form(vectors: DataFrame) -> DataFrame:
     """(i, v) to (node, dim, x)."""
@@ -46,6 +51,25 @@ def last_layer(edges: DataFrame, emb: DataFrame, layers: int) -> DataFrame:
     return emb
 
 
+def shared_mean(pairs: DataFrame, dim: int) -> DataFrame:
+    """(u, v) of distinct (u, i, v), v being the user's vector of ``dim`` numbers: the mean of the other users' vectors, each as often as it shares an item.
+
+    This is one step over the row-normalised graph of co-counts without its edges, whose number is
+    quadratic in an item's users: vectors are summed by item, and each user adds up the sums of its items
+    less its own vector. Users who share no item have no row. Large tables are summed in up to eight parts, one after the other, so their shuffles
+    aren't on disk together.
+    """
+    d = range(dim)
+    parts = min(8, max(1, -(-pairs.count() // SUMMED_AT_ONCE)))
+
+    def summed(work: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+        return union_all(*[staged(work(pairs.filter(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(parts)) == p))) for p in range(parts)])
+
+    items = summed(lambda some: some.groupBy("i").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("v")[k]).alias(f"s{k}") for k in d]).filter("n > 1"), "i")
+    others = summed(lambda some: some.join(items, "i").groupBy("u").agg(F.sum(F.col("n") - 1).alias("w"), *[F.sum(F.col(f"s{k}") - F.col("v")[k]).alias(f"s{k}") for k in d]), "u")
+    return others.select("u", F.array(*[F.col(f"s{k}") / F.col("w") for k in d]).alias("v"))
+
+
 def gated_layer(edges: DataFrame, emb: DataFrame, w_gc: np.ndarray, b_gc: np.ndarray, w_bi: np.ndarray, b_bi: np.ndarray, slope: float = 0.2) -> DataFrame:
     """leaky(GC(side)) + leaky(Bi(ego * side)), rows then of unit length; side is one propagation step. Embeddings are (i, v)."""
     d = len(b_gc)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from quern import runtime
-from quern.operators import losses, prep, ranking, training
+from quern.operators import losses, prep, propagate, ranking, training
 from quern.plans import core
 
 
@@ -74,3 +74,18 @@ def test_folders_of_done_stages_go(spark):
     assert os.path.isdir(folder)
     assert runtime.staged(first.filter("id > 3"), done=[first]).count() == 6
     assert not os.path.exists(folder)
+
+
+def test_users_of_a_hub_item_make_no_pairs(spark, tmp_path, monkeypatch):
+    """20,000 users of one item, of whom one shares another with a user outside, and one user alone."""
+    monkeypatch.setattr(propagate, "SUMMED_AT_ONCE", 9_000)
+    n, day = 20_000, datetime.date(2020, 1, 1)
+    spark.range(n + 2).selectExpr("id o_orderkey", "id o_custkey", f"date'{day}' o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(n).selectExpr("id l_orderkey", "1L l_partkey").union(spark.createDataFrame([(0, 2), (n, 2), (n + 1, 3), (0, 1)], "a bigint, b bigint"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.node, r.dim): r.x for r in core.QUERIES["user_conv"](spark, str(tmp_path)).collect()}
+    e = [[(u * 2654435761 + k * 40503) % 1000 / 1000 - 0.5 for k in range(4)] for u in range(n + 1)]
+    total = [sum(v[k] for v in e[:n]) for k in range(4)]
+    expected = {(u, k): (total[k] - e[u][k]) / (n - 1) for u in range(1, n) for k in range(4)}
+    expected |= {(0, k): (total[k] - e[0][k] + e[n][k]) / n for k in range(4)} | {(n, k): e[0][k] for k in range(4)}
+    assert got == pytest.approx(expected, abs=2e-9)
