@@ -7,13 +7,17 @@ ranked item counts with zeros.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import union_all
+from quern.runtime import staged, union_all
+
+#: Users whose directions cut the cells of factor_top(), most users of a cell scored by one task, and items that each task finds far out in a cell's direction.
+CELL_SAMPLE, PIECE, FAR_OUT = 65_536, 4_096, 8
 
 
 def neighbour_scores(history: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -28,51 +32,208 @@ def top_scores(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= k).select("u", "i", "rk")
 
 
-def factor_top(users: DataFrame, items: DataFrame, history: DataFrame, k: int, block: int = 8192) -> DataFrame:
-    """(u, i, rk): top k items by the dot product of vectors, users (u, v) and items (i, v), history excluded.
+class _Cells:
+    """Users cut into cells by halving a sample of their directions at the median of the widest direction; each cell's centre is the mean of its sample.
 
-    Users and items are cut into blocks, each pair of blocks is one matrix product. The part of the
-    users' histories that lies in the block is masked in it, so k of each user are kept whatever
-    the length of the history, and nothing larger than a block's best is shuffled.
+    The sample decides only which users are looked at together.
     """
-    n_u, n_i = max(1, -(-users.count() // block)), max(1, -(-items.count() // block))
-
-    def of(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-
-    nothing = F.lit(None).cast("array<double>")
-    a = users.select(of("u", n_u).alias("bu"), F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))).alias("bi"), F.col("u").alias("id"), F.lit(None).cast("bigint").alias("other"), F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("side"))
-    b = items.select(F.explode(F.sequence(F.lit(0), F.lit(n_u - 1))).alias("bu"), of("i", n_i).alias("bi"), F.col("i").alias("id"), F.lit(None).cast("bigint").alias("other"), F.col("v").cast("array<double>").alias("v"), F.lit(1).alias("side"))
-    h = history.select("u", "i").distinct().select(of("u", n_u).alias("bu"), of("i", n_i).alias("bi"), F.col("u").alias("id"), F.col("i").alias("other"), nothing.alias("v"), F.lit(2).alias("side"))
-
-    def best(t: pa.Table) -> pa.Table:
-        def part(side: int) -> tuple[np.ndarray, pa.Table]:
-            rows = t.filter(pc.equal(t.column("side"), side)).sort_by("id").combine_chunks()
-            return rows.column("id").to_numpy().astype(np.int64), rows
-
-        (us, left), (its, right), (of_user, own) = part(0), part(1), part(2)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(us) and len(its):
-            x, y = (rows.column("v").chunk(0).flatten().to_numpy().reshape(rows.num_rows, -1) for rows in (left, right))
-            of_item = own.column("other").to_numpy().astype(np.int64)
-            known = np.isin(of_user, us) & np.isin(of_item, its)
-            row, col = np.searchsorted(us, of_user[known]), np.searchsorted(its, of_item[known])
-            for at in range(0, len(us), 512):
-                s = x[at : at + 512] @ y.T
-                here = (row >= at) & (row < at + 512)
-                s[row[here] - at, col[here]] = -np.inf
-                least = np.partition(s, len(its) - k, axis=1)[:, [len(its) - k]] if k < len(its) else -np.inf
+
+    def __init__(self, x: np.ndarray, depth: int):
+        x = _directions(x)
+        self.depth, d = depth, x.shape[1]
+        inner = (1 << depth) - 1
+        self.along, self.border = np.zeros((inner, d)), np.full(inner, np.inf)
+        self.centres = np.zeros((1 << depth, d))
+        rows, mean = {0: np.arange(len(x))}, {0: x.sum(0)}
+        for node in range(2 * inner + 1):
+            at = rows.pop(node)
+            # a cell without sample rows has its parent's centre
+            centre = mean[node] = x[at].sum(0) if len(at) else mean[(node - 1) // 2]
+            if node >= inner:
+                self.centres[node - inner] = _directions(centre[None])[0]
+                continue
+            part = x[at] - x[at].mean(0) if len(at) else x[at]
+            axis = np.linalg.eigh(part.T @ part)[1][:, -1]
+            side = (x[at] * axis).sum(1)
+            if len(at) and np.ptp(side) > 1e-9:
+                half = np.median(side)
+                self.along[node], self.border[node] = axis, half if half < side.max() - 1e-9 else (side[side < side.max() - 1e-9].max() + side.max()) / 2
+            right = side > self.border[node]
+            rows[2 * node + 1], rows[2 * node + 2] = at[~right], at[right]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        x, node = _directions(x), np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + ((x * self.along[node]).sum(1) > self.border[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def _directions(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(n == 0, 1, n)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _listed(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row-wise dot products, summed in the order of the dimensions whatever the number of rows."""
+    s = x[:, 0] * y[:, 0]
+    for d in range(1, x.shape[1]):
+        s = s + x[:, d] * y[:, d]
+    return s
+
+
+def _without(s: np.ndarray, ids: np.ndarray, own: pa.ListArray) -> None:
+    """Sets the scores s (rows, ids) of each row's own items to -inf; ids ascend."""
+    held = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+    at = np.minimum(np.searchsorted(ids, held), len(ids) - 1)
+    known = ids[at] == held
+    s[row[known], at[known]] = -np.inf
+
+
+def _kth(s: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k <= s.shape[1] else np.full(len(s), -np.inf)
+
+
+def factor_top(users: DataFrame, items: DataFrame, history: DataFrame, k: int, block: int = 512, digits: int | None = None) -> DataFrame:
+    """(u, i, rk): top k items by the dot product of vectors, users (u, v) and items (i, v), history excluded; scores are rounded to ``digits`` if given.
+
+    Users of like direction form cells of about ``block``. A user's k-th best score outside the history among some items far out in
+    the cell's direction bounds the true one from below; and an item's score for any user of a cell is bounded from above by the item's length and its angle to
+    the cell's centre less the cell's widest angle. Only items whose bound reaches the lowest k-th score of a cell are sent there and scored, with every user
+    of it; what is left out can't be among any user's best, so the result is that of scoring all pairs. An item is compared with each centre, not with each user.
+    """
+    vector = F.col("v").cast("array<double>").alias("v")
+    own = history.select("u", "i").groupBy("u").agg(F.collect_set("i").alias("own"))
+    people = staged(users.select("u", vector).join(own, "u", "left").select("u", "v", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")))
+    catalogue = staged(items.select("i", vector))
+    n, longest = people.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("own")), F.lit(0))).first()
+    sample = _matrix(people.filter(F.pmod(F.xxhash64("u", F.lit(5)), F.lit(max(1, n // CELL_SAMPLE))) == 0).select("u", "v").toArrow().sort_by("u").column("v"))
+    cells = _Cells(sample, max(0, min(int(np.ceil(np.log2(max(1, n) / block))), int(np.log2(max(8, len(sample)) / 8)))))
+    centres = cells.centres
+
+    # items far out in the direction of some cell
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, who = np.full((FAR_OUT, len(centres)), -np.inf), np.full((FAR_OUT, len(centres)), -1, np.int64)
+        kept: dict[int, np.ndarray] = {}
+        for b in batches:
+            ids, y = b.column(0).to_numpy(), _matrix(b.column(1))
+            for at in range(0, len(ids), 512):
+                s = y[at : at + 512] @ centres.T
+                i, c = np.nonzero(s > score[-1])
+                if not len(i):
+                    continue
+                some = np.unique(c)
+                both = np.concatenate([score[:, some], s[:, some]])
+                named = np.concatenate([who[:, some], np.broadcast_to(ids[at : at + 512, None], (len(s), len(some)))])
+                order = np.argpartition(-both, FAR_OUT - 1, axis=0)[:FAR_OUT]
+                order = np.take_along_axis(order, np.argsort(-np.take_along_axis(both, order, 0), axis=0), 0)
+                score[:, some], who[:, some] = np.take_along_axis(both, order, 0), np.take_along_axis(named, order, 0)
+                kept |= {int(ids[at + r]): y[at + r] for r in np.unique(i)}
+            kept = {r: kept[r] for r in np.unique(who[who >= 0]).tolist() if r in kept} if (who >= 0).all() else kept
+        rank, c = np.nonzero(np.isfinite(score) & np.isin(who, np.fromiter(kept, np.int64, len(kept))))
+        if len(c):
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(score[rank, c]), pa.array(who[rank, c]), _listed(np.stack([kept[w] for w in who[rank, c].tolist()]))], names=["cell", "score", "i", "v"])
+
+    order = Window.partitionBy("cell").orderBy(F.col("score").desc(), "i")
+    ahead = catalogue.mapInArrow(far, "cell bigint, score double, i bigint, v array<double>").withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= 8 * FAR_OUT)
+    lead = ahead.groupBy("i").agg(F.first("v").alias("v")).toArrow().sort_by("i")
+    lead_ids, lead_v = lead.column("i").to_numpy(), _matrix(lead.column("v"))
+    most = min(len(lead_ids), max(1_024, k + longest))
+    # the rows of lead that each cell tries, in ascending order of the item
+    tried = [np.sort(np.argpartition(-(lead_v @ c), most - 1)[:most]) for c in centres] if most else []
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1))
+            cell, length = cells.of(x), np.sqrt((x * x).sum(1))
+            order = np.argsort(cell, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0)) if len(cell) else []
+            least, near, names = [], [], []
+            for rows in np.split(order, starts[1:]) if len(cell) else []:
+                c = cell[rows[0]]
+                at = np.full(len(rows), -np.inf)
+                if most:
+                    y = lead_v[tried[c]]
+                    s = x[rows] @ y.T
+                    _without(s, lead_ids[tried[c]], b.column(2).take(pa.array(rows)))
+                    error = (2 * 10.0**-digits if digits is not None else 0) + 1e-12 * length[rows] * np.sqrt((y * y).sum(1).max())
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        at = np.where(length[rows] > 0, (_kth(s, k) - error) / length[rows], -np.inf)
+                names.append(c)
+                least.append(at.min())
+                near.append((_directions(x[rows]) @ centres[c]).min())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(r) for r in np.split(order, starts[1:])] if len(cell) else [], pa.int64()), pa.array(least, pa.float64()), pa.array(near, pa.float64())], names=["cell", "n", "least", "near"])
+
+    least, near, pieces = np.full(len(centres), np.inf), np.ones(len(centres)), np.zeros(len(centres), np.int64)
+    for r in people.mapInArrow(lowest, "cell bigint, n bigint, least double, near double").groupBy("cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.min("near").alias("near")).collect():
+        least[r.cell], near[r.cell], pieces[r.cell] = r.least, r.near, -(-r.n // PIECE)
+    near = np.clip(near - 1e-9, -1, 1)
+    sine, chord = np.sqrt(1 - near * near), np.sqrt(2 - 2 * near)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = _matrix(b.column(1))
+            length = np.sqrt((y * y).sum(1))
+            # 1e-9 of the length is far above the rounding of the products
+            rows = np.flatnonzero(length * (1 + 1e-9) >= least.min())
+            for at in range(0, len(rows), 512):
+                some = rows[at : at + 512]
+                s, m = y[some] @ centres.T, length[some] * (1 + 1e-9)
+                i, c = np.nonzero(s + m[:, None] * chord >= least)
+                along, m = s[i, c], m[i]
+                across = np.sqrt(np.maximum(m * m - along * along, 0))
+                keep = np.where(along >= m * near[c], m, along * near[c] + across * sine[c] + 1e-9 * m) >= least[c]
+                i, c = i[keep], c[keep]
+                copies = pieces[c]
+                i, c, piece = np.repeat(i, copies), np.repeat(c, copies), np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                for lo in range(0, len(c), 20_000):
+                    part = slice(lo, lo + 20_000)
+                    row = some[i[part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c[part]), pa.array(piece[part]), b.column(0).take(pa.array(row)), _listed(y[row])], names=["cell", "piece", "i", "v"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = cells.of(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(b.column(0).to_numpy() % np.maximum(pieces[cell], 1)), *b.columns], names=["cell", "piece", "u", "v", "own"])
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("i")
+            us, x, held = left.column("u").to_numpy(), _matrix(left.column("v")), left.column("own").combine_chunks()
+            its, y = right.column("i").to_numpy(), _matrix(right.column("v"))
+            ahead = np.argpartition(-(y @ _directions(x).mean(0)), 1_023)[:1_024] if len(its) > 1_024 else np.arange(len(its))
+            longest = np.sqrt((y * y).sum(1).max())
+            step = max(1, (1 << 22) // len(its))
+            for at in range(0, len(us), step):
+                part = x[at : at + step]
+                s = part @ y.T
+                _without(s, its, held.slice(at, step))
+                error = (2 * 10.0**-digits if digits is not None else 0) + 1e-12 * np.sqrt((part * part).sum(1)) * longest
+                i, j = np.nonzero((s >= (_kth(s[:, ahead], k) - error)[:, None]) & (s > -np.inf))
+                score = _products(part[i], y[j])
+                score = score if digits is None else np.round(score, digits)
                 # its is ascending, so a stable order by score leaves ties to the smaller item
-                i, j = np.nonzero((s >= least) & (s > -np.inf))
-                order = np.lexsort((j, -s[i, j], i))
+                order = np.lexsort((j, -score, i))
                 i, j = i[order], j[order]
-                top = np.arange(len(i)) - np.searchsorted(i, i) < k
-                out.append((us[i[top] + at], its[j[top]], s[i[top], j[top]]))
-        u, i, score = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"u": u, "i": i, "score": score})
-
-    scored = union_all(a, b, h).groupBy("bu", "bi").applyInArrow(best, "u bigint, i bigint, score double")
-    return top_scores(scored, k)
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                top = rank < k
+                out.append((us[i[top] + at], its[j[top]], rank[top] + 1))
+        u, i, rk = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"u": u, "i": i, "rk": pa.array(rk, pa.int32())})
+
+    sent = catalogue.mapInArrow(wanted, "cell bigint, piece bigint, i bigint, v array<double>")
+    there = people.mapInArrow(placed, "cell bigint, piece bigint, u bigint, v array<double>, own array<bigint>")
+    return there.groupBy("cell", "piece").cogroup(sent.groupBy("cell", "piece")).applyInArrow(best, "u bigint, i bigint, rk int")
 
 
 def hits(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

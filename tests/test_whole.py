@@ -89,3 +89,22 @@ def test_users_of_a_hub_item_make_no_pairs(spark, tmp_path, monkeypatch):
     expected = {(u, k): (total[k] - e[u][k]) / (n - 1) for u in range(1, n) for k in range(4)}
     expected |= {(0, k): (total[k] - e[0][k] + e[n][k]) / n for k in range(4)} | {(n, k): e[0][k] for k in range(4)}
     assert got == pytest.approx(expected, abs=2e-9)
+
+
+def test_top_items_of_many_cells(spark, monkeypatch):
+    """Many cells and pieces give the ranks of all pairs; scores equal in decimals but not in binary are ties."""
+    import numpy as np
+
+    monkeypatch.setattr(ranking, "PIECE", 20)
+    rng = np.random.default_rng(5)
+    x, y = np.round(rng.standard_normal((900, 3)), 1), np.round(rng.standard_normal((3_000, 3)), 1)
+    own = {u: set(rng.integers(0, 3_000, 20).tolist()) | ({*range(2_995)} if u == 7 else set()) for u in range(900)}
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], f"{c} bigint, v array<double>") for a, c in ((x, "u"), (y, "i"))]
+    history = spark.createDataFrame([(u, i) for u, its in own.items() for i in its], "u bigint, i bigint")
+    top = ranking.factor_top(*frames, history, 10, block=30, digits=9)
+    expected = []
+    exact = np.rint(x * 10).astype(int) @ np.rint(y * 10).astype(int).T
+    for u in range(900):
+        order = [i for i in np.lexsort((np.arange(3_000), -exact[u])).tolist() if i not in own[u]][:10]
+        expected += [(u, i, rk) for rk, i in enumerate(order, 1)]
+    assert sorted(tuple(r) for r in top.collect()) == sorted(expected)
