@@ -1,21 +1,29 @@
 """Training of small models: matrix factorisation and light graph convolution by BPR, and ALS.
 
-Sampling runs in Spark; the linear models' gradients have a closed form and are
-applied by Adam on the driver, where embeddings are kept. Catalogues too large for that use als().
+The linear models' gradients have a closed form. train_mf() keeps embeddings as a table and is for
+catalogues of any size; train_bpr() applies Adam on the driver, where embeddings are kept, and only samples in Spark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions import arrays as A
 from quern.operators.losses import unseen
+from quern.runtime import dropped, staged
 
 
 def sampled_triplets(inter: DataFrame, n_items: int, per_user: int, seed: int) -> DataFrame:
     """(u, pos, neg): ``per_user`` hashed positives of each user and one uniform item each that isn't theirs; draws are functions of ids and the seed. Only users of the whole catalogue have no row."""
-    lists = inter.groupBy("u").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    return _drawn(inter.groupBy("u").agg(F.array_sort(F.collect_set("i")).alias("items")), n_items, per_user, seed)
+
+
+def _drawn(lists: DataFrame, n_items: int, per_user: int, seed: int) -> DataFrame:
     t = lists.select("u", "items", F.explode(F.sequence(F.lit(0), F.lit(per_user - 1))).alias("t"))
     pos = F.element_at("items", (F.pmod(F.xxhash64("u", "t", F.lit(seed)), F.size("items")) + 1).cast("int"))
     draws = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda d: F.pmod(F.xxhash64("u", "t", d, F.lit(seed + 1)), F.lit(n_items)))
@@ -24,6 +32,63 @@ def sampled_triplets(inter: DataFrame, n_items: int, per_user: int, seed: int) -
     return t.select("u", pos.alias("pos"), neg.alias("neg")).filter("neg is not null")
 
 
+#: Nodes whose first embedding comes from one generator.
+NODES = 65_536
+
+
+def first_embedding(lo: int, hi: int, dim: int, seed: int, size: int) -> np.ndarray:
+    """Rows lo to hi - 1 of the first embedding: normal numbers of deviation 0.1, by a generator for each ``size`` nodes."""
+    parts = []
+    for at in range(lo // size, -(-hi // size)):
+        rng = np.random.default_rng(seed if at == 0 else [seed, at])
+        start = at * size
+        parts.append(rng.standard_normal((min(hi, start + size) - start, dim))[max(lo - start, 0) :] * 0.1)
+    return np.concatenate(parts) if parts else np.zeros((0, dim))
+
+
+def train_mf(inter: DataFrame, n_users: int, n_items: int, dim: int = 16, epochs: int = 5, rate: float = 0.01, regs: float = 1e-4, seed: int = 1) -> tuple[DataFrame, list[float]]:
+    """(embeddings, loss per epoch) of train_bpr() without layers, for catalogues of any size: nothing of the size of users, items or triplets reaches the driver.
+
+    Embeddings are (node, e, m, v), items being nodes n_users + i; m and v are Adam's moments. An epoch brings the
+    vectors to the triplets by joins, sums the gradients by node and updates all nodes.
+    """
+    spark, n, size = inter.sparkSession, n_users + n_items, NODES
+    zeros = F.array(*[F.lit(0.0)] * dim)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                e = first_embedding(at * size, min(n, (at + 1) * size), dim, seed, size)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, e.size + 1, dim, dtype=np.int32)), pa.array(e.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at * size, at * size + len(e))), lists], names=["node", "e"])
+
+    generators = -(-n // size)
+    nodes = staged(spark.range(0, generators, 1, max(1, min(64, generators))).mapInArrow(first, "node bigint, e array<double>").select("node", "e", zeros.alias("m"), zeros.alias("v")))
+    losses = []
+    lists = staged(inter.groupBy("u").agg(F.array_sort(F.collect_set("i")).alias("items")))
+
+    for epoch in range(1, epochs + 1):
+        triplets = _drawn(lists, n_items, 8, seed + epoch)
+        e = nodes.select("node", "e")
+        one = triplets.withColumn("pos", F.col("pos") + n_users).withColumn("neg", F.col("neg") + n_users).join(e.toDF("pos", "ep"), "pos")
+        two = one.join(e.toDF("neg", "en"), "neg").select("u", "pos", "neg", F.zip_with("ep", "en", lambda a, b: a - b).alias("d"))
+        three = two.join(e.toDF("u", "eu"), "u").withColumn("x", A.dot("eu", "d"))
+        # both sums need the same rows, so they are written once
+        scored = staged(three.select("u", "pos", "neg", "d", "eu", "x"))
+        count, loss = scored.agg(F.count(F.lit(1)), F.avg(F.log1p(F.exp(-F.col("x"))))).first()
+        losses.append(float(loss))
+        g = -1 / (1 + F.exp("x")) / F.lit(count)
+        push = F.array(F.struct(F.col("u").alias("node"), F.transform("d", lambda y: y * g).alias("g")), F.struct(F.col("pos").alias("node"), F.transform("eu", lambda y: y * g).alias("g")), F.struct(F.col("neg").alias("node"), F.transform("eu", lambda y: -y * g).alias("g")))
+        parts = scored.select(F.explode(push).alias("p")).groupBy("p.node").agg(*[F.sum(F.col("p.g")[k]).alias(f"g{k}") for k in range(dim)])
+        grad = parts.select("node", F.array(*[F.col(f"g{k}") for k in range(dim)]).alias("g"))
+        joined = nodes.join(grad, "node", "left").withColumn("g", F.zip_with(F.coalesce("g", zeros), "e", lambda a, b: a + regs * b / F.lit(count)))
+        moved = joined.withColumn("m", F.zip_with("m", "g", lambda a, b: 0.9 * a + 0.1 * b)).withColumn("v", F.zip_with("v", "g", lambda a, b: 0.999 * a + 0.001 * b * b))
+        step = F.zip_with("m", "v", lambda a, b: rate * 0.96 ** (epoch / 50) * (a / (1 - 0.9**epoch)) / (F.sqrt(b / (1 - 0.999**epoch)) + 1e-8))
+        nodes = staged(moved.select("node", F.zip_with("e", step, lambda a, b: a - b).alias("e"), "m", "v"), done=[nodes, scored])
+    dropped(lists)
+    return nodes, losses
+
+
 def train_bpr(inter: DataFrame, n_users: int, n_items: int, dim: int = 16, layers: int = 0, epochs: int = 5, rate: float = 0.01, regs: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(user vectors, item vectors, loss per epoch).
 
@@ -45,8 +110,7 @@ def train_bpr(inter: DataFrame, n_users: int, n_items: int, dim: int = 16, layer
             total += x
         return total / (layers + 1)
 
-    rng = np.random.default_rng(seed)
-    e = rng.standard_normal((n_users + n_items, dim)) * 0.1
+    e = first_embedding(0, n_users + n_items, dim, seed, NODES)
     m, v, losses = np.zeros_like(e), np.zeros_like(e), []
     for epoch in range(1, epochs + 1):
         rows = sampled_triplets(inter, n_items, 8, seed + epoch).toPandas()

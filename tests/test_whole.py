@@ -108,3 +108,15 @@ def test_top_items_of_many_cells(spark, monkeypatch):
         order = [i for i in np.lexsort((np.arange(3_000), -exact[u])).tolist() if i not in own[u]][:10]
         expected += [(u, i, rk) for rk, i in enumerate(order, 1)]
     assert sorted(tuple(r) for r in top.collect()) == sorted(expected)
+
+
+def test_training_by_tables_is_that_on_the_driver(spark, monkeypatch):
+    """The same losses and embeddings, with first embeddings from several generators."""
+    import numpy as np
+
+    monkeypatch.setattr(training, "NODES", 16)
+    inter = spark.createDataFrame([(u, (u * 7 + k * k) % 45) for u in range(40) for k in range(1 + u % 9)], "u bigint, i bigint")
+    users, items, losses_ = training.train_bpr(inter, 40, 45, dim=3, epochs=3, rate=0.05)
+    nodes, got = training.train_mf(inter, 40, 45, dim=3, epochs=3, rate=0.05)
+    assert got == pytest.approx(losses_, abs=1e-12)
+    assert np.array([r.e for r in nodes.orderBy("node").collect()]) == pytest.approx(np.concatenate([users, items]), abs=1e-9)
