@@ -120,3 +120,18 @@ def test_training_by_tables_is_that_on_the_driver(spark, monkeypatch):
     nodes, got = training.train_mf(inter, 40, 45, dim=3, epochs=3, rate=0.05)
     assert got == pytest.approx(losses_, abs=1e-12)
     assert np.array([r.e for r in nodes.orderBy("node").collect()]) == pytest.approx(np.concatenate([users, items]), abs=1e-9)
+
+
+def test_top_items_by_unrounded_scores(spark):
+    """As in als_topk: the ranks of all pairs, over many cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((1_500, 2)).astype(np.float32), rng.standard_normal((4_000, 2)).astype(np.float32)
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], f"{c} bigint, v array<double>") for a, c in ((x, "u"), (y, "i"))]
+    history = spark.createDataFrame([(u, (u * 37 + k) % 4_000) for u in range(1_500) for k in range(3)], "u bigint, i bigint")
+    rows = ranking.factor_top(*frames, history, 5, block=40).collect()
+    s = x.astype(float) @ y.astype(float).T
+    for u in range(1_500):
+        s[u, [(u * 37 + k) % 4_000 for k in range(3)]] = -np.inf
+    assert {(r.u, r.i, r.rk) for r in rows} == {(u, i, rk) for u in range(1_500) for rk, i in enumerate(np.argsort(-s[u], kind="stable")[:5].tolist(), 1)}
