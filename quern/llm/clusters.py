@@ -3,9 +3,12 @@
 A vector's components are weighted by the inverse deviation of their dimension and hashed with random
 signs into SLOTS slots. Distributed k-means runs on these features: parallel oversampled seeding, reclustering of the
 weighted candidates, then STEPS centroid updates. Every vector is in the OVERLAP cells with the nearest centroids, and the
-vectors of a cell are compared with each other by their original components. There are FIRST_ROUNDS such rounds with
+vectors of a cell are compared with each other. There are FIRST_ROUNDS such rounds with
 other hashes and other seeds, and more until a round brings nothing new, so a pair is lost only if it shares no cell in any round.
 
+Cells are sent codes of one byte a component and the length of the rest that the code leaves out. This bounds a cosine from both sides;
+pairs that the bounds leave open, and whose items no other links join, are compared by their original components after the rounds.
+
 Pairs at the least cosine or more link items. A round's links become components, which later rounds join; and a component is a cluster if all its pairs
 reach the least cosine. This is settled by the angle to the centroid where that suffices, otherwise
 by comparison of all pairs, over the whole component. Cells and components of more than CELL vectors are cut into pieces, and
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.vectors import MODALITIES, mixed, packed, unit_vectors, unpacked
-from quern.runtime import dropped, staged, union_all
+from quern.runtime import dropped, small, staged, union_all
 
 #: Most vectors of a piece of a cell or component, vectors per centroid, most centroids.
 CELL, CELL_MEAN, MOST_CELLS = 8_192, 1_000, 16_384
@@ -33,6 +36,8 @@ SLOTS, OVERLAP, STEPS = 64, 2, 2
 FIRST_ROUNDS, MORE_ROUNDS = 5, 2
 #: Rows compared with a piece at once, and twice the error of a product of 32-bit unit vectors.
 CHUNK, ERROR = 1_024, 4e-5
+#: Pairs are held as rows up to one in so many of a group's.
+FEW = 32
 
 
 def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
@@ -227,6 +232,39 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def coded(x: np.ndarray) -> pa.Array:
+    """Unit vectors as binary values: 32-bit step and length of the rest, then a signed byte for each component."""
+    step = np.maximum(np.abs(x).max(1), np.float32(1e-30)) / np.float32(127)
+    q = np.rint(x / step[:, None]).astype(np.int8)
+    rest = np.sqrt(((x.astype(np.float64) - q * step[:, None].astype(np.float64)) ** 2).sum(1)) * (1 + 1e-6)
+    return packed(np.concatenate([np.stack([step, rest], axis=1).astype(np.float32).view(np.uint8), q.view(np.uint8)], axis=1))
+
+
+def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as 32-bit numbers, lengths of the rests) of coded()."""
+    raw = unpacked(column, np.uint8)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1].astype(np.float64)
+
+
+def _near(column: pa.Array, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, i, j, sure, open) of a group of codes in chunks of rows: the pairs i, j of rows, by i and then j, whose cosine may be ``least`` or more; whether it surely is, and whether it may be less.
+
+    A pair next to the border is both: by rounding it may be sure as i, j and not as j, i.
+    """
+    x, rest = decoded(column)
+    far = float(rest.max()) if len(rest) else 0.0
+    for at in range(0, len(x), CHUNK):
+        s = (x[at : at + CHUNK] @ x.T).ravel()
+        flat = np.flatnonzero(s >= least - ERROR - far * (2 + far))
+        i, j = np.divmod(flat, len(x))
+        a, b = rest[i + at], rest[j]
+        width = a + b + a * b + ERROR
+        s = s[flat].astype(np.float64)
+        may = s >= least - width
+        yield at, min(CHUNK, len(x) - at), i[may], j[may], (s >= least + width)[may] | (i + at == j)[may], (s < least + width + ERROR)[may]
+
+
 def _similar(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, i, j) of a group in chunks of rows: the pairs i, j of rows at a cosine of ``least`` or more, by i and then j, in double precision where 32 bits don't decide."""
     x = unpacked(t.column("x").chunk(0), np.float32)
@@ -242,12 +280,16 @@ def _similar(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray,
         yield at, min(CHUNK, len(x) - at), i, j
 
 
-def linked_labels(t: pa.Table, least: float) -> np.ndarray:
-    """For each row of a group the first row of its component. Every row is similar to itself."""
-    n, held = t.num_rows, []
-    for at, rows, i, j in _similar(t, least):
+def linked_labels(t: pa.Table, least: float) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For each row of a group of codes the first row of its component by sure links, every row being linked to itself; and the pairs of rows of two components that may be links."""
+    n, held, open_ = t.num_rows, [], []
+    for at, rows, i, j, sure, less in _near(t.column("x").chunk(0), least):
+        later = np.flatnonzero(less & (i + at > j))
+        # many are found again when the labels are known
+        open_.append((i[later] + at, j[later]) if len(later) * FEW < rows * n else None)
+        i, j = i[sure], j[sure]
         starts = np.searchsorted(i, np.arange(rows))
-        if len(i) * 32 < rows * n:
+        if len(i) * FEW < rows * n:
             held.append((at, rows, starts, j.astype(np.int32)))
         else:
             # many: a bit each
@@ -265,9 +307,22 @@ def linked_labels(t: pa.Table, least: float) -> np.ndarray:
             new[at : at + rows] = np.minimum(new[at : at + rows], least_of)
         new = new[new]
         if (new == label).all():
-            return label
+            break
         label = new
 
+    def across() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        again = _near(t.column("x").chunk(0), least) if any(o is None for o in open_) else [None] * len(open_)
+        for o, more in zip(open_, again):
+            if o is None:
+                at, _, i, j, _, less = more
+                later = less & (i + at > j)
+                o = i[later] + at, j[later]
+            two = label[o[0]] != label[o[1]]
+            if two.any():
+                yield o[0][two], o[1][two]
+
+    return label, across()
+
 
 def _spread(grouped: DataFrame, rows: int) -> DataFrame:
     """Groups next to each other, in about four partitions a core or one for 65,536 rows."""
@@ -276,7 +331,7 @@ def _spread(grouped: DataFrame, rows: int) -> DataFrame:
 
 
 def _links(vectors: DataFrame, cells: Cells, round_: int, least: float) -> DataFrame:
-    """(m, a, b): items a > b of one cell that are linked there, b being the smallest of its component in the cell."""
+    """(m, a, b, sure): items a > b of one cell that are linked there, b being the smallest of its component in the cell; and unsure, pairs of two components that may be linked."""
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
         for m, b, x in _by_modality(batches):
@@ -296,17 +351,47 @@ def _links(vectors: DataFrame, cells: Cells, round_: int, least: float) -> DataF
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m, b, of in assigned(batches):
             row = np.repeat(np.arange(len(of)), of.shape[1])
-            yield _in_pieces(m, of.ravel(), sizes[m][of.ravel()], b.column(1), b.column(2), row)
+            yield _in_pieces(m, of.ravel(), sizes[m][of.ravel()], b.column(1), coded(unpacked(b.column(2), np.float32)), row)
+
+    def rows_of(m: int, a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), m, np.int32)), pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["m", "a", "b", "sure"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            label = linked_labels(t, least)
+            m, ids = t.column("m")[0].as_py(), t.column("item_id").to_numpy()
+            label, across = linked_labels(t, least)
             some = np.flatnonzero(label != np.arange(len(label)))
-            ids = t.column("item_id").to_numpy()
-            yield pa.RecordBatch.from_arrays([t.column("m").chunk(0).take(pa.array(some)), pa.array(ids[some]), pa.array(ids[label[some]])], names=["m", "a", "b"])
+            yield rows_of(m, ids[some], ids[label[some]], True)
+            for i, j in across:
+                yield rows_of(m, ids[i], ids[j], False)
 
     grouped = vectors.mapInArrow(place, _GROUPED)
-    return staged(_spread(grouped, rows).mapInArrow(link, "m int, a bigint, b bigint"))
+    return staged(_spread(grouped, rows).mapInArrow(link, "m int, a bigint, b bigint, sure boolean"))
+
+
+def _settled(vectors: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
+    """Of the n pairs (m, a, b) those at a cosine of ``least`` or more, in double precision."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, x in _by_modality(batches):
+            x, y = x.astype(np.float64), unpacked(b.column(3), np.float32).astype(np.float64)
+            ok = np.round((x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)), 9) >= least
+            yield pa.RecordBatch.from_arrays(b.columns[:3], names=["m", "a", "b"]).filter(pa.array(ok))
+
+    ends = union_all(pairs.select("m", F.col("a").alias("item_id")), pairs.select("m", F.col("b").alias("item_id"))).distinct()
+    near = vectors.join(small(ends, 2 * n, 16), ["m", "item_id"], "left_semi")
+    both = pairs.join(small(near.toDF("m", "a", "xa"), 2 * n, 450), ["m", "a"]).join(small(near.toDF("m", "b", "xb"), 2 * n, 450), ["m", "b"])
+    return staged(both.select("m", "a", "b", "xa", "xb").mapInArrow(test, "m int, a bigint, b bigint"), done=[pairs])
+
+
+def joined_with(vectors: DataFrame, labels: DataFrame, links: list[DataFrame], least: float) -> tuple[DataFrame, int]:
+    """joined_by() with the links (m, a, b, sure) of rounds: the sure ones, then those of the others that turn out as links."""
+    labels, new = joined_by(labels, [x.filter("sure").drop("sure") for x in links])
+    pairs = staged(_across(labels, [x.filter("not sure").drop("sure") for x in links]).select("m", "a", "b"), done=links)
+    if n := pairs.count():
+        labels, more = joined_by(labels, [_settled(vectors, pairs, n, least)])
+        new += more
+    return labels, new
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -328,11 +413,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("m", F.col("a").alias("item_id"), "label")
 
 
+def _across(labels: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """(m, a, b, la, lb): the different links between two components, with their labels."""
+    of = labels.select("m", F.col("item_id").alias("a"), F.col("label").alias("la"))
+    return union_all(*links).distinct().join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
+
+
 def joined_by(labels: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, int]:
     """(labels after the links have joined components, links between components that were new); ``links`` are used up."""
-    of = labels.select("m", F.col("item_id").alias("a"), F.col("label").alias("la"))
-    both = union_all(*links).distinct().join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
-    across = staged(both.select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=links)
+    across = staged(_across(labels, links).select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=links)
     new = across.count()
     if not new:
         return labels, 0
@@ -386,11 +475,11 @@ def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple
         cells = Cells(vectors, counts, weights, rounds)
         if max(cells.wanted.values()) == 1:
             # one cell holds all, so one round sees all pairs
-            labels, _ = joined_by(labels, [_links(vectors, cells, 0, least)])
+            labels, _ = joined_with(vectors, labels, [_links(vectors, cells, 0, least)], least)
             break
         links = [_links(vectors, cells, i, least) for i in rounds]
-        labels, _ = joined_by(labels, links[:-1])
-        labels, new = joined_by(labels, links[-1:])
+        labels, _ = joined_with(vectors, labels, links[:-1], least)
+        labels, new = joined_with(vectors, labels, links[-1:], least)
         if not new:
             break
         r = rounds[-1] + 1
