@@ -34,8 +34,10 @@ CELL, CELL_MEAN, MOST_CELLS = 8_192, 1_000, 16_384
 SLOTS, OVERLAP, STEPS = 64, 2, 2
 #: Rounds before the first look at whether the last of them brought anything new, and between further looks.
 FIRST_ROUNDS, MORE_ROUNDS = 5, 2
+#: Rounds are compared together while their cells have at most so many rows for a vector.
+TOGETHER = 8
 #: Rows compared with a piece at once, and twice the error of a product of 32-bit unit vectors.
-CHUNK, ERROR = 1_024, 4e-5
+CHUNK, ERROR = 256, 4e-5
 #: Pairs are held as rows up to one in so many of a group's.
 FEW = 32
 
@@ -70,11 +72,23 @@ def _sums(m: int, keys: np.ndarray, number: np.ndarray, v: np.ndarray) -> pa.Rec
 def _summed_by_key(df: DataFrame) -> DataFrame:
     """Sums numbers and vectors of equal (m, key), after a partial sum for each batch."""
 
-    def add(table: pa.Table) -> pa.Table:
-        v = unpacked(table.column("v").combine_chunks(), np.float64)
-        return pa.table({"m": table.column("m").slice(0, 1), "key": table.column("key").slice(0, 1), "number": [float(table.column("number").to_numpy().sum())], "v": packed(v.sum(0)[None])})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[pa.RecordBatch] = []
+        for m, b, v in _by_modality(batches):
+            keys, number, v = b.column(1).to_numpy(), b.column(2).to_numpy(), v.view(np.float64)
+            if last and (last[0].column(0)[0].as_py(), last[0].column(1)[0].as_py()) == (m, int(keys[0])):
+                # the key of the batch before goes on
+                keys, number = np.append(last[0].column(1), keys), np.append(last[0].column(2), number)
+                v = np.concatenate([unpacked(last[0].column(3), np.float64), v])
+            else:
+                yield from last
+            part = _sums(m, keys, number, v)
+            if part.num_rows > 1:
+                yield part.slice(0, part.num_rows - 1)
+            last = [part.slice(part.num_rows - 1)]
+        yield from last
 
-    return df.groupBy("m", "key").applyInArrow(add, _SUMS)
+    return df.repartition("m", "key").sortWithinPartitions("m", "key").mapInArrow(add, _SUMS)
 
 
 def feature_hash(m: int, weights: np.ndarray, salt: int) -> np.ndarray:
@@ -97,9 +111,15 @@ def nearest(f: np.ndarray, centres: np.ndarray, count: int) -> tuple[np.ndarray,
     half = (centres * centres).sum(1) / 2
     step = max(1, (1 << 24) // len(centres))
     for at in range(0, len(f), step):
-        s = half - f[at : at + step] @ centres.T
-        cells[at : at + step] = np.argpartition(s, count - 1, axis=1)[:, :count] if count < len(centres) else np.arange(count)
-        far[at : at + step] = 2 * s.min(1) + (f[at : at + step] ** 2).sum(1)
+        s = f[at : at + step] @ centres.T
+        np.subtract(half, s, out=s)
+        row = np.arange(len(s))
+        for c in range(count):
+            # a few passes for the least cost less than a partial sort
+            cells[at : at + step, c] = cell = s.argmin(1)
+            if c == 0:
+                far[at : at + step] = 2 * s[row, cell] + (f[at : at + step] ** 2).sum(1)
+            s[row, cell] = np.inf
     return cells, np.maximum(far, 0)
 
 
@@ -137,6 +157,7 @@ class Cells:
         if all(k == 1 for k in self.wanted.values()):
             # one cell each: any centre is the nearest
             self.centres = {u: np.zeros((1, SLOTS), np.float32) for u in self.hashed}
+            self.sizes = {u: np.array([counts[u[0]]]) for u in self.hashed}
             return
         # parallel oversampling: rows by hash, then rows by their share in the cost
         self._sample(vectors, lambda u, ids, f: _uniform(ids, 16 * u[1]) < self.wanted[u[0]] / counts[u[0]])
@@ -151,6 +172,7 @@ class Cells:
                 moved = self.centres[u].copy()
                 moved[at] = (v / n[:, None]).astype(np.float32)
                 self.centres[u] = moved
+        self.sizes = self._counted(vectors)
 
     def _sample(self, vectors: DataFrame, takes: Callable) -> None:
         """Adds the rows that ``takes`` to the centres, a few times as many as cells are wanted; where there is none, a centre at 0."""
@@ -190,6 +212,36 @@ class Cells:
             out.append(((o % _MOST_MODALITIES, o // _MOST_MODALITIES), part.column("key").to_numpy(), part.column("number").to_numpy(), unpacked(part.column("v").chunk(0), np.float64)))
         return out
 
+    def _counted(self, vectors: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+        """How many vectors are in each cell of every modality and round."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m, _, x in _by_modality(batches):
+                for r in self.rounds:
+                    cell, n = np.unique(self.of(m, r, x), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), _unit_of(m, r), np.int32)), pa.array(cell), pa.array(n)], names=["m", "cell", "n"])
+
+        sizes = {u: np.zeros(len(c), np.int64) for u, c in self.centres.items()}
+        t = vectors.mapInArrow(run, "m int, cell bigint, n bigint").groupBy("m", "cell").agg(F.sum("n").alias("n")).toArrow()
+        unit, cell, n = (t.column(c).to_numpy() for c in range(3))
+        for o in np.unique(unit).tolist():
+            sizes[o % _MOST_MODALITIES, o // _MOST_MODALITIES][cell[unit == o]] = n[unit == o]
+        return sizes
+
+    def rows(self, r: int) -> int:
+        """Rows that the pairs of pieces of a round's cells have."""
+        return sum(int((n * -(-n // CELL)).sum()) for (_, o), n in self.sizes.items() if o == r)
+
+    def together(self, rounds: list[int], most: int) -> list[list[int]]:
+        """The rounds in groups of at most so many rows, or of one round."""
+        out: list[list[int]] = []
+        for r in rounds:
+            if out and sum(map(self.rows, out[-1])) + self.rows(r) <= most:
+                out[-1].append(r)
+            else:
+                out.append([r])
+        return out
+
     def of(self, m: int, r: int, x: np.ndarray) -> np.ndarray:
         """(n, OVERLAP) of the cells that a vector is in."""
         return nearest(_features(x, self.hashed[m, r]), self.centres[m, r], min(OVERLAP, len(self.centres[m, r])))[0]
@@ -199,7 +251,7 @@ def _unit_of(m: int, r: int) -> int:
     return r * _MOST_MODALITIES + m
 
 
-_GROUPED = "m int, g bigint, cell bigint, p int, q int, piece int, item_id bigint, x binary"
+_GROUPED = "m int, g bigint, cell bigint, part bigint, item_id bigint, x binary"
 
 
 def _in_pieces(m: int, cell: np.ndarray, size: np.ndarray, items: pa.Array, x: pa.Array, row: np.ndarray) -> pa.RecordBatch:
@@ -210,26 +262,38 @@ def _in_pieces(m: int, cell: np.ndarray, size: np.ndarray, items: pa.Array, x: p
     at = np.repeat(np.arange(len(row)), pieces)
     other = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     p, q = np.minimum(piece[at], other), np.maximum(piece[at], other)
-    g = mixed(cell[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m)) + (p * pieces[at] + q).astype(np.uint64)
+    part = p * pieces[at] + q
+    g = mixed(cell[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m)) + part.astype(np.uint64)
     take = pa.array(row[at])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(g.view(np.int64)), pa.array(cell[at]), pa.array(p.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(piece[at].astype(np.int32)), items.take(take), x.take(take)], names=["m", "g", "cell", "p", "q", "piece", "item_id", "x"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m, np.int32)), pa.array(g.view(np.int64)), pa.array(cell[at]), pa.array(part), items.take(take), x.take(take)], names=["m", "g", "cell", "part", "item_id", "x"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of equal (m, g, cell, p, q), which are next to each other."""
+    """Tables of equal (m, cell, part), by item_id; rows of equal g are next to each other, and two groups may share a g."""
+
+    def sorted_groups(held: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        m, cell, part, ids = (t.column(c).to_numpy() for c in ("m", "cell", "part", "item_id"))
+        order = np.lexsort((ids, part, cell, m)) if (m != m[0]).any() or (cell != cell[0]).any() or (part != part[0]).any() else np.argsort(ids)
+        m, cell, part = m[order], cell[order], part[order]
+        edges = np.flatnonzero((m[1:] != m[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+        t = t.take(pa.array(order)).combine_chunks()
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(m)]):
+            yield t.slice(lo, hi - lo)
+
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
-        keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(5)], axis=1)
-        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        g = b.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else []
         for lo, hi in zip(edges[:-1], edges[1:]):
-            if held and keys[lo].tolist() != last:
-                yield pa.Table.from_batches(held).combine_chunks()
+            if held and g[lo] != last:
+                yield from sorted_groups(held)
                 held = []
-            last = keys[lo].tolist()
+            last = g[lo]
             held.append(b.slice(lo, hi - lo))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield from sorted_groups(held)
 
 
 def coded(x: np.ndarray) -> pa.Array:
@@ -247,22 +311,32 @@ def decoded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1].astype(np.float64)
 
 
-def _near(column: pa.Array, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, rows, i, j, sure, open) of a group of codes in chunks of rows: the pairs i, j of rows, by i and then j, whose cosine may be ``least`` or more; whether it surely is, and whether it may be less.
+def _reaching(s: np.ndarray, least: float) -> np.ndarray:
+    """Flat positions of the numbers in ``s`` that are ``least`` or more, looked for eight at a time."""
+    hit = np.zeros(-(-s.size // 8) * 8, bool)
+    np.greater_equal(s, np.float32(least), out=hit[: s.size].reshape(s.shape))
+    words = np.flatnonzero(hit.view(np.uint64))
+    if 8 * len(words) > len(hit) // 2:
+        return np.flatnonzero(hit)
+    flat = (words[:, None] * 8 + np.arange(8)).ravel()
+    return flat[hit[flat]]
 
-    A pair next to the border is both: by rounding it may be sure as i, j and not as j, i.
-    """
+
+def _near(column: pa.Array, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, i, j, sure) of a group of codes in chunks of rows: the pairs i < j of rows, by i and then j, whose cosine may be ``least`` or more; whether it surely is. Every pair is looked at once."""
     x, rest = decoded(column)
     far = float(rest.max()) if len(rest) else 0.0
     for at in range(0, len(x), CHUNK):
-        s = (x[at : at + CHUNK] @ x.T).ravel()
-        flat = np.flatnonzero(s >= least - ERROR - far * (2 + far))
-        i, j = np.divmod(flat, len(x))
-        a, b = rest[i + at], rest[j]
+        s = x[at : at + CHUNK] @ x[at:].T
+        flat = _reaching(s, least - ERROR - far * (2 + far))
+        i, j = np.divmod(flat, s.shape[1])
+        later = i < j
+        i, j, flat = i[later] + at, j[later] + at, flat[later]
+        a, b = rest[i], rest[j]
         width = a + b + a * b + ERROR
-        s = s[flat].astype(np.float64)
+        s = s.ravel()[flat].astype(np.float64)
         may = s >= least - width
-        yield at, min(CHUNK, len(x) - at), i[may], j[may], (s >= least + width)[may] | (i + at == j)[may], (s < least + width + ERROR)[may]
+        yield at, min(CHUNK, len(x) - at), i[may], j[may], (s >= least + width)[may]
 
 
 def _similar(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -281,30 +355,32 @@ def _similar(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray,
 
 
 def linked_labels(t: pa.Table, least: float) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-    """For each row of a group of codes the first row of its component by sure links, every row being linked to itself; and the pairs of rows of two components that may be links."""
+    """For each row of a group of codes the first row of its component by sure links, every row being linked to itself; and the pairs i > j of rows of two components that may be links."""
     n, held, open_ = t.num_rows, [], []
-    for at, rows, i, j, sure, less in _near(t.column("x").chunk(0), least):
-        later = np.flatnonzero(less & (i + at > j))
+    for at, rows, i, j, sure in _near(t.column("x").chunk(0), least):
         # many are found again when the labels are known
-        open_.append((i[later] + at, j[later]) if len(later) * FEW < rows * n else None)
+        few = (rows * (n - at)) // FEW
+        open_.append((j[~sure], i[~sure]) if len(sure) - np.count_nonzero(sure) < few else None)
         i, j = i[sure], j[sure]
-        starts = np.searchsorted(i, np.arange(rows))
-        if len(i) * FEW < rows * n:
-            held.append((at, rows, starts, j.astype(np.int32)))
+        if len(i) < few:
+            held.append((at, rows, i.astype(np.int32), j.astype(np.int32)))
         else:
             # many: a bit each
-            bits = np.zeros((rows, n), bool)
-            bits[i, j] = True
+            bits = np.zeros((rows, n - at), bool)
+            bits[i - at, j - at] = True
             held.append((at, rows, None, np.packbits(bits, axis=1)))
     label = np.arange(n)
     while True:
         new = label.copy()
-        for at, rows, starts, v in held:
-            if starts is None:
-                least_of = np.where(np.unpackbits(v, axis=1, count=n).view(bool), label[None], n).min(1)
+        for at, rows, i, v in held:
+            if i is None:
+                bits = np.unpackbits(v, axis=1, count=n - at).view(bool)
+                own, later = new[at : at + rows], new[at:]
+                np.minimum(later, np.where(bits, label[at : at + rows, None], n).min(0), out=later)
+                np.minimum(own, np.where(bits, label[None, at:], n).min(1), out=own)
             else:
-                least_of = np.minimum.reduceat(label[v], starts)
-            new[at : at + rows] = np.minimum(new[at : at + rows], least_of)
+                np.minimum.at(new, i, label[v])
+                np.minimum.at(new, v, label[i])
         new = new[new]
         if (new == label).all():
             break
@@ -314,9 +390,8 @@ def linked_labels(t: pa.Table, least: float) -> tuple[np.ndarray, Iterator[tuple
         again = _near(t.column("x").chunk(0), least) if any(o is None for o in open_) else [None] * len(open_)
         for o, more in zip(open_, again):
             if o is None:
-                at, _, i, j, _, less = more
-                later = less & (i + at > j)
-                o = i[later] + at, j[later]
+                _, _, i, j, sure = more
+                o = j[~sure], i[~sure]
             two = label[o[0]] != label[o[1]]
             if two.any():
                 yield o[0][two], o[1][two]
@@ -325,33 +400,21 @@ def linked_labels(t: pa.Table, least: float) -> tuple[np.ndarray, Iterator[tuple
 
 
 def _spread(grouped: DataFrame, rows: int) -> DataFrame:
-    """Groups next to each other, in about four partitions a core or one for 65,536 rows."""
-    parts = max(4 * grouped.sparkSession.sparkContext.defaultParallelism, -(-rows // 65_536))
-    return grouped.repartition(parts, "g").sortWithinPartitions("m", "g", "cell", "p", "q", "item_id")
-
-
-def _links(vectors: DataFrame, cells: Cells, round_: int, least: float) -> DataFrame:
-    """(m, a, b, sure): items a > b of one cell that are linked there, b being the smallest of its component in the cell; and unsure, pairs of two components that may be linked."""
-
-    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
-        for m, b, x in _by_modality(batches):
-            yield m, b, cells.of(m, round_, x)
+    """Groups next to each other, in about two partitions a core or one for 65,536 rows."""
+    parts = max(2 * grouped.sparkSession.sparkContext.defaultParallelism, -(-rows // 65_536))
+    return grouped.repartition(parts, "g").sortWithinPartitions("g")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, _, of in assigned(batches):
-            cell, n = np.unique(of, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), m, np.int32)), pa.array(cell), pa.array(n)], names=["m", "cell", "n"])
 
-    sizes = {m: np.zeros(len(c), np.int64) for (m, r), c in cells.centres.items() if r == round_}
-    rows = 0
-    for r in vectors.mapInArrow(count, "m int, cell bigint, n bigint").groupBy("m", "cell").agg(F.sum("n").alias("n")).collect():
-        sizes[r.m][r.cell] = r.n
-        rows += r.n * -(-r.n // CELL)
+def _links(vectors: DataFrame, cells: Cells, rounds: list[int], least: float) -> DataFrame:
+    """(m, a, b, sure): items a > b of one cell of one of the rounds that are linked there, b being the smallest of its component in the cell; and unsure, pairs of two components that may be linked."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, b, of in assigned(batches):
-            row = np.repeat(np.arange(len(of)), of.shape[1])
-            yield _in_pieces(m, of.ravel(), sizes[m][of.ravel()], b.column(1), coded(unpacked(b.column(2), np.float32)), row)
+        for m, b, x in _by_modality(batches):
+            codes = coded(x)
+            for r in rounds:
+                of = cells.of(m, r, x)
+                row = np.repeat(np.arange(len(of)), of.shape[1])
+                yield _in_pieces(m, of.ravel() + (r << 32), cells.sizes[m, r][of.ravel()], b.column(1), codes, row)
 
     def rows_of(m: int, a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), m, np.int32)), pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["m", "a", "b", "sure"])
@@ -366,7 +429,7 @@ def _links(vectors: DataFrame, cells: Cells, round_: int, least: float) -> DataF
                 yield rows_of(m, ids[i], ids[j], False)
 
     grouped = vectors.mapInArrow(place, _GROUPED)
-    return staged(_spread(grouped, rows).mapInArrow(link, "m int, a bigint, b bigint, sure boolean"))
+    return staged(_spread(grouped, sum(cells.rows(r) for r in rounds)).mapInArrow(link, "m int, a bigint, b bigint, sure boolean"))
 
 
 def _settled(vectors: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
@@ -384,49 +447,67 @@ def _settled(vectors: DataFrame, pairs: DataFrame, n: int, least: float) -> Data
     return staged(both.select("m", "a", "b", "xa", "xb").mapInArrow(test, "m int, a bigint, b bigint"), done=[pairs])
 
 
-def joined_with(vectors: DataFrame, labels: DataFrame, links: list[DataFrame], least: float) -> tuple[DataFrame, int]:
-    """joined_by() with the links (m, a, b, sure) of rounds: the sure ones, then those of the others that turn out as links."""
-    labels, new = joined_by(labels, [x.filter("sure").drop("sure") for x in links])
-    pairs = staged(_across(labels, [x.filter("not sure").drop("sure") for x in links]).select("m", "a", "b"), done=links)
-    if n := pairs.count():
-        labels, more = joined_by(labels, [_settled(vectors, pairs, n, least)])
-        new += more
+def joined_with(vectors: DataFrame, labels: DataFrame | None, links: list[DataFrame], least: float) -> tuple[DataFrame | None, int]:
+    """(labels after the links (m, a, b, sure) of rounds have joined components, links between components that were new): the sure ones, then those of the others that turn out as links. ``links`` are used up."""
+    across = staged(_across(labels, union_all(*links).distinct()), done=links)
+    number = {r.sure: r.n for r in across.groupBy("sure").agg(F.count(F.lit(1)).alias("n")).collect()}
+    new, unsure = number.get(True, 0), number.get(False, 0)
+    if new:
+        labels = joined_by(vectors, labels, across.filter("sure"), new)
+    if unsure:
+        pairs = staged(_across(labels, across.filter("not sure").select("m", "a", "b"), unsure).select("m", "a", "b"))
+        if n := pairs.count():
+            near = _settled(vectors, pairs, n, least)
+            if n := near.count():
+                labels = joined_by(vectors, labels, _across(labels, near, n), n)
+                new += n
+            dropped(near)
+    dropped(across)
     return labels, new
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(m, item_id, label): the smallest item of the component of every linked item. Labels spread along links and shortcuts until nothing changes."""
-    both = staged(union_all(links, links.select("m", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(m, item_id, label): the smallest item of the component of every item of the links (m, a, b), each of two items and there once. Labels spread along links and shortcuts until nothing changes."""
+    both = staged(union_all(links, links.select("m", F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = staged(both.groupBy("m", "a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.select("m", F.col("a").alias("b"), "label"), ["m", "b"]).select("m", "a", "label")
-        least = union_all(near, labels).groupBy("m", "a").agg(F.min("label").alias("label"))
+        near = both.join(labels.select("m", F.col("a").alias("b"), "label"), ["m", "b"]).select("m", "a", "label", F.lit(None).cast("bigint").alias("before"))
+        least = union_all(near, labels.withColumn("before", F.col("label"))).groupBy("m", "a").agg(F.min("label").alias("label"), F.max("before").alias("before"))
         # a shortcut: the label's own label
         jumped = least.join(labels.select("m", F.col("a").alias("label"), F.col("label").alias("beyond")), ["m", "label"], "left")
-        new = jumped.select("m", "a", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        old = labels.select("m", "a", F.col("label").alias("before"))
-        step = staged(new.join(old, ["m", "a"]).select("m", "a", "label", (F.col("label") != F.col("before")).alias("changed")))
+        new = jumped.select("m", "a", F.least("label", F.coalesce("beyond", "label")).alias("label"), "before")
+        step = staged(new.select("m", "a", "label", (F.col("label") != F.col("before")).alias("changed")))
         dropped(labels)
-        labels = step.select("m", "a", "label")
+        labels = step
         if not step.filter("changed").limit(1).count():
             dropped(both)
-            return labels.select("m", F.col("a").alias("item_id"), "label")
+            return _dropping(labels.select("m", F.col("a").alias("item_id"), "label"), labels)
+        labels = _dropping(labels.select("m", "a", "label"), labels)
+
+
+def _dropping(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which dropped() removes with the table it selects from."""
+    df.stage_folder = table.stage_folder
+    return df
 
 
-def _across(labels: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """(m, a, b, la, lb): the different links between two components, with their labels."""
+def _across(labels: DataFrame | None, links: DataFrame, n: int | None = None) -> DataFrame:
+    """The links between two components, with their labels la and lb; without labels every item is a component. n: how many links there are, if they have been counted."""
+    if labels is None:
+        return links.withColumns({"la": F.col("a"), "lb": F.col("b")})
     of = labels.select("m", F.col("item_id").alias("a"), F.col("label").alias("la"))
-    return union_all(*links).distinct().join(of, ["m", "a"]).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
+    first = (links if n is None else small(links, n, 64)).join(of, ["m", "a"])
+    return (first if n is None else small(first, n, 64)).join(of.toDF("m", "b", "lb"), ["m", "b"]).filter("la <> lb")
 
 
-def joined_by(labels: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, int]:
-    """(labels after the links have joined components, links between components that were new); ``links`` are used up."""
-    across = staged(_across(labels, links).select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), done=links)
-    new = across.count()
-    if not new:
-        return labels, 0
-    joined = components(across).select("m", F.col("item_id").alias("label"), F.col("label").alias("to"))
-    return staged(labels.join(joined, ["m", "label"], "left").select("m", "item_id", F.coalesce("to", "label").alias("label")), done=[labels, across]), new
+def joined_by(vectors: DataFrame, labels: DataFrame | None, across: DataFrame, n: int) -> DataFrame:
+    """Labels of all items after n links between components (m, la, lb) have joined these."""
+    ends = across.select("m", F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b"))
+    found = components(ends if labels is None else ends.distinct())
+    joined = found.select("m", F.col("item_id").alias("label"), F.col("label").alias("to"))
+    # the first links grow with the table, later ones are few
+    old, joined = (vectors.select("m", "item_id", F.col("item_id").alias("label")), joined) if labels is None else (labels, small(joined, 2 * n, 64))
+    return staged(old.join(joined, ["m", "label"], "left").select("m", "item_id", F.coalesce("to", "label").alias("label")), done=[found] if labels is None else [found, labels])
 
 
 def _centred(members: DataFrame) -> DataFrame:
@@ -448,6 +529,9 @@ def _centred(members: DataFrame) -> DataFrame:
     return joined.mapInArrow(measure, "m int, cluster_id bigint, size bigint, item_id bigint, near double, x binary")
 
 
+_CLUSTERED = "m int, cluster_id bigint, size bigint, item_id bigint, near double"
+
+
 def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple = MODALITIES, least: float = 0.8) -> DataFrame:
     """(m, cluster_id, size, item_id, near): the members of all clusters, near being the cosine to the cluster's mean.
 
@@ -468,24 +552,26 @@ def similarity_clusters(df: DataFrame, item: str = "item_id", modalities: tuple
         mean, square = np.split(v[0] / n[0], 2)
         counts[m], weights[m] = int(n[0]), 1 / np.sqrt(np.maximum(square - mean * mean, 1e-6))
     if not counts:
-        return spark.createDataFrame([], "m int, cluster_id bigint, size bigint, item_id bigint, near double")
-    labels, r = staged(vectors.select("m", "item_id", F.col("item_id").alias("label"))), 0
+        return spark.createDataFrame([], _CLUSTERED)
+    labels, r = None, 0
     while True:
         rounds = list(range(r, r + (MORE_ROUNDS if r else FIRST_ROUNDS)))
         cells = Cells(vectors, counts, weights, rounds)
         if max(cells.wanted.values()) == 1:
             # one cell holds all, so one round sees all pairs
-            labels, _ = joined_with(vectors, labels, [_links(vectors, cells, 0, least)], least)
+            labels, _ = joined_with(vectors, labels, [_links(vectors, cells, [0], least)], least)
             break
-        links = [_links(vectors, cells, i, least) for i in rounds]
-        labels, _ = joined_with(vectors, labels, links[:-1], least)
-        labels, new = joined_with(vectors, labels, links[-1:], least)
+        links = [_links(vectors, cells, some, least) for some in cells.together(rounds[:-1], TOGETHER * sum(counts.values()))]
+        labels, _ = joined_with(vectors, labels, links, least)
+        labels, new = joined_with(vectors, labels, [_links(vectors, cells, rounds[-1:], least)], least)
         if not new:
             break
         r = rounds[-1] + 1
+    if labels is None:
+        return spark.createDataFrame([], _CLUSTERED)
     sized = labels.groupBy("m", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("m", "label")
     linked = labels.join(sized, ["m", "label"]).withColumnRenamed("label", "cluster_id")
-    members = staged(_centred(linked.join(vectors, ["m", "item_id"])), done=[vectors])
+    members = staged(_centred(linked.join(vectors, ["m", "item_id"])), done=[vectors, labels])
     # two vectors within half the angle of the mean are within the whole angle of each other
     half = math.cos(math.acos(least) / 2) + ERROR
     open_ = members.groupBy("m", "cluster_id").agg(F.min("near").alias("lo")).filter(F.col("lo") < half).select("m", "cluster_id")
